@@ -1,0 +1,42 @@
+"""Where derived tables are written: the shared folder of spark.checkpoint.dir."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_tables: dict[tuple[str, str, str], str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only where none is configured."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="folio-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark).rstrip('/')}/folio/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The table written by the first call for (application, input, name), as Parquet."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        path = new_path(spark, name)
+        build().write.parquet(path)
+        _tables[key] = path
+    return spark.read.parquet(_tables[key])
+
+
+def pinned(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once and read it back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
