@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import trades  # noqa: F401
+from . import lookups, trades, upkeep  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]

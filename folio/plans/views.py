@@ -61,7 +61,7 @@ FROM (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date
 
 
 def _needed(sql: str) -> list[str]:
-    names = [v for v in VIEWS if re.search(rf"(?<![\w.'])({v})(?![\w'])", sql)]
+    names = [v for v in VIEWS if re.search(rf"\b(FROM|JOIN)\s+{v}\b", sql)]
     out: list[str] = []
     for n in names:
         for d in [*(x for x in _needed(VIEWS[n]) if x != n), n]:
