@@ -376,7 +376,7 @@ def resolve_instruments(unknown: DataFrame, catalogue: DataFrame, aliases: dict[
     return unknown.select(*on, "paper_name", F.col("currency").alias("trade_currency")).join(best, on, "left").select(
         *on, "paper_name", "trade_currency", F.col("r.ticker").alias("ticker"), F.col("r.name").alias("name"),
         F.col("r.exchange").alias("exchange"), F.col("r.res_currency").alias("currency"),
-        F.col("r.price_source").alias("price_source"), F.col("r.step").alias("step"),
+        F.col("r.price_source").alias("price_source"), F.coalesce("r.step", F.lit(0)).alias("step"),
         F.col("r").isNotNull().alias("resolved"))
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import lookups, trades, upkeep  # noqa: F401
+from . import holdings, lookups, trades, upkeep  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -193,7 +193,7 @@ def catalogue(t):
 
 
 @query("resolve_instruments", "isin paper_name ticker name exchange currency price_source step:l resolved:b", """
-SELECT u.isin, u.paper_name, ticker, name, exchange, res_currency AS currency, price_source, step, step IS NOT NULL AS resolved
+SELECT u.isin, u.paper_name, ticker, name, exchange, res_currency AS currency, price_source, coalesce(step, 0) AS step, step IS NOT NULL AS resolved
 FROM unknown_papers u LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY isin ORDER BY step, pos) AS rn FROM (
   SELECT u.isin, 10 + n AS step, pos, upper(key) || '.WA' AS ticker, CASE WHEN upper(c.name) <> upper(try) THEN upper(c.name) ELSE u.paper_name END AS name, 'GPW' AS exchange, 'PLN' AS res_currency, 'stooq' AS price_source
   FROM (SELECT *, lower(try) AS key FROM (SELECT *, unnest([1, 2, 3]) AS n, unnest([paper_name, CASE WHEN length(paper_name) > 4 THEN paper_name[1:4] END, CASE WHEN length(paper_name) > 3 THEN paper_name[1:3] END]) AS try
