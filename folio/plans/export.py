@@ -1,7 +1,7 @@
 """Output shape shared by a query and its check SQL: names, types, rounding.
 
 A shape is a string of `name[:type]`; types: s text (default), l integer, dN double
-rounded half up to N places (d = 4), t time stamp text, D date text, b boolean.
+rounded half up to N places (d = 4; no number = NULL), t time stamp text, D date text, b boolean.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ def shaped(df: DataFrame, shape: str) -> DataFrame:
             c = c.cast("long")
         elif kind == "d":
             unit = F.lit(float(10**digits))
-            c = F.floor(c.cast("double") * unit + F.lit(0.5)).cast("double") / unit
+            c = c.cast("double")
+            c = F.when(~F.isnan(c), F.floor(c * unit + F.lit(0.5)).cast("double") / unit)
         elif kind == "t":
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif kind == "D":
@@ -45,7 +46,7 @@ def shaped_sql(sql: str, shape: str) -> str:
         if kind == "l":
             c = f"CAST({name} AS BIGINT)"
         elif kind == "d":
-            c = f"floor(CAST({name} AS DOUBLE) * 1e{digits} + 0.5e0) / 1e{digits}"
+            c = f"CASE WHEN NOT isnan(CAST({name} AS DOUBLE)) THEN floor(CAST({name} AS DOUBLE) * 1e{digits} + 0.5e0) / 1e{digits} END"
         elif kind == "t":
             c = f"strftime(CAST({name} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
         elif kind == "D":

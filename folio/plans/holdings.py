@@ -39,10 +39,6 @@ VIEWS["weighted_pos"] = """
 SELECT p.* EXCLUDE (weight), CASE WHEN total_value_pln > 0 THEN current_value_pln / total_value_pln * 100 ELSE 0 END AS weight FROM open_pos p JOIN pf_totals t USING (portfolio_id)"""
 
 
-def open_positions(t):
-    return positions.open_positions(t.transactions, t.instruments, t.quotes, latest_rates(t.prices))
-
-
 def balances(t):
     return cash.cash_balances(t.transactions, t.cash_operations)
 
@@ -52,11 +48,11 @@ def cash_pos(t):
 
 
 def totals(t):
-    return positions.portfolio_totals(open_positions(t), cash_pos(t))
+    return positions.portfolio_totals(t.open_positions, cash_pos(t))
 
 
 def weighted(t):
-    return positions.position_weights(open_positions(t), cash_pos(t))
+    return positions.position_weights(t.open_positions, cash_pos(t))
 
 
 @query("open_positions",
@@ -64,7 +60,7 @@ def weighted(t):
        "current_value_pln:d profit_loss:d2 profit_loss_pln:d profit_loss_pct:d currency weight:d exchange sector daily_change_pct:d",
        "SELECT * FROM open_pos")
 def _open(t):
-    return open_positions(t)
+    return positions.open_positions(t.transactions, t.instruments, t.quotes, latest_rates(t.prices))
 
 
 @query("position_weights", "portfolio_id isin current_value_pln:d weight:d", "SELECT * FROM weighted_pos")
@@ -81,7 +77,7 @@ def _balances(t):
 SELECT c.*, CASE WHEN total > 0 THEN value_pln / total * 100 ELSE 0 END AS weight FROM cash_pos c JOIN (
   SELECT portfolio_id, {fixed_sum('value_pln')} AS total FROM (SELECT portfolio_id, value_pln FROM cash_pos UNION ALL SELECT portfolio_id, current_value_pln FROM open_pos) u GROUP BY portfolio_id) s USING (portfolio_id)""")
 def _cash_positions(t):
-    return positions.cash_positions(balances(t), latest_rates(t.prices), open_positions(t))
+    return positions.cash_positions(balances(t), latest_rates(t.prices), t.open_positions)
 
 
 @query("portfolio_totals", "portfolio_id total_value_pln:d stocks_value_pln:d cash_value_pln:d profit_loss:d cost_basis:d profit_loss_pct:d",
@@ -166,7 +162,7 @@ SELECT portfolio_id, grouping, name, value, CASE WHEN total_value_pln > 0 THEN v
   UNION ALL SELECT portfolio_id, 'currency', currency, {fixed_sum('current_value_pln')} FROM open_pos GROUP BY ALL
   UNION ALL SELECT portfolio_id, 'sector', coalesce(nullif(sector, ''), 'Inne'), {fixed_sum('current_value_pln')} FROM open_pos GROUP BY ALL) g JOIN pf_totals USING (portfolio_id)""")
 def _diversification(t):
-    return positions.diversification(open_positions(t), totals(t))
+    return positions.diversification(t.open_positions, totals(t))
 
 
 @query("concentration", "portfolio_id positions:l sectors:l regions:l hhi:l hhi_label top1_ticker top1_weight:d top5_weight:d", f"""
@@ -184,4 +180,4 @@ SELECT portfolio_id, rank, name, value, CASE WHEN total_value_pln > 0 THEN value
   SELECT portfolio_id, least(rn, 6) AS rank, CASE WHEN least(rn, 6) = 6 THEN 'Pozostałe' ELSE max(ticker) END AS name, {fixed_sum('current_value_pln')} AS value
   FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY current_value_pln DESC, ticker) AS rn FROM open_pos) w GROUP BY portfolio_id, least(rn, 6)) g JOIN pf_totals USING (portfolio_id) WHERE rank < 6 OR value > 0""")
 def _top(t):
-    return positions.top_positions(open_positions(t), totals(t))
+    return positions.top_positions(t.open_positions, totals(t))

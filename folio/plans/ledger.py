@@ -170,3 +170,23 @@ class Ledger:
             F.max_by("close", "date").alias("price"),
             F.try_element_at(F.transform(ranked, lambda r: r["close"]), F.lit(2)).alias("previous_close"),
         )
+
+    # ---- derived once, read by the reports on top of them ------------------
+    def _open_positions(self) -> DataFrame:
+        from ..operators.instruments import latest_rates
+        from ..operators.positions import open_positions
+
+        return open_positions(self.transactions, self.instruments, self.quotes, latest_rates(self.prices))
+
+    @property
+    def open_positions(self) -> DataFrame:
+        return self._stored("open_positions", self._open_positions)
+
+    def _history(self) -> DataFrame:
+        from ..operators.history import portfolio_history
+
+        return portfolio_history(self.transactions, self.cash_operations, self.instruments, self.prices, BENCHMARK, AS_OF)
+
+    @property
+    def history(self) -> DataFrame:
+        return self._stored("history", self._history)
