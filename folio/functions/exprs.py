@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Everything the broker exports use as white space, no-break spaces included.
-SPACES = r"[\s   -     　﻿]+"
+# White space, no-break and other wide spaces and the byte order mark included.
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 QUANTITY = "decimal(28,8)"
 
 
 def trimmed(c: Column) -> Column:
     """Trim white space, no-break spaces included; NULL stays NULL."""
-    return F.regexp_replace(c, rf"^{SPACES}|{SPACES}$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def polish_number(c: Column) -> Column:
     """E1: '1 234,56' -> 1234.56; the numeric prefix counts, anything else is 0."""
-    dense = F.regexp_replace(c, SPACES, "")
-    dotted = F.regexp_replace(dense, r"^([^,]*),", "$1.")
+    dense = F.translate(c, SPACES, "")
+    comma = F.instr(dense, ",")
+    dotted = F.when(comma > 0, F.overlay(dense, F.lit("."), comma, F.lit(1))).otherwise(dense)
     prefix = F.regexp_extract(dotted, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
     return F.coalesce(prefix.try_cast("double"), F.lit(0.0))
 

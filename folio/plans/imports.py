@@ -222,6 +222,14 @@ def xtb_files(t) -> DataFrame:
     return files(base.select("file", (F.col("id") * 3 + F.col("n")).alias("at"), line.alias("line")), _xtb_head())
 
 
+def xtb_raw(t) -> DataFrame:
+    return t.stored("xtb_raw", lambda: xtb.xtb_rows(xtb_files(t)))
+
+
+def xtb_parsed(t) -> DataFrame:
+    return t.stored("xtb_parsed", lambda: xtb.xtb_transactions(xtb_raw(t)))
+
+
 VIEWS["xtb_base"] = """
 SELECT *, concat('xtb-', portfolio_id, '-', blk) AS file, id % 10 AS d, ts + to_seconds(id % 1000) AS tm, concat(isin, CASE WHEN id % 2 = 0 THEN '.PL' ELSE '.US' END) AS symbol,
   concat(isin, CASE WHEN id % 2 = 0 THEN '.WA' ELSE '' END) AS market, CASE WHEN id % 2 = 0 THEN 'PLN' ELSE 'USD' END AS cur, 4 + pos * 3 + 1 AS row, m = 12 AS late FROM tx_blocks"""
@@ -251,23 +259,22 @@ def _xtb_rows(t):
 @query("xtb_tx", "file row:l paper_name isin ts:t quantity:d side price:d value:d currency", """
 SELECT file, row, market AS paper_name, market AS isin, tm AS ts, q AS quantity, side, p AS price, val AS value, cur AS currency FROM xtb_trades""")
 def _xtb_tx(t):
-    return text.clean(xtb.xtb_transactions(xtb.xtb_rows(xtb_files(t))))
+    return text.clean(xtb.xtb_transactions(xtb_raw(t)))
 
 
 @query("xtb_fees", "file row:l side value:d commission:d total:d", f"""
 SELECT t.file, t.row, side, val AS value, {_cent('coalesce(fee, 0)')} AS commission, CASE WHEN fee IS NULL THEN val WHEN side = 'K' THEN {_cent('val + ' + _cent('fee'))} ELSE {_cent('val - ' + _cent('fee'))} END AS total
 FROM xtb_trades t LEFT JOIN (SELECT file, target AS id, CAST(sum(CAST(round(fee * 100) AS BIGINT)) AS DOUBLE) / 100e0 AS fee FROM xtb_matched WHERE target IS NOT NULL GROUP BY ALL) f ON f.file = t.file AND f.id = t.id""")
 def _xtb_fees(t):
-    raw = xtb.xtb_rows(xtb_files(t))
-    return xtb.xtb_match_fees(text.clean(xtb.xtb_transactions(raw)), raw)[0]
+    return xtb.xtb_match_fees(text.clean(xtb_parsed(t)), xtb_raw(t))[0]
 
 
 @query("xtb_loose_fees", "file row:l ts:t operation_type description amount:d currency ticker", """
 SELECT f.file, f.row, f.tm AS ts, 'fee' AS operation_type, concat(kind, ': ', comment) AS description, -fee AS amount, CASE WHEN regexp_matches(f.file, 'PF[0-9]*[02468]-') THEN 'USD' ELSE 'PLN' END AS currency,
   CASE WHEN NOT (kind = 'commission' AND d = 6) THEN market END AS ticker FROM xtb_matched f WHERE target IS NULL AND NOT late""")
 def _xtb_loose(t):
-    raw = xtb.xtb_rows(xtb_files(t))
-    loose = xtb.xtb_match_fees(text.clean(xtb.xtb_transactions(raw)), raw)[1]
+    raw = xtb_raw(t)
+    loose = xtb.xtb_match_fees(text.clean(xtb_parsed(t)), raw)[1]
     return text.clean(xtb.xtb_operations(raw, loose))
 
 
@@ -305,11 +312,11 @@ UNION ALL SELECT 'xtb', file, row, reason, symbol FROM xtb_parsed WHERE reason I
 UNION ALL SELECT 'xtb', file, row + 2, 'close_trade_entry', symbol FROM xtb_base WHERE side = 'S' AND d = 3
 UNION ALL SELECT 'xtb_ops', concat('xtbops-', portfolio_id, '-', blk), pos + 5, 'invalid_date', CASE WHEN id % 3 = 0 THEN '' ELSE 'note' END FROM op_blocks WHERE operation_type IN ('deposit', 'withdrawal') AND id % 20 = 0""")
 def _rejects(t):
-    raw, ops = xtb.xtb_rows(xtb_files(t)), xtb.xtb_rows(xtb_op_files(t))
+    ops = xtb.xtb_rows(xtb_op_files(t))
     parsed = {
         "bossa": brokers.bossa_transactions(bossa_files(t)), "bossa_ops": brokers.bossa_operations(bossa_op_files(t)),
         "mbank": brokers.mbank_transactions(mbank_files(t)), "degiro": brokers.degiro_transactions(degiro_files(t)),
-        "xtb": xtb.xtb_transactions(raw), "xtb_ops": xtb.xtb_operations(ops, ops.limit(0)),
+        "xtb": xtb_parsed(t), "xtb_ops": xtb.xtb_operations(ops, ops.limit(0)),
     }
     return reduce(DataFrame.unionByName, [text.rejects(d).withColumn("broker", F.lit(b)) for b, d in parsed.items()])
 

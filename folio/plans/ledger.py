@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.running import row_numbers
-from .workspace import stored
+from . import workspace
 
 AS_OF = date(2001, 12, 31)
 BENCHMARK = "^IDX"
@@ -30,8 +30,8 @@ class Ledger:
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _stored(self, name: str, build) -> DataFrame:
-        return stored(self.spark, self.dir, name, build)
+    def stored(self, name: str, build) -> DataFrame:
+        return workspace.stored(self.spark, self.dir, name, build)
 
     # ---- trades -----------------------------------------------------------
     def _transactions(self) -> DataFrame:
@@ -69,7 +69,7 @@ class Ledger:
 
     @property
     def transactions(self) -> DataFrame:
-        return self._stored("transactions", self._transactions)
+        return self.stored("transactions", self._transactions)
 
     # ---- cash -------------------------------------------------------------
     def _cash_operations(self) -> DataFrame:
@@ -112,7 +112,7 @@ class Ledger:
 
     @property
     def cash_operations(self) -> DataFrame:
-        return self._stored("cash_operations", self._cash_operations)
+        return self.stored("cash_operations", self._cash_operations)
 
     # ---- instruments and prices --------------------------------------------
     def _instruments(self) -> DataFrame:
@@ -132,7 +132,7 @@ class Ledger:
 
     @property
     def instruments(self) -> DataFrame:
-        return self._stored("instruments", self._instruments)
+        return self.stored("instruments", self._instruments)
 
     def _prices(self) -> DataFrame:
         papers = (
@@ -160,7 +160,7 @@ class Ledger:
 
     @property
     def prices(self) -> DataFrame:
-        return self._stored("prices", self._prices)
+        return self.stored("prices", self._prices)
 
     @property
     def quotes(self) -> DataFrame:
@@ -180,7 +180,7 @@ class Ledger:
 
     @property
     def open_positions(self) -> DataFrame:
-        return self._stored("open_positions", self._open_positions)
+        return self.stored("open_positions", self._open_positions)
 
     def _history(self) -> DataFrame:
         from ..operators.history import portfolio_history
@@ -189,4 +189,4 @@ class Ledger:
 
     @property
     def history(self) -> DataFrame:
-        return self._stored("history", self._history)
+        return self.stored("history", self._history)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import SPACES, trimmed
+from ..functions.exprs import trimmed
 
 # Windows-1250, upper half; bytes without a character decode to U+FFFD.
 _UPPER_BYTES = "".join(chr(b) for b in range(0x80, 0x100))
@@ -115,5 +115,5 @@ def blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
-__all__ = ["SPACES", "TRADE", "blank", "broker_of", "cell", "cells", "clean", "decode_broker_bytes", "detect_broker",
+__all__ = ["TRADE", "blank", "broker_of", "cell", "cells", "clean", "decode_broker_bytes", "detect_broker",
            "encode_1250", "filled_lines", "named", "raw_lines", "read_broker_text", "rejects", "trimmed"]
