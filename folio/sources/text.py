@@ -36,7 +36,7 @@ def read_broker_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def raw_lines(content: Column) -> Column:
-    return F.transform(F.split(content, "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
+    return F.split(content, "\r?\n")
 
 
 def filled_lines(content: Column) -> Column:
