@@ -112,15 +112,16 @@ def valued_holdings(tx: DataFrame, ops: DataFrame, instruments: DataFrame, price
     return held_prices(held, points, prices)
 
 
-_SUMS = ["deposit", "withdrawal", *[f"cash_{b.lower()}" for b in BUCKETS], *[f"stock_{b.lower()}" for b in BUCKETS]]
+_SUMS = ["deposit", "withdrawal", "held", *[f"cash_{b.lower()}" for b in BUCKETS], *[f"stock_{b.lower()}" for b in BUCKETS]]
 
 
-def _day_rows(df: DataFrame, day: Column, **terms: Column) -> DataFrame:
-    """Rows of one source with all summands of a day; absent ones are NULL."""
-    none = F.lit(None).cast("decimal(20,0)")
-    held = terms.pop("held", F.lit(0))
-    return df.select("portfolio_id", day.alias("date"), *[(fixed(terms[n]) if n in terms else none).alias(n) for n in _SUMS],
-                     held.cast("long").alias("held"))
+def _terms(df: DataFrame, day: Column, name: Column | str, amount: Column) -> DataFrame:
+    """Summands of a day, one row each."""
+    return df.select("portfolio_id", day.alias("date"), (F.lit(name) if isinstance(name, str) else name).alias("name"), fixed(amount).alias("amount"))
+
+
+def _in_bucket(prefix: str) -> Column:
+    return F.concat(F.lit(prefix), F.lower(bucket(F.col("currency"))))
 
 
 def daily_state(tx: DataFrame, ops: DataFrame, instruments: DataFrame, prices: DataFrame, benchmark: str,
@@ -132,20 +133,23 @@ def daily_state(tx: DataFrame, ops: DataFrame, instruments: DataFrame, prices: D
     points = trade_points(tx, instruments)
     if start is not None:
         tx, ops = (d.filter(F.to_date("ts") >= F.lit(start)) for d in (tx, ops))
-    cur, amount = bucket(F.col("currency")), F.col("amount")
-    per_bucket = lambda prefix, value: {f"{prefix}_{b.lower()}": F.when(cur == b, value) for b in BUCKETS}
-    day = F.to_date("ts")
+    day, amount = F.to_date("ts"), F.col("amount")
+    tx_in, ops_in = (d.filter(day <= F.lit(as_of)) for d in (tx, ops))
+    flows = _flow_terms()
+    spans = holding_spans(tx, as_of).filter(F.col("shares") > 0)
     valued = valued_holdings(tx, ops, instruments, prices, as_of, points)
-    sources = [
-        _day_rows(calendar(tx, ops, as_of, start), F.col("date")),
-        _day_rows(ops.filter(day <= F.lit(as_of)), day, **_flow_terms(), **per_bucket("cash", amount)),
-        _day_rows(tx.filter(day <= F.lit(as_of)), day, **per_bucket("cash", trade_impact())),
-        _day_rows(valued, F.col("date"), **per_bucket("stock", F.col("shares") * F.col("price"))),
-        _day_rows(holdings_by_day(tx, as_of, held_only=True), F.col("date"), held=F.lit(1)),
+    rows = [
+        *[_terms(ops_in.filter(c.isNotNull()), day, n, c) for n, c in flows.items()],
+        _terms(ops_in, day, _in_bucket("cash_"), amount),
+        _terms(tx_in, day, _in_bucket("cash_"), trade_impact()),
+        _terms(valued, F.col("date"), _in_bucket("stock_"), F.col("shares") * F.col("price")),
+        _terms(spans, F.col("from_date"), "held", F.lit(1.0)),
+        _terms(spans, F.date_add("to_date", 1), "held", F.lit(-1.0)),
     ]
+    sums = reduce(DataFrame.unionByName, rows).groupBy(*DAY, "name").agg(F.sum("amount").alias("v"))
+    wide = sums.groupBy(*DAY).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in _SUMS])
     zero = F.lit(0).cast("decimal(30,0)")
-    frame = reduce(DataFrame.unionByName, sources).groupBy(*DAY).agg(
-        *[F.coalesce(F.sum(n), zero).alias(n) for n in _SUMS], F.sum("held").alias("held"))
+    frame = calendar(tx, ops, as_of, start).join(wide, DAY, "left").select(*DAY, *[F.coalesce(n, zero).alias(n) for n in _SUMS])
     market = prices.filter(F.col("ticker").isin(*RATE_TICKERS.values(), benchmark)).groupBy("date").agg(
         *[F.max(F.when(F.col("ticker") == t, F.col("close"))).alias(f"day_{c.lower()}") for c, t in RATE_TICKERS.items()],
         F.max(F.when(F.col("ticker") == benchmark, F.col("close"))).alias("day_bench"))
@@ -153,7 +157,7 @@ def daily_state(tx: DataFrame, ops: DataFrame, instruments: DataFrame, prices: D
     frame = frame.join(F.broadcast(market), "date", "left")
     running = lambda n: unfixed(F.sum(n).over(_upto()))
     s = frame.select(
-        *DAY, "held", unfixed(F.col("deposit")).alias("deposit"), unfixed(F.col("withdrawal")).alias("withdrawal"),
+        *DAY, running("held").cast("long").alias("held"), unfixed(F.col("deposit")).alias("deposit"), unfixed(F.col("withdrawal")).alias("withdrawal"),
         unfixed(F.sum(F.col("deposit") - F.col("withdrawal")).over(_upto())).alias("invested"),
         F.max(F.col("deposit") > 0).over(_upto()).alias("funded"),
         *[running(f"cash_{b.lower()}").alias(f"cash_{b.lower()}") for b in BUCKETS],

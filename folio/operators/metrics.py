@@ -62,7 +62,7 @@ def _solve_spread(terms: DataFrame) -> DataFrame:
     Rates are written out after every step, so neither lineage nor a lost executor matters;
     the driver sees only how many portfolios are still open.
     """
-    from ..plans.workspace import pinned
+    from ..tables import pinned
 
     terms = pinned(terms, "xirr-terms")
     rates = terms.select("portfolio_id").distinct().select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import pinned
 from .instruments import map_keys
 from .running import previous
 
@@ -29,40 +30,56 @@ def trade_points(tx: DataFrame, instruments: DataFrame) -> DataFrame:
         "portfolio_id", "ticker", "isin", F.to_date("ts").alias("date"), "ts", "id", "price")
 
 
-def split_ratios(points: DataFrame, prices: DataFrame) -> DataFrame:
-    """H6: per series the first trade that is more than 15 % off the price known for its day, and their ratio.
+def trade_marks(points: DataFrame, prices: DataFrame) -> DataFrame:
+    """Trade points with what H6 and H7 ask of them, from one shuffle of the trades.
 
-    The known price is that of the previous trade on the same day, else the provider's.
+    ratio: trade price to the price known for its day (the previous trade's, else the provider's)
+    if they are more than 15 % apart; `last`: last trade of its ticker's day; `opens`, `closes`:
+    first and last trade of its paper's day; `hit`: the provider has the day. Written out once,
+    because every later step reads it.
     """
-    p = previous(points, [*SERIES, "date"], ["ts", "id"], "price", "earlier")
+    day = [*SERIES, "date"]
+    p = previous(points, day, ["ts", "id"], "price", "earlier")
+    by_ticker = W.partitionBy(*day).orderBy("ts", "id")
+    by_paper = W.partitionBy(*day, "isin").orderBy("ts", "id")
+    p = p.select(
+        "*", F.lead("id").over(by_ticker).isNull().alias("last"),
+        F.lag("id").over(by_paper).isNull().alias("opens"), F.lead("id").over(by_paper).isNull().alias("closes"))
     p = p.join(prices.select("ticker", "date", "close"), ["ticker", "date"], "left")
     known = F.coalesce("earlier", "close")
-    off = (known > 0) & (F.abs(F.col("price") / F.when(known > 0, known) - 1) > SPLIT_GAP)
+    times = F.col("price") / F.when(known > 0, known)
+    return pinned(p.select(
+        *SERIES, "isin", "date", "ts", "id", "price", F.when(F.abs(times - 1) > SPLIT_GAP, times).alias("ratio"),
+        "last", "opens", "closes", F.col("close").isNotNull().cast("int").alias("hit")), "trade-marks")
+
+
+def split_ratios(marks: DataFrame) -> DataFrame:
+    """H6: ratio and place of the first trade of a series that is off its known price."""
+    off = marks.filter(F.col("ratio").isNotNull())
+    first = off.groupBy(*SERIES).agg(F.min("date").alias("date"))
     at = F.struct("ts", "id")
-    return p.filter(off).groupBy(*SERIES).agg(
-        F.min_by(F.col("price") / known, at).alias("ratio"), F.min(at).alias("trigger"))
+    return off.join(first, [*SERIES, "date"]).groupBy(*SERIES).agg(F.min_by("ratio", at).alias("ratio"), F.min(at).alias("trigger"))
 
 
-def trade_day_prices(points: DataFrame, ratios: DataFrame) -> DataFrame:
+def trade_day_prices(marks: DataFrame, ratios: DataFrame) -> DataFrame:
     """H6: a trade day is priced by its last trade, scaled if that trade came before the split was seen."""
-    at = F.struct("ts", "id")
-    days = points.groupBy(*SERIES, "date").agg(F.max_by("price", at).alias("price"), F.max(at).alias("last"))
-    scaled = F.when(F.col("last") < F.col("trigger"), F.col("price") * F.col("ratio")).otherwise(F.col("price"))
+    days = marks.filter("last").select(*SERIES, "date", "price", F.struct("ts", "id").alias("at"))
+    scaled = F.when(F.col("at") < F.col("trigger"), F.col("price") * F.col("ratio")).otherwise(F.col("price"))
     return days.join(ratios, SERIES, "left").select(*SERIES, "date", scaled.alias("price"))
 
 
-def rescaled_prices(points: DataFrame, prices: DataFrame) -> DataFrame:
+def rescaled_prices(marks: DataFrame, prices: DataFrame) -> DataFrame:
     """H6: whole repaired series of every traded (portfolio, ticker)."""
-    ratios = split_ratios(points, prices)
-    own = trade_day_prices(points, ratios)
+    ratios = split_ratios(marks)
+    own = trade_day_prices(marks, ratios)
     provider = (
-        points.select(*SERIES).distinct().join(ratios, SERIES, "left").join(prices, "ticker")
+        marks.select(*SERIES).distinct().join(ratios, SERIES, "left").join(prices, "ticker")
         .select(*SERIES, "date", (F.col("close") * F.coalesce("ratio", F.lit(1.0))).alias("provided"))
     )
     return own.join(provider, [*SERIES, "date"], "full").select(*SERIES, "date", F.coalesce("price", "provided").alias("price"))
 
 
-def interpolated_prices(points: DataFrame, prices: DataFrame) -> DataFrame:
+def interpolated_prices(marks: DataFrame, prices: DataFrame) -> DataFrame:
     """H7: linear prices between the trade days of an ISIN whose provider series is too sparse there.
 
     Sparse: fewer than 10 provider days strictly between first and last trade day that
@@ -70,14 +87,13 @@ def interpolated_prices(points: DataFrame, prices: DataFrame) -> DataFrame:
     no range join is needed.
     """
     paper = ["portfolio_id", "isin", "ticker"]
-    at = F.struct("ts", "id")
-    days = points.groupBy(*paper, "date").agg(
-        F.min_by("price", at).alias("first_price"), F.max_by("price", at).alias("last_price"), F.count(F.lit(1)).alias("n"))
+    days = marks.groupBy(*paper, "date").agg(
+        F.max(F.when(F.col("opens"), F.col("price"))).alias("first_price"), F.max(F.when(F.col("closes"), F.col("price"))).alias("last_price"))
+    closing = F.when(F.col("closes"), F.col("hit"))
+    span = marks.groupBy(*paper).agg(
+        F.min("date").alias("d1"), F.max("date").alias("d2"), F.count(F.lit(1)).alias("trades"), F.sum(closing).alias("hits"),
+        F.max_by("hit", "date").alias("hit2"), F.min_by("hit", "date").alias("hit1"))
     provided = prices.select("ticker", "date", F.lit(1).alias("hit"))
-    days = days.join(provided, ["ticker", "date"], "left")
-    span = days.groupBy(*paper).agg(
-        F.min("date").alias("d1"), F.max("date").alias("d2"), F.sum("n").alias("trades"),
-        F.count("hit").alias("hits"), F.max_by("hit", "date").alias("hit2"), F.min_by("hit", "date").alias("hit1"))
     span = span.filter((F.col("trades") >= 2) & (F.col("d2") > F.col("d1")))
     dense = span.groupBy("ticker").agg(F.min("d1").alias("a"), F.max("d2").alias("b")).select(
         "ticker", F.explode(F.sequence("a", "b")).alias("date"))
@@ -85,8 +101,8 @@ def interpolated_prices(points: DataFrame, prices: DataFrame) -> DataFrame:
     counts = dense.join(provided, ["ticker", "date"], "left").select("ticker", "date", F.count("hit").over(upto).alias("c"))
     first = counts.select("ticker", F.col("date").alias("d1"), F.col("c").alias("c1"))
     last = counts.select("ticker", F.col("date").alias("d2"), F.col("c").alias("c2"))
-    inside = F.col("c2") - F.coalesce("hit2", F.lit(0)) - F.col("c1")
-    on_trade_days = F.col("hits") - F.coalesce("hit1", F.lit(0)) - F.coalesce("hit2", F.lit(0))
+    inside = F.col("c2") - F.col("hit2") - F.col("c1")
+    on_trade_days = F.col("hits") - F.col("hit1") - F.col("hit2")
     sparse = span.join(first, ["ticker", "d1"]).join(last, ["ticker", "d2"]).filter(
         inside - on_trade_days < SPARSE_POINTS).select(*paper)
     w = W.partitionBy(*paper).orderBy("date")
@@ -103,19 +119,22 @@ def held_prices(held: DataFrame, points: DataFrame, prices: DataFrame) -> DataFr
     """H5-H7: price of every held paper on every held day.
 
     held: portfolio_id, isin, ticker, date, ... A day without a price takes the last one seen
-    on a held day of the ticker, 0 before the first.
+    on a held day of the ticker, 0 before the first. Ratios, own prices and held days of a series
+    meet in one sorted window (calendar-bounded), so nothing is joined per day but the provider's close.
     """
-    ratios = split_ratios(points, prices)
-    own = trade_day_prices(points, ratios).select(*SERIES, "date", "price", F.lit(0).alias("rank")).unionByName(
-        interpolated_prices(points, prices).select(*SERIES, "date", "price", F.lit(1).alias("rank")))
-    own = own.groupBy(*SERIES, "date").agg(F.max_by("price", F.struct("rank", "price")).alias("own"))
-    provided = held.join(prices.select("ticker", "date", "close"), ["ticker", "date"], "left")
-    # one placement by series serves both joins and the fill
-    rows = (
-        provided.repartition(*SERIES).join(own.repartition(*SERIES), [*SERIES, "date"], "left")
-        .join(ratios.select(*SERIES, "ratio"), SERIES, "left")
-    )
-    today = F.coalesce("own", F.col("close") * F.coalesce("ratio", F.lit(1.0)))
-    w = W.partitionBy(*SERIES).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    filled = rows.withColumn("price", F.coalesce(F.last(today, ignorenulls=True).over(w), F.lit(0.0)))
-    return filled.drop("own", "close", "ratio")
+    marks = trade_marks(points, prices)
+    ratios = split_ratios(marks)
+    own = trade_day_prices(marks, ratios).select(*SERIES, "date", "price", F.lit(1).alias("kind")).unionByName(
+        interpolated_prices(marks, prices).select(*SERIES, "date", "price", F.lit(2).alias("kind")))
+    first = ratios.select(*SERIES, F.lit("0001-01-01").cast("date").alias("date"), F.col("ratio").alias("price"), F.lit(0).alias("kind"))
+    days = held.join(prices.select("ticker", "date", "close"), ["ticker", "date"], "left").withColumn("kind", F.lit(3))
+    rows = days.unionByName(own.unionByName(first), allowMissingColumns=True)
+    w = W.partitionBy(*SERIES).orderBy("date", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    kind = F.col("kind")
+    known = rows.select(
+        "*", F.last(F.when(kind == 0, F.col("price")), ignorenulls=True).over(w).alias("ratio"),
+        F.last(F.when(kind.isin(1, 2), F.struct("date", "price")), ignorenulls=True).over(w).alias("own"))
+    mine = F.when(F.col("own.date") == F.col("date"), F.col("own.price"))
+    today = F.when(kind == 3, F.coalesce(mine, F.col("close") * F.coalesce("ratio", F.lit(1.0))))
+    filled = known.withColumn("price", F.coalesce(F.last(today, ignorenulls=True).over(w), F.lit(0.0)))
+    return filled.filter(kind == 3).drop("own", "close", "ratio", "kind")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.running import row_numbers
-from . import workspace
+from .. import tables
 
 AS_OF = date(2001, 12, 31)
 BENCHMARK = "^IDX"
@@ -31,7 +31,7 @@ class Ledger:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def stored(self, name: str, build) -> DataFrame:
-        return workspace.stored(self.spark, self.dir, name, build)
+        return tables.stored(self.spark, self.dir, name, build)
 
     # ---- trades -----------------------------------------------------------
     def _transactions(self) -> DataFrame:

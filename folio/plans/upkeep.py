@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import ledger
 from .registry import query
 from .views import VIEWS, fixed_sum
-from .workspace import new_path
+from ..tables import new_path
 
 _TX = "portfolio_id id:l ts:t paper_name isin quantity:d side price:d value:d commission:d total:d currency source"
 _OP = "portfolio_id id:l ts:t operation_type description amount:d currency ticker source"

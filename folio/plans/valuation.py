@@ -123,8 +123,8 @@ def _previous(t):
     return prices.previous_close(t.prices)
 
 
-def points(t):
-    return prices.trade_points(t.transactions, t.instruments)
+def marks(t, provider=None):
+    return prices.trade_marks(prices.trade_points(t.transactions, t.instruments), t.prices if provider is None else provider)
 
 
 def monthly(df, keys, value, digits=6):
@@ -138,12 +138,12 @@ def monthly_sql(view: str, keys: str, value: str, scale: int = 6) -> str:
 
 @query("split_ratios", "portfolio_id ticker ratio:d6", "SELECT portfolio_id, ticker, ratio FROM ratios")
 def _ratios(t):
-    return prices.split_ratios(points(t), t.prices)
+    return prices.split_ratios(marks(t))
 
 
 @query("prices_rescaled", "portfolio_id ticker month:D days:l total:d2 low:d high:d", monthly_sql("rescaled", "portfolio_id, ticker", "price"))
 def _rescaled(t):
-    return monthly(prices.rescaled_prices(points(t), t.prices), ["portfolio_id", "ticker"], "price")
+    return monthly(prices.rescaled_prices(marks(t), t.prices), ["portfolio_id", "ticker"], "price")
 
 
 # the provider prices one day a year only, so most papers are interpolated
@@ -151,7 +151,7 @@ def _rescaled(t):
        monthly_sql(f"({_interp('yearly_prices')}) y", "portfolio_id, isin, ticker", "price"))
 def _interpolated(t):
     yearly = t.prices.filter(F.dayofyear("date") == 100)
-    return monthly(prices.interpolated_prices(points(t), yearly), ["portfolio_id", "isin", "ticker"], "price")
+    return monthly(prices.interpolated_prices(marks(t, yearly), yearly), ["portfolio_id", "isin", "ticker"], "price")
 
 
 @query("prices_filled", "portfolio_id ticker month:D days:l total:d2 low:d high:d", monthly_sql("priced", "portfolio_id, ticker", "price"))
