@@ -23,6 +23,8 @@ DEFAULT_START = date(2021, 12, 1)
 BUCKETS = ("PLN", "USD", "CAD", "EUR")
 RATE_TICKERS = {"USD": "USDPLN=X", "CAD": "CADPLN=X", "EUR": "EURPLN=X"}
 DAY = ["portfolio_id", "date"]
+UNIT_DIGITS = 10  # benchmark units are kept in fixed point
+NOTHING = 1e-6  # money below this counts as none
 
 
 def _by_day():
@@ -186,10 +188,10 @@ def with_benchmark(state: DataFrame) -> DataFrame:
     first = F.col("bench_on") & ~F.coalesce(F.lag("bench_on").over(_by_day()), F.lit(False))
     s = s.withColumn("waiting", F.when(first, unfixed(F.sum(fixed(F.col("deposit"))).over(_upto()))).otherwise(F.col("deposit")))
     step = F.when(F.col("bench_on"), (F.col("waiting") - F.col("withdrawal")) / F.col("bench_price")).otherwise(F.lit(0.0))
-    s = s.withColumn("raw", F.sum(fixed(step, 8)).over(_upto()))
+    s = s.withColumn("raw", F.sum(fixed(step, UNIT_DIGITS)).over(_upto()))
     s = s.withColumn("low", F.least(F.min("raw").over(_upto()), F.lit(0).cast("decimal(30,0)")))
     price = F.coalesce("bench_price", F.lit(0.0))
-    return s.withColumn("bench_value", unfixed(F.col("raw") - F.col("low"), 8) * price).withColumn("bench_price", price).drop("raw", "low", "waiting")
+    return s.withColumn("bench_value", unfixed(F.col("raw") - F.col("low"), UNIT_DIGITS) * price).withColumn("bench_price", price).drop("raw", "low", "waiting")
 
 
 def _mwr(value: Column, on: Column | None = None) -> Column:
@@ -198,14 +200,18 @@ def _mwr(value: Column, on: Column | None = None) -> Column:
     return F.when(cond, (value - F.col("invested")) / F.col("invested") * 100).otherwise(F.lit(0.0))
 
 
-def _chain(s: DataFrame, value: str, name: str, live: Column | None = None) -> DataFrame:
-    """Product of value / (previous value + net flow), begun anew when value returns from nothing."""
+def _chain(s: DataFrame, value: str, name: str, live: Column | None = None, nothing: Column | None = None) -> DataFrame:
+    """Product of value / (previous value + net flow), begun anew when value returns from nothing.
+
+    A base of no more than `nothing`, as after a withdrawal of all there was, leaves the product as it is.
+    """
+    least = F.lit(NOTHING) if nothing is None else nothing
     before = F.coalesce(F.lag(value).over(_by_day()), F.lit(0.0))
     s = s.withColumn("_before", before)
     ok = F.col("_before") > 0
     chained = ok if live is None else ok & live
     base = F.col("_before") + (F.col("deposit") - F.col("withdrawal"))
-    factor = F.when(chained & (base > 0), F.col(value) / F.when(base > 0, base)).otherwise(F.lit(1.0))
+    factor = F.when(chained & (base > least), F.col(value) / F.when(base > least, base)).otherwise(F.lit(1.0))
     again = ~chained & (F.col(value) > 0)
     s = s.withColumn("_f", factor).withColumn("_seg", F.sum(again.cast("int")).over(_upto()))
     w = W.partitionBy("portfolio_id", "_seg").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
@@ -220,7 +226,7 @@ def with_returns(s: DataFrame) -> DataFrame:
     """Money- and time-weighted return of portfolio and benchmark, in percent."""
     s = s.withColumns({"return_pct": _mwr(F.col("value")), "benchmark_return_pct": _mwr(F.col("bench_value"), F.col("bench_on"))})
     s = _chain(s, "value", "twr_pct")
-    return _chain(s, "bench_value", "benchmark_twr_pct", F.col("bench_price") > 0)
+    return _chain(s, "bench_value", "benchmark_twr_pct", F.col("bench_price") > 0, F.col("bench_price") * 1e-8 + NOTHING)
 
 
 def last_activity(tx: DataFrame, ops: DataFrame) -> DataFrame:

@@ -86,8 +86,8 @@ FROM (SELECT *, {', '.join(_RATE.format(t=f'day_{c}', d=d, c=c) for c, d in (('u
       FROM prices GROUP BY date) m ON m.date = c.date
     WINDOW w AS (PARTITION BY c.portfolio_id ORDER BY c.date)) a WHERE funded) b"""
 VIEWS["bench"] = f"""
-SELECT *, CAST(raw - least(min(raw) OVER w, 0) AS DOUBLE) / 1e8 * coalesce(bp, 0) AS bench_value, coalesce(bp, 0) AS bench_price
-FROM (SELECT *, sum({_fix("CASE WHEN bp IS NULL THEN 0 ELSE ((CASE WHEN before IS NULL THEN paid ELSE deposit END) - withdrawal) / bp END", 8)}) OVER w AS raw
+SELECT *, CAST(raw - least(min(raw) OVER w, 0) AS DOUBLE) / 1e10 * coalesce(bp, 0) AS bench_value, coalesce(bp, 0) AS bench_price
+FROM (SELECT *, sum({_fix("CASE WHEN bp IS NULL THEN 0 ELSE ((CASE WHEN before IS NULL THEN paid ELSE deposit END) - withdrawal) / bp END", 10)}) OVER w AS raw
   FROM (SELECT *, lag(bp) OVER w AS before, CAST(sum({_fix('deposit')}) OVER w AS DOUBLE) / 1e6 AS paid
     FROM (SELECT *, last_value(day_bench IGNORE NULLS) OVER w AS bp FROM state WINDOW w AS (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING)) a
     WINDOW w AS (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING)) b
