@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..tables import pinned
 from .instruments import map_keys
-from .running import previous
+from .running import neighbours, ordered
 
 SERIES = ["portfolio_id", "ticker"]
 SPLIT_GAP = 0.15
@@ -39,12 +41,12 @@ def trade_marks(points: DataFrame, prices: DataFrame) -> DataFrame:
     because every later step reads it.
     """
     day = [*SERIES, "date"]
-    p = previous(points, day, ["ts", "id"], "price", "earlier")
-    by_ticker = W.partitionBy(*day).orderBy("ts", "id")
-    by_paper = W.partitionBy(*day, "isin").orderBy("ts", "id")
+    o = ordered(points, day, ["ts", "id"])
+    p = neighbours(o, {"earlier": "price"}, {"later": "id"})
+    p = neighbours(replace(o, df=p, keys=[*day, "isin"]), {"opened": "id"}, {"closed": "id"})
     p = p.select(
-        "*", F.lead("id").over(by_ticker).isNull().alias("last"),
-        F.lag("id").over(by_paper).isNull().alias("opens"), F.lead("id").over(by_paper).isNull().alias("closes"))
+        *points.columns, "earlier", F.col("later").isNull().alias("last"),
+        F.col("opened").isNull().alias("opens"), F.col("closed").isNull().alias("closes"))
     p = p.join(prices.select("ticker", "date", "close"), ["ticker", "date"], "left")
     known = F.coalesce("earlier", "close")
     times = F.col("price") / F.when(known > 0, known)

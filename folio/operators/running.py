@@ -84,7 +84,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str]) -> Ordered:
 
 
 def carry_in(chunks: DataFrame, keys: list[str], kinds: dict[str, str]) -> DataFrame:
-    """State before each chunk: `<name>_in` per column, kind 'sum', 'min' or 'last'.
+    """State before each chunk: `<name>_in` per column, kind 'sum', 'min' or 'last'; 'next' looks ahead instead.
 
     `chunks` has one row per (keys, chunk). Two levels, days of a key and chunks of
     a day, keep both windows small.
@@ -93,17 +93,23 @@ def carry_in(chunks: DataFrame, keys: list[str], kinds: dict[str, str]) -> DataF
         "sum": lambda n: F.sum(n),
         "min": lambda n: F.min(n),
         "last": lambda n: F.max_by(n, F.struct("_at", "_blk")),
+        "next": lambda n: F.min_by(n, F.struct("_at", "_blk")),
     }
     win = {
         "sum": lambda n, w: F.sum(n).over(w),
         "min": lambda n, w: F.min(n).over(w),
         "last": lambda n, w: F.last(n, ignorenulls=True).over(w),
+        "next": lambda n, w: F.last(n, ignorenulls=True).over(w),
     }
     days = chunks.groupBy(*keys, "_day").agg(*[agg[k](n).alias(n) for n, k in kinds.items()])
-    before = W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    days = days.select(*keys, "_day", *[win[k](n, before).alias(f"_d_{n}") for n, k in kinds.items()])
-    inside = W.partitionBy(*keys, "_day").orderBy("_at", "_blk").rowsBetween(W.unboundedPreceding, -1)
-    parts = chunks.select(*keys, *CHUNK, *[win[k](n, inside).alias(f"_c_{n}") for n, k in kinds.items()])
+
+    def window(part: list[str], cols: list[str], kind: str):
+        by = [F.desc(c) if kind == "next" else F.asc(c) for c in cols]
+        return W.partitionBy(*part).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+
+    days = days.select(*keys, "_day", *[win[k](n, window(keys, ["_day"], k)).alias(f"_d_{n}") for n, k in kinds.items()])
+    parts = chunks.select(*keys, *CHUNK, *[
+        win[k](n, window([*keys, "_day"], ["_at", "_blk"], k)).alias(f"_c_{n}") for n, k in kinds.items()])
     out = parts.join(days, keys + ["_day"])
 
     def merged(n: str, k: str) -> Column:
@@ -134,14 +140,26 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "i
     return running_sums(df, keys, order, {name: F.lit(1).cast("long")})
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """lag(value, 1) by key; the value must not be NULL."""
-    o = ordered(df, keys, order)
+def neighbours(o: Ordered, before: dict[str, str] | None = None, after: dict[str, str] | None = None) -> DataFrame:
+    """lag (`before`) and lead (`after`) of values by key: {new column: value column}; values must not be NULL.
+
+    Chunk columns stay on the rows, so one `ordered` can serve several calls.
+    """
+    before, after = before or {}, after or {}
     w = W.partitionBy(*o.part).orderBy(*o.order)
-    local = o.df.withColumn(name, F.lag(value).over(w))
+    local = o.df.select("*", *[F.lag(v).over(w).alias(n) for n, v in before.items()], *[F.lead(v).over(w).alias(n) for n, v in after.items()])
     if not o.split:
         return local
-    last = o.df.groupBy(*o.part).agg(F.max_by(value, F.struct(*order)).alias(name))
-    state = carry_in(last, keys, {name: "last"})
+    at = F.struct(*o.order)
+    ends = o.df.groupBy(*o.part).agg(
+        *[F.max_by(v, at).alias(n) for n, v in before.items()], *[F.min_by(v, at).alias(n) for n, v in after.items()])
+    state = carry_in(ends, o.keys, {**dict.fromkeys(before, "last"), **dict.fromkeys(after, "next")})
     out = local.join(state, o.part)
-    return out.withColumn(name, F.coalesce(name, f"{name}_in")).drop(f"{name}_in", *CHUNK)
+    for n in (*before, *after):
+        out = out.withColumn(n, F.coalesce(n, f"{n}_in")).drop(f"{n}_in")
+    return out
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """lag(value, 1) by key; the value must not be NULL."""
+    return neighbours(ordered(df, keys, order), {name: value}).drop(*CHUNK)

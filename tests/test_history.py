@@ -157,6 +157,10 @@ def test_history_equals_loop(spark, case):
         assert got == pytest.approx(w[1:], rel=1e-6, abs=1e-4), r.date
 
 
+def test_history_of_large_keys(spark, small_chunks):
+    test_history_equals_loop(spark, split_case())
+
+
 def test_drawdown_and_rebase(spark):
     rows = [("P", D0 + timedelta(days=i), float(v), float(i), 0.0, 0.0, 0.0, 100.0) for i, v in enumerate([100, 120, 90, 119, 130, 117])]
     h = spark.createDataFrame(rows, "portfolio_id string, date date, portfolio_value double, return_pct double, benchmark_return_pct double, twr_pct double, benchmark_twr_pct double, invested_cumulative double")

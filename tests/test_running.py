@@ -45,3 +45,23 @@ def test_chunks_split_a_hot_key(spark, small_chunks):
     assert o.split
     largest = o.df.groupBy(*o.part).count().agg(F.max("count")).first()[0]
     assert largest <= 3
+
+
+def check_neighbours(spark):
+    data = rows()
+    o = running.ordered(spark.createDataFrame(data, "k string, ts timestamp, i long, v long"), ["k"], ["ts", "i"])
+    got = {r.i: (r.p, r.n) for r in running.neighbours(o, {"p": "i"}, {"n": "i"}).collect()}
+    want = {}
+    for k in "AB":
+        ids = [r[2] for r in sorted(d for d in data if d[0] == k)]
+        for j, i in enumerate(ids):
+            want[i] = (ids[j - 1] if j else None, ids[j + 1] if j + 1 < len(ids) else None)
+    assert got == want
+
+
+def test_neighbours(spark):
+    check_neighbours(spark)
+
+
+def test_neighbours_chunked(spark, small_chunks):
+    check_neighbours(spark)
