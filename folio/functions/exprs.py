@@ -20,8 +20,9 @@ def polish_number(c: Column) -> Column:
     dense = F.translate(c, SPACES, "")
     comma = F.instr(dense, ",")
     dotted = F.when(comma > 0, F.overlay(dense, F.lit("."), comma, F.lit(1))).otherwise(dense)
+    plain = F.translate(dotted, "0123456789", "").isin("", ".", "-", "-.")
     prefix = F.regexp_extract(dotted, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
-    return F.coalesce(prefix.try_cast("double"), F.lit(0.0))
+    return F.coalesce(F.when(plain, dotted).otherwise(prefix).try_cast("double"), F.lit(0.0))
 
 
 def round_half_up(c: Column, digits: int = 2) -> Column:
@@ -67,23 +68,17 @@ def to_ts(text: Column) -> Column:
     )
 
 
-def _dmy(c: Column, pattern: str, time: Column) -> Column:
-    part = lambda i: F.regexp_extract(c, pattern, i)
-    iso = F.concat(part(3), F.lit("-"), part(2), F.lit("-"), part(1), F.lit("T"), time)
-    return F.when(c.rlike(pattern), iso).otherwise(c)
-
-
-def dotted_date(c: Column) -> Column:
-    """DD.MM.YYYY[ HH:MM:SS] -> ISO text; other text passes through."""
-    day = r"(\d{2})\.(\d{2})\.(\d{4})"
-    time = F.regexp_extract(c, day + r"\s*(\d{2}:\d{2}:\d{2})?", 4)
-    return _dmy(c, day, text_or(time, "00:00:00"))
+def dotted_date(c: Column, gap: str = r"\s*") -> Column:
+    """DD.MM.YYYY[ HH:MM:SS] -> ISO text; other text passes through. gap: what may stand before the time."""
+    iso = F.regexp_replace(c, rf"(?s)^.*?(\d{{2}})\.(\d{{2}})\.(\d{{4}})(?:{gap}(\d{{2}}:\d{{2}}:\d{{2}}))?.*$", "$3-$2-$1T$4")
+    return F.when((iso != c) & F.endswith(iso, F.lit("T")), F.concat(iso, F.lit("00:00:00"))).otherwise(iso)
 
 
 def dashed_date(day: Column, time: Column) -> Column:
-    """DD-MM-YYYY and HH:MM -> ISO text."""
-    clock = F.when(text_or(time, "") == "", F.lit("00:00:00")).otherwise(F.concat(time, F.lit(":00")))
-    return _dmy(day, r"(\d{2})-(\d{2})-(\d{4})", clock)
+    """DD-MM-YYYY and HH:MM -> ISO text; other text passes through."""
+    iso = F.regexp_replace(day, r"(?s)^.*?(\d{2})-(\d{2})-(\d{4}).*$", "$3-$2-$1T")
+    clock = F.when(F.coalesce(time, F.lit("")) == "", F.lit("00:00:00")).otherwise(F.concat(time, F.lit(":00")))
+    return F.when((iso != day) & F.endswith(iso, F.lit("T")), F.concat(iso, clock)).otherwise(day)
 
 
 def serial_or_slashed_ts(c: Column) -> Column:

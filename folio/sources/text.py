@@ -59,11 +59,6 @@ def cell(row: Column, index: Column | int) -> Column:
     return F.when(i >= 0, F.try_element_at(row, i + 1))
 
 
-def named(row: Column, header: Column, name: str) -> Column:
-    """Cell under the first header cell of exactly this name."""
-    return cell(row, F.array_position(header, name) - 1)
-
-
 # ---- which broker (S2, S3) -------------------------------------------------------
 
 BROKERS = ("degiro", "mbank", "bossa", "xtb")
@@ -101,14 +96,19 @@ def detect_broker(files: DataFrame, broker: str = "auto") -> DataFrame:
 TRADE = ["file", "row", "date", "paper_name", "isin", "quantity", "side", "price", "value", "commission", "total", "currency", "source"]
 
 
+def _settled(parsed: DataFrame) -> DataFrame:
+    """Rows as one generated struct `r`: a filter on it is not pushed into the parsing, which would run twice."""
+    return parsed.select(F.explode(F.array(F.struct("*"))).alias("r"))
+
+
 def clean(parsed: DataFrame) -> DataFrame:
     """Accepted rows."""
-    return parsed.filter(F.col("reason").isNull()).drop("reason")
+    return _settled(parsed).filter(F.col("r.reason").isNull()).select("r.*").drop("reason")
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
     """Refused rows with their number and reason."""
-    return parsed.filter(F.col("reason").isNotNull()).select("file", "row", "reason", F.col("paper_name"))
+    return _settled(parsed).filter(F.col("r.reason").isNotNull()).select("r.file", "r.row", "r.reason", "r.paper_name")
 
 
 def blank(c: Column) -> Column:
@@ -116,4 +116,4 @@ def blank(c: Column) -> Column:
 
 
 __all__ = ["TRADE", "blank", "broker_of", "cell", "cells", "clean", "decode_broker_bytes", "detect_broker",
-           "encode_1250", "filled_lines", "named", "raw_lines", "read_broker_text", "rejects", "trimmed"]
+           "encode_1250", "filled_lines", "raw_lines", "read_broker_text", "rejects", "trimmed"]
