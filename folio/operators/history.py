@@ -22,6 +22,11 @@ from .running import running_sums
 DEFAULT_START = date(2021, 12, 1)
 BUCKETS = ("PLN", "USD", "CAD", "EUR")
 RATE_TICKERS = {"USD": "USDPLN=X", "CAD": "CADPLN=X", "EUR": "EURPLN=X"}
+# Benchmark -> label, ticker, price source.
+BENCHMARKS = {
+    "sp500": ("S&P 500", "^GSPC", "yahoo"), "nasdaq": ("NASDAQ", "^IXIC", "yahoo"), "wig20": ("WIG20", "wig20", "stooq"),
+    "mwig40": ("mWIG40", "mwig40", "stooq"), "swig80": ("sWIG80", "swig80", "stooq"),
+}
 DAY = ["portfolio_id", "date"]
 UNIT_DIGITS = 10  # benchmark units are kept in fixed point
 NOTHING = 1e-6  # money below this counts as none

@@ -311,6 +311,13 @@ def _series(t):
     return stats.return_series(hist(t))
 
 
+@query("return_series_twr", "portfolio_id date:D series value:d2", f"""
+SELECT portfolio_id, date, 'portfolio' AS series, twr_pct AS value FROM ({_chain('bench', 'value', 'twr_pct', 'true')}) a JOIN (SELECT portfolio_id, date FROM hist) h USING (portfolio_id, date)
+UNION ALL SELECT portfolio_id, date, 'benchmark', benchmark_twr_pct FROM ({_chain('bench', 'bench_value', 'benchmark_twr_pct', 'bench_price > 0')}) b JOIN (SELECT portfolio_id, date FROM hist) h USING (portfolio_id, date)""")
+def _series_twr(t):
+    return stats.return_series(hist(t), "twr")
+
+
 VIEWS["rets"] = """
 SELECT portfolio_id, date, (portfolio_value - p - (invested_cumulative - i)) / p AS daily_return FROM (SELECT *, lag(portfolio_value) OVER w AS p, lag(invested_cumulative) OVER w AS i FROM hist WINDOW w AS (PARTITION BY portfolio_id ORDER BY date)) l WHERE p > 0"""
 VIEWS["falls"] = """
