@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, packing, quality, secret_scan
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,3 +37,19 @@ def _op1(spark, sf_dir):
 @query("op2_packing")
 def _op2(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def fold(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+@query("op4_quality")
+def _op4(spark, sf_dir):
+    docs, held_out = table(spark, sf_dir, "documents"), fold(3) == 1
+    return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out), held_out)
+
+
+@query("op10_secrets")
+def _op10(spark, sf_dir):
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN))
