@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secret_scan
+from . import bpe, packing, quality, secret_scan, toxicity
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -50,6 +50,12 @@ def _op4(spark, sf_dir):
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out), held_out)
 
 
+@query("op5_toxicity")
+def _op5(spark, sf_dir):
+    docs, held_out = table(spark, sf_dir, "documents"), fold(5) == 0
+    return quality.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out), held_out)
+
+
 @query("op10_secrets")
 def _op10(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN))
