@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secret_scan, toxicity
+from . import bpe, exact, packing, quality, secret_scan, toxicity
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,6 +56,15 @@ def _op5(spark, sf_dir):
     return quality.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out), held_out)
 
 
+@query("op6_exact_dedup", r"""
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size,
+  doc_id = first_value(doc_id) OVER w AS kept, sha256(bare) AS text_sha256
+FROM (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents) d
+WINDOW w AS (PARTITION BY bare ORDER BY n DESC, doc_id)""")
+def _op6(spark, sf_dir):
+    return exact.dedup(table(spark, sf_dir, "documents")).drop("locator")
+
+
 @query("op10_secrets")
 def _op10(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN))

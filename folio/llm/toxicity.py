@@ -33,9 +33,9 @@ BORDERS = " \t.,;:!?\"'()[]{}<>*#$%&|/\\-_"
 
 
 def bare_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """word_codes() of words in lower case and without signs at their borders."""
+    """word_codes() of words in lower case, digits alike and no signs at their borders."""
     words, codes, offsets = blocks.word_codes(texts)
-    bare = pc.utf8_trim(pc.utf8_lower(words), BORDERS).dictionary_encode()
+    bare = pc.replace_substring_regex(pc.utf8_trim(pc.utf8_lower(words), BORDERS), "[0-9]", "0").dictionary_encode()
     return bare.dictionary, bare.indices.to_numpy(zero_copy_only=False)[codes], offsets
 
 
@@ -177,7 +177,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn=None, rows: int = SAMPLE) -> Model:
-    """Class counts of whole labelled texts, three in four of the sample; the rest set the weights. Shared counts of all documents.
+    """Class counts of whole labelled texts: 85 % of the rarer class in the sample, as many of the other; the rest set the
+    weights. Shared counts of all documents.
 
     Without labels every score is 0.5; with those of one class near 0 or 1.
     """
@@ -187,7 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn=No
     both = [quality.sample(labels, label_col, learn & (F.col(label_col) == y), rows // 2) for y in (0, 1)]
     chosen = both[0].unionByName(both[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = pinned(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")  # at most `rows` small rows
-    check = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
+    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    least = min(n.get(0, 0), n.get(1, 0))
+    part = lambda y: int(8_500 * least / max(n.get(y, 0), 1))  # noqa: E731  of ten thousand
+    check = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(10_000)) >= F.when(F.col("label") == 1, part(1)).otherwise(part(0))
     words = pinned(
         known.filter(~check).mapInArrow(_class_words, "word string, n0 long, n1 long")
         .groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-words")
