@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, quality, secret_scan, toxicity
+from . import bpe, exact, packing, quality, secret_scan, toxicity, urls
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -65,6 +65,14 @@ def _op6(spark, sf_dir):
     return exact.dedup(table(spark, sf_dir, "documents")).drop("locator")
 
 
+RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query("op9_url_filter")
+def _op9(spark, sf_dir):
+    return urls.judged(table(spark, sf_dir, "pages"), RULES)
+
+
 @query("op10_secrets")
 def _op10(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN))
