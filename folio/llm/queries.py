@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, quality, secret_scan, toxicity, urls
+from . import bpe, exact, packing, quality, secret_scan, topk, toxicity, urls
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -73,6 +73,17 @@ def _op9(spark, sf_dir):
     return urls.judged(table(spark, sf_dir, "pages"), RULES)
 
 
+@query("op8_topk", """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id) s) r
+WHERE rank <= 5""")
+def _op8(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op10_secrets")
 def _op10(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN))
