@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, quality, secret_scan, topk, toxicity, urls
+from . import bpe, exact, jaccard, packing, quality, secret_scan, topk, toxicity, urls
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -73,6 +73,11 @@ def _op9(spark, sf_dir):
     return urls.judged(table(spark, sf_dir, "pages"), RULES)
 
 
+@query("op7_jaccard_join")
+def _op7(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("sid")
+
+
 @query("op8_topk", """
 WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
