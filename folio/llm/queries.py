@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jaccard, packing, quality, secret_scan, topk, toxicity, urls
+from . import bpe, exact, jaccard, packing, quality, secret_scan, suffixes, topk, toxicity, urls
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,6 +44,11 @@ def fold(n: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
+@query("op3_repeats")
+def _op3(spark, sf_dir):
+    return suffixes.removed(table(spark, sf_dir, "documents"))
+
+
 @query("op4_quality")
 def _op4(spark, sf_dir):
     docs, held_out = table(spark, sf_dir, "documents"), fold(3) == 1
