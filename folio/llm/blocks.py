@@ -53,7 +53,12 @@ def word_codes(texts: pa.Array, separator: str | None = None) -> tuple[pa.Array,
     parts = pc.ascii_split_whitespace(texts) if separator is None else pc.split_pattern(texts, separator)
     offsets = parts.offsets.to_numpy().astype(np.int64)
     coded = parts.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
+    codes, offsets = coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
+    empty = pc.index(coded.dictionary, "").as_py() if separator is None else -1
+    if empty >= 0:  # the splitter gives an empty word at a border that is white
+        full = codes != empty
+        codes, offsets = codes[full], np.concatenate(([0], np.cumsum(full)))[offsets]
+    return coded.dictionary, codes, offsets
 
 
 def sliced(n: int, sizes: np.ndarray, max_bytes: int) -> Iterator[tuple[int, int]]:
