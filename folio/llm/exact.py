@@ -88,6 +88,7 @@ def _differing(keyed: DataFrame, state: DataFrame) -> DataFrame:
     hits = state.filter("group_size > 1").select("key", "keep_id")
     stays = keyed.select("doc_id", F.col("key").alias("own"), F.col("bare").alias("kept")).join(
         hits, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own") == F.col("key"))).select("key", "kept").dropDuplicates(["key"])
+    stays = pinned(stays, "exact-stays")  # so that the join below can split the rows of a hot key
     return keyed.select("key", "bare").join(stays, "key").filter(F.col("bare") != F.col("kept")).select("key").distinct()
 
 
