@@ -3,8 +3,8 @@
 Documents become sets of hashed word shingles; equal sets are one set from then on. Each run splits the sets into buckets by
 tokens they share, sampled as the least token under random hash functions: `SPLITS` a node, deeper wherever a bucket is still
 large. A pair of similarity s survives a level with probability 1 - (1 - s)**SPLITS or better, and runs are repeated until the
-recall wanted at the threshold is reached. Small buckets are compared by brute force; what stays large at the last level is a group
-of near copies, compared block by block. Every comparison is exact. A block reports the links that connect its sets, not all pairs;
+recall wanted at the threshold is reached. Small buckets are compared by brute force; what no split parts is a group of
+near copies, compared block by block. Every comparison is of whole sets (of 40-bit hashes). A block reports the links that connect its sets, not all pairs;
 connected sets form classes, and the links of every set are then counted within its class, block by block again.
 """
 
@@ -29,6 +29,7 @@ RECALL = 0.9999     # of links at the threshold; more similar ones are found mor
 SPLITS = 2
 DEPTH = 4           # levels
 LEAF = 256          # sets in a bucket that is compared at once, and in a block of a larger one
+DENSE = 2           # a bucket with more than 1 / DENSE of the one above it is not split again
 COORDINATES = 64    # random hash functions
 BLOCK_BYTES = 4 << 20
 
@@ -93,7 +94,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in blocks.text_blocks(batches, BLOCK_BYTES):
         found = shingles(blocks.column(table, "text"))
         yield pa.RecordBatch.from_arrays([blocks.column(table, "sid"), pa.array([_digest(s) for s in found], pa.binary()),
-                                          pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "own", "tokens"])
+                                          pa.array([_narrow(s) for s in found], pa.binary())], ["sid", "own", "tokens"])
+
+
+def _narrow(s: np.ndarray) -> bytes:
+    """Five bytes of every hash."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
 # ---- comparing blocks --------------------------------------------------------------------------------------------------------
@@ -149,7 +161,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], lis
 
     def cell():
         first = sum(r[0] == 0 for r in rows)
-        return [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows], first
+        return [r[1] for r in rows], [_wide(r[2]) for r in rows], first
 
     for b in batches:
         keys = list(zip(b.column("node").to_pylist(), b.column("i").to_pylist(), b.column("j").to_pylist(), strict=True))
@@ -217,19 +229,21 @@ def _children(node, seed: int = 0) -> list:
 def buckets(signed: DataFrame, runs: int) -> DataFrame:
     """node, sid, size: the leaves of all paths with two sets and more; of leaves with the same sets, one."""
     roots = [c for r in range(runs) for c in _children(F.lit(r), 1)]
-    level = signed.select("sid", F.explode(F.array(*roots)).alias("node"))
+    level = signed.select("sid", F.explode(F.array(*roots)).alias("node"), F.lit(None).cast("long").alias("above"))
     leaves = []
     for depth in range(1, DEPTH + 1):
         level = pinned(level, "jaccard-level")
         h = F.xxhash64("sid", F.lit("fingerprint"))
-        nodes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(h).alias("x"), F.min(h).alias("low"), F.max(h).alias("high")).filter("size > 1")
-        nodes = pinned(nodes.groupBy("size", "x", "low", "high").agg(F.min("node").alias("node")).select("node", "size"), "jaccard-nodes")
-        last = depth == DEPTH
-        leaves.append(level.join(nodes if last else nodes.filter(F.col("size") <= LEAF), "node").select("node", "sid", "size"))
-        large = nodes.filter(F.col("size") > LEAF)
-        if last or large.isEmpty():
+        nodes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(h).alias("x"), F.min(h).alias("low"), F.max(h).alias("high"), F.max("above").alias("above")).filter("size > 1")
+        nodes = nodes.groupBy("size", "x", "low", "high").agg(F.min("node").alias("node"), F.max("above").alias("above"))
+        # a bucket with most of the one above it holds near copies, which no split parts
+        nodes = pinned(nodes.select("node", "size", ((F.col("size") <= LEAF) | F.coalesce(F.col("size") * DENSE >= F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)).alias("leaf")), "jaccard-nodes")
+        leaves.append(level.join(nodes.filter("leaf"), "node").select("node", "sid", "size"))
+        large = nodes.filter("NOT leaf")
+        if large.isEmpty():
             break
-        level = level.join(large.select("node"), "node").join(signed, "sid").select("sid", F.explode(F.array(*_children(F.col("node")))).alias("node"))
+        level = level.join(large.select("node", "size"), "node").join(signed, "sid").select(
+            "sid", F.explode(F.array(*_children(F.col("node")))).alias("node"), F.col("size").alias("above"))
     out = leaves[0]
     for x in leaves[1:]:
         out = out.unionByName(x)
