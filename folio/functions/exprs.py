@@ -25,22 +25,32 @@ def polish_number(c: Column) -> Column:
     return F.coalesce(F.when(plain, dotted).otherwise(prefix).try_cast("double"), F.lit(0.0))
 
 
+_WHOLE = 2.0**53  # doubles of this size and more are whole numbers
+
+
+def floored(x: Column) -> Column:
+    """floor() of a double as a double; the built-in one ends at the largest BIGINT."""
+    return F.when(F.abs(x) < F.lit(_WHOLE), F.floor(x).cast("double")).otherwise(x)
+
+
 def round_half_up(c: Column, digits: int = 2) -> Column:
     """floor(n * 10^d + 0.5) / 10^d on doubles."""
     scale = F.lit(float(10**digits))
-    return F.floor(c * scale + F.lit(0.5)) / scale
+    return floored(c * scale + F.lit(0.5)) / scale
 
 
-def exact_sum(c: Column, scale: int = 6) -> Column:
-    """Sum of doubles in fixed point, so the result does not depend on shuffle order."""
-    unit = float(10**scale)
-    fixed = F.floor(c.cast("double") * F.lit(unit) + F.lit(0.5)).cast("decimal(20,0)")
-    return F.sum(fixed).cast("double") / F.lit(unit)
+def fixed(c: Column, scale: int = 6) -> Column:
+    """One fixed-point term of `exact_sum`, for running sums; beyond 38 digits it raises."""
+    x = c.cast("double") * F.lit(float(10**scale)) + F.lit(0.5)
+    return F.when(F.abs(x) < F.lit(_WHOLE), F.floor(x).cast("decimal(38,0)")).otherwise(x.cast("decimal(38,0)"))
 
 
-def fixed(c: Column, scale: int = 6) -> Column:
-    """One fixed-point term of `exact_sum`, for running sums."""
-    return F.floor(c.cast("double") * F.lit(float(10**scale)) + F.lit(0.5)).cast("decimal(20,0)")
+def exact_sum(c: Column, scale: int = 6) -> Column:
+    """Sum of doubles in fixed point, so the result does not depend on shuffle order. Of values that are no finite number, their own sum."""
+    c = c.cast("double")
+    odd = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+    total = F.sum(F.when(~odd, fixed(c, scale))).cast("double") / F.lit(float(10**scale))
+    return F.coalesce(F.sum(F.when(odd, c)), total)
 
 
 def unfixed(c: Column, scale: int = 6) -> Column:
@@ -116,7 +126,7 @@ def operation_class(title: Column, amount: Column) -> Column:
 
 def dividend_ticker(title: Column) -> Column:
     """E5: ticker named in a dividend title, NULL if there is none."""
-    return F.nullif(F.regexp_extract(title, r"(?i)dywidendy(?:\s+netto)?\s+(\w+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(title, rf"(?i)dywidendy(?:[{SPACES}]+netto)?[{SPACES}]+(\w+)", 1), F.lit(""))
 
 
 _FX_TITLE = r"Wymiana waluty (\w+/\w+) ([\d.]+)"

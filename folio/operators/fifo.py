@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import QUANTITY, exact_sum, text_or
-from .running import Ordered, carry_in, ordered
+from .running import Ordered, carry_in, ordered, plus, with_state
 
 KEYS = ["portfolio_id", "isin"]
 _AXIS = "decimal(38,8)"
@@ -34,13 +34,14 @@ def _axis(tx: DataFrame, carried: list[str]) -> tuple[DataFrame, Ordered]:
             F.sum(buy).cast(_AXIS).alias("bought"), F.sum(sell).cast(_AXIS).alias("asked"), F.min("low").alias("low")
         )
         sums = carry_in(totals.select(*o.part, "bought", "asked"), KEYS, {"bought": "sum", "asked": "sum"})
-        net_in = F.col("bought_in") - F.col("asked_in")
-        lows = totals.select(*o.part, "low").join(sums, o.part).select(*o.part, (F.col("low") + net_in).cast(_AXIS).alias("low"))
-        state = sums.join(carry_in(lows, KEYS, {"low": "min"}), o.part)
-        df = df.join(state, o.part).select(
+        none = F.lit(0).cast(_AXIS)
+        net_in = F.coalesce("bought_in", none) - F.coalesce("asked_in", none)
+        lows = with_state(totals.select(*o.part, "low"), sums, o.part).select(*o.part, (F.col("low") + net_in).cast(_AXIS).alias("low"))
+        state = with_state(sums, carry_in(lows, KEYS, {"low": "min"}), o.part)
+        df = with_state(df, state, o.part).select(
             *[c for c in df.columns if c not in ("bought", "asked", "net", "low", "low_before")],
-            (F.col("bought") + F.col("bought_in")).cast(_AXIS).alias("bought"),
-            (F.col("asked") + F.col("asked_in")).cast(_AXIS).alias("asked"),
+            plus(F.col("bought"), F.col("bought_in")).cast(_AXIS).alias("bought"),
+            plus(F.col("asked"), F.col("asked_in")).cast(_AXIS).alias("asked"),
             F.least(F.col("low") + net_in, F.col("low_in")).cast(_AXIS).alias("low"),
             F.least(F.col("low_before") + net_in, F.col("low_in")).cast(_AXIS).alias("low_before"),
         )
@@ -57,7 +58,7 @@ def _axis(tx: DataFrame, carried: list[str]) -> tuple[DataFrame, Ordered]:
         return df.withColumn("sold", F.max("served").over(W.partitionBy(*KEYS))).drop("served"), o
     ends = df.groupBy(*o.part).agg(F.max("served").alias("served"))
     ends = ends.select(*o.part, F.max("served").over(W.partitionBy(*KEYS)).alias("sold"))
-    return df.drop("served").join(ends, o.part), o
+    return with_state(df.drop("served"), ends, o.part), o
 
 
 def open_lots(tx: DataFrame) -> DataFrame:
@@ -161,8 +162,8 @@ def matches(tx: DataFrame, carried: list[str]) -> DataFrame:
     ).drop("buy_id", "sell_id")
 
 
-def closed_trades(tx: DataFrame, instruments: DataFrame, commission: str = "compat") -> DataFrame:
-    """One row per (sell, lot) match, newest sell first.
+def closed_trades(tx: DataFrame, instruments: DataFrame, commission: str = "compat", newest_first: bool = True) -> DataFrame:
+    """One row per (sell, lot) match, newest sell first unless the order does not matter.
 
     commission: 'compat' charges a lot's whole commission to the match that uses it
     up and otherwise commission * matched / (rem + matched); 'prorata' splits it by
@@ -193,12 +194,13 @@ def closed_trades(tx: DataFrame, instruments: DataFrame, commission: str = "comp
     )
     on = [c for c in KEYS if c in instruments.columns]
     named = out.join(instruments.select(*on, "ticker", "name"), on, "left")
-    return named.select(
+    out = named.select(
         "portfolio_id", text_or(F.col("name"), F.col("sold_name")).alias("paper_name"), "isin",
         text_or(F.col("ticker"), F.col("isin")).alias("ticker"), "quantity", "buy_date", "buy_price", "buy_commission",
         "sell_date", "sell_price", "sell_commission", "profit_loss", "profit_loss_pct", "holding_days", "currency",
         "sell_transaction_id", "sell_source", "buy_transaction_id",
-    ).orderBy(F.desc("sell_date"))
+    )
+    return out.orderBy(F.desc("sell_date")) if newest_first else out
 
 
 def closed_trade_groups(trades: DataFrame) -> DataFrame:

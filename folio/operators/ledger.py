@@ -39,9 +39,11 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], seq: str = "seq
     return latest.select(*[F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in base.columns])
 
 
-def apply_updates(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """K4: fields present in the change replace those of the row with the same key."""
-    fields = [c for c in changes.columns if c not in keys]
+def apply_updates(base: DataFrame, changes: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
+    """K4: fields present in the change replace those of the row with the same key; of several changes the last by `seq` counts, field by field."""
+    fields = [c for c in changes.columns if c not in keys and c != seq]
+    at = F.struct(F.col(seq)) if seq else F.struct(*fields)
+    changes = changes.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields])
     c = changes.select(*keys, *[F.col(f).alias(f"_new_{f}") for f in fields])
     return base.join(c, keys, "left").select(
         *[F.coalesce(F.col(f"_new_{n}"), F.col(n)).alias(n) if n in fields else F.col(n) for n in base.columns]

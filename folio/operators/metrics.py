@@ -110,7 +110,7 @@ def metrics_history(history: DataFrame, ops: DataFrame, as_of: date, mode: str =
     """Metrics at the end of the history; value includes cash, dividends are added as they are."""
     last = history.groupBy("portfolio_id").agg(
         F.max_by(F.struct("portfolio_value", "invested_cumulative", "return_pct"), "date").alias("l"))
-    owners = ops.select("portfolio_id").distinct()
+    owners = ops.select("portfolio_id").unionByName(last.select("portfolio_id")).distinct()
     zero = F.lit(0.0)
     l = owners.join(last, "portfolio_id", "left").select(
         "portfolio_id", F.coalesce("l.portfolio_value", zero).alias("value"),
@@ -130,7 +130,7 @@ def metrics_live(positions: DataFrame, ops: DataFrame, as_of: date, mode: str =
     net = flows.groupBy("portfolio_id").agg(
         F.coalesce(exact_sum(F.when(F.col("amount") > 0, F.col("amount"))), zero).alias("paid"),
         F.coalesce(exact_sum(F.when(F.col("amount") < 0, -F.col("amount"))), zero).alias("taken"))
-    owners = ops.select("portfolio_id").distinct().join(stocks, "portfolio_id", "left").select(
+    owners = ops.select("portfolio_id").unionByName(stocks.select("portfolio_id")).distinct().join(stocks, "portfolio_id", "left").select(
         "portfolio_id", F.coalesce("value", zero).alias("value"))
     rate = xirr(flows, owners, as_of, mode)
     invested = F.coalesce(F.col("paid") - F.col("taken"), zero)

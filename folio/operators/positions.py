@@ -79,13 +79,15 @@ def cash_positions(balances: DataFrame, rates: DataFrame, positions: DataFrame |
 
 
 def portfolio_totals(positions: DataFrame, cash: DataFrame) -> DataFrame:
-    """Value, profit and cost of each portfolio with positions."""
+    """Value, profit and cost of each portfolio with positions or cash."""
     s = positions.groupBy("portfolio_id").agg(
         exact_sum(F.col("current_value_pln")).alias("stocks_value_pln"), exact_sum(F.col("profit_loss_pln")).alias("profit_loss"))
     c = cash.groupBy("portfolio_id").agg(exact_sum(F.col("value_pln")).alias("cash"))
     cost = F.col("stocks_value_pln") - F.col("profit_loss")
-    value = F.coalesce("cash", F.lit(0.0))
-    return s.join(c, "portfolio_id", "left").select(
+    zero = F.lit(0.0)
+    value = F.coalesce("cash", zero)
+    both = s.join(c, "portfolio_id", "full").withColumns({n: F.coalesce(n, zero) for n in ("stocks_value_pln", "profit_loss")})
+    return both.select(
         "portfolio_id", (F.col("stocks_value_pln") + value).alias("total_value_pln"), "stocks_value_pln",
         value.alias("cash_value_pln"), "profit_loss", cost.alias("cost_basis"),
         F.when(cost > 0, F.col("profit_loss") / cost * 100).otherwise(F.lit(0.0)).alias("profit_loss_pct"))

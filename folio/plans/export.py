@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import floored
+
 
 def _fields(shape: str) -> list[tuple[str, str, int]]:
     out = []
@@ -28,7 +30,7 @@ def shaped(df: DataFrame, shape: str) -> DataFrame:
         elif kind == "d":
             unit = F.lit(float(10**digits))
             c = c.cast("double")
-            c = F.when(~F.isnan(c), F.floor(c * unit + F.lit(0.5)).cast("double") / unit)
+            c = F.when(~F.isnan(c), floored(c * unit + F.lit(0.5)) / unit)
         elif kind == "t":
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif kind == "D":

@@ -31,8 +31,9 @@ FROM (SELECT b.portfolio_id, b.isin, CAST(matched AS DOUBLE) AS q, CAST(matched
     b.commission * (CAST(matched AS DOUBLE) / CAST(b.quantity AS DOUBLE)) AS prorata_commission,
     floor((epoch(s.ts) - epoch(b.ts)) / 86400) AS holding_days, s.currency, s.id AS sell_transaction_id, s.source AS sell_source,
     s.paper_name AS sold_name, b.id AS buy_transaction_id
-  FROM fifo_axis b JOIN fifo_axis s ON b.portfolio_id = s.portfolio_id AND b.isin = s.isin AND b.side = 'K' AND s.side = 'S' AND s.taken > 0
-    AND s.served > b.bought - b.quantity AND s.served - s.taken < b.bought,
+  FROM (SELECT portfolio_id, isin, id, ts, price, commission, quantity, bought FROM fifo_axis WHERE side = 'K') b
+  JOIN (SELECT portfolio_id, isin, id, ts, price, commission, quantity, currency, source, paper_name, served, taken FROM fifo_axis WHERE side = 'S' AND taken > 0) s
+    ON b.portfolio_id = s.portfolio_id AND b.isin = s.isin AND s.served > b.bought - b.quantity AND s.served - s.taken < b.bought,
   LATERAL (SELECT least(b.bought, s.served) - greatest(b.bought - b.quantity, s.served - s.taken) AS matched,
     b.bought - greatest(b.bought - b.quantity, s.served - s.taken) AS rem) l) m
 LEFT JOIN instruments i ON i.isin = m.isin"""
@@ -84,4 +85,4 @@ FROM (SELECT portfolio_id, ticker, CAST(sell_date AS DATE) AS sell_day, first(pa
   min(buy_price) AS min_buy_price, max(buy_price) AS max_buy_price, count(*) AS trades
   FROM fifo_trades GROUP BY portfolio_id, ticker, CAST(sell_date AS DATE)) g""")
 def _groups(t):
-    return fifo.closed_trade_groups(fifo.closed_trades(t.transactions, t.instruments))
+    return fifo.closed_trade_groups(fifo.closed_trades(t.transactions, t.instruments, newest_first=False))

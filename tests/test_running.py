@@ -65,3 +65,58 @@ def test_neighbours(spark):
 
 def test_neighbours_chunked(spark, small_chunks):
     check_neighbours(spark)
+
+
+def odd_rows():
+    """NULL keys, values and times, a day with many time stamps, a second with many rows, and small keys beside the large one."""
+    rnd = random.Random(5)
+    out = []
+    for i in range(150):
+        ts = rnd.choice([None, datetime(2024, 1, 1, 10, 0, 0, rnd.randint(0, 3)), datetime(2024, 1, 1) + timedelta(seconds=rnd.randint(0, 4000)),
+                         datetime(2024, 1, rnd.randint(2, 5))])
+        out.append((rnd.choice(["A", "A", "A", None, "B"]), ts, i, rnd.choice([None, 1, 2, 3])))
+    return [("C", None, 999, None), ("D", datetime(2024, 1, 1), 998, 4), *out]
+
+
+def both_ways(spark, run, key=lambda r: tuple((x is None, x) for x in r)):
+    plain = sorted(map(tuple, run().collect()), key=key)
+    spark.conf.set("spark.folio.hotRows", "2")
+    spark.conf.set("spark.folio.blockRows", "3")
+    try:
+        split = sorted(map(tuple, run().collect()), key=key)
+    finally:
+        spark.conf.unset("spark.folio.hotRows")
+        spark.conf.unset("spark.folio.blockRows")
+    assert plain == split
+    return plain
+
+
+def test_nulls_are_alike_on_both_ways(spark):
+    df = spark.createDataFrame(odd_rows(), "k string, ts timestamp, i long, v long")
+    sums = both_ways(spark, lambda: running.running_sums(df, ["k"], ["ts", "i"], {"s": F.col("v"), "n": F.lit(1).cast("long")}).select("i", "s", "n"))
+    assert len(sums) == len(odd_rows()) and any(s is None for _, s, _ in sums)
+    near = both_ways(spark, lambda: running.neighbours(running.ordered(df, ["k"], ["ts", "i"]), {"p": "v"}, {"q": "v"}).select("i", "p", "q"))
+    assert any(p is None for _, p, _ in near)
+
+
+def test_no_chunk_for_every_time_stamp(spark, small_chunks):
+    data = [("A", datetime(2024, 1, 1) + timedelta(seconds=i), i, 1) for i in range(60)]
+    o = running.ordered(spark.createDataFrame(data, "k string, ts timestamp, i long, v long"), ["k"], ["ts", "i"])
+    chunks = o.df.groupBy(*o.part).count().collect()
+    assert len(chunks) <= 60 // 3 + 1 and max(r["count"] for r in chunks) <= 4
+
+
+def test_lots_are_alike_on_both_ways(spark):
+    from folio.operators import fifo
+
+    from .conftest import TX
+
+    rnd = random.Random(9)
+    rows = []
+    for i in range(120):
+        ts = datetime(2024, 1, rnd.randint(1, 3), rnd.randint(0, 2), 0, rnd.randint(0, 50))
+        rows.append((rnd.choice(["P", "P", None]), i, ts, "n", rnd.choice(["X", "X", None]), rnd.randint(1, 9), rnd.choice("KKS"), 1.0 + i, 1.0, 0.5, 1.0, "PLN", "s"))
+    tx = spark.createDataFrame(rows, TX.replace("decimal(28,8)", "long")).withColumn("quantity", F.col("quantity").cast("decimal(28,8)"))
+    lots = both_ways(spark, lambda: fifo.open_lots(tx).select("portfolio_id", "isin", "id", "quantity"))
+    assert any(p is None for p, *_ in lots)
+    both_ways(spark, lambda: fifo.matches(tx, []).select("portfolio_id", "isin", F.col("buy.id").alias("b"), F.col("sell.id").alias("s"), "matched", "rem"))
