@@ -31,6 +31,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], max_bytes: int, text: str = "
             if held and size + more > max_bytes:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
                 continue
             held.append(part)
             size += more

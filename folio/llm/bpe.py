@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from . import blocks
 
-BLOCK_BYTES = 32 << 20      # text replayed together
+BLOCK_BYTES = 24 << 20      # text replayed together
 OUT_BYTES = 4 << 20         # text per output batch
 HELD_WORDS = 400_000        # words whose ids a task remembers from block to block; then it starts anew
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import blocks, bpe
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 RATIO = 2.0         # characters per token, at most
 KINDS = ("assign", "access", "hex", "random")
 

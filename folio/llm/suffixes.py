@@ -4,11 +4,12 @@ A suffix array over every byte would sort many times the corpus. Two occurrences
 that their bytes alone decide, so positions are sampled by content: the least hashed GRAM of every window of WINDOW bytes is an
 anchor, and each start of a string belongs to the anchor of its first window. Prefix doubling ranks the anchors. At first the rank
 of an anchor is that of the bytes up to the next one; then Spark brings together the ranks at growing offsets, ranks the pairs
-anew, and drops what is unique, until the bytes behind an anchor are as many as every string of that anchor must share.
+anew, and drops what is unique. The last pair takes in all the bytes behind an anchor that every string of it must share.
 
-The starts that belong to an anchor form one interval. Where the bytes that all its strings cover stand twice, every start is
-repeated. Other anchors of a shared rank are compared start by start; of anchors that are equal as a whole, one stands for all, so
-copies are never paired. Texts travel compressed.
+The starts that belong to an anchor form one interval. Intervals of one rank fall into classes by the bytes that all their strings
+cover: in a class of two, every start is repeated. Where a rank has several classes, one interval stands for each, is parted
+into short ones (ranked by the bytes that all their strings share) and those into single starts, so copies are never paired and
+few starts are compared one by one. Texts travel compressed.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import pinned
+from ..tables import discard, pinned
 from . import blocks
 
 LENGTH = 400
@@ -32,6 +33,8 @@ WINDOW = 128
 GRAM = 8
 BLOCK_BYTES = 2 << 20
 SEGMENT = 1 << 21       # positions hashed at once
+RUN = 4                 # bytes up to so many anchors are ranked by doubling
+PART = 8                # starts in a short interval
 _LAST = np.uint64(2**64 - 1)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -82,8 +85,8 @@ def _least(raw: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray,
 def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, window: int = WINDOW) -> dict[str, np.ndarray]:
     """Anchors of texts end to end: text, i (number in the text), at, low, high (its starts; none if low > high), run, rank, whole.
 
-    run: anchors whose bytes every string of this anchor covers, as a power of two. rank: hash of the bytes up to the next anchor.
-    whole: hash of all bytes that its strings cover.
+    run: anchors whose bytes every string of this anchor covers, as a power of two up to RUN. rank: hash of the bytes up to the next
+    anchor. core: of all the bytes behind it that its strings share. whole: of all bytes that they cover.
     """
     anchor, low, high = _least(raw, ends, window)
     text = np.searchsorted(starts, anchor, "right") - 1
@@ -91,7 +94,7 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
     n = len(anchor)
     run = np.zeros(n, np.int64)
     step = 1
-    while step < n and step <= reach:
+    while step < n and step <= RUN:
         far = np.zeros(n, bool)
         far[:-step] = (text[step:] == text[:-step]) & (anchor[step:] - anchor[:-step] <= reach)
         if not far.any():
@@ -104,9 +107,11 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
     view, hashed = memoryview(raw), xxhash.xxh3_64_intdigest
     rank = np.fromiter((hashed(view[a:b]) for a, b in zip(anchor[keep].tolist(), anchor[keep + 1].tolist(), strict=True)), np.uint64, len(keep))
     whole = np.fromiter((hashed(view[a:b + length]) if a <= b else 0 for a, b in zip(low[keep].tolist(), high[keep].tolist(), strict=True)), np.uint64, len(keep))
+    tail = length - window + 1
+    core = np.fromiter((hashed(view[a:a + tail]) for a in anchor[keep].tolist()), np.uint64, len(keep))
     base = starts[text[keep]]
     return {"text": text[keep], "i": number[keep], "at": anchor[keep] - base, "low": low[keep] - base, "high": high[keep] - base,
-            "run": run[keep], "rank": rank.view(np.int64), "whole": whole.view(np.int64)}
+            "run": run[keep], "rank": rank.view(np.int64), "core": core.view(np.int64), "whole": whole.view(np.int64)}
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,33 +136,40 @@ def _anchored(length: int, window: int):
             down = np.where(none, 1, found["at"] - found["high"])
             packed = found["at"] << 24 | up << 14 | down << 4 | np.log2(found["run"]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[long][found["text"]]), pa.array(found["i"].astype(np.int32)), pa.array(packed), pa.array(found["rank"]), pa.array(found["whole"])],
-                ["key", "i", "place", "rank", "whole"])
+                [pa.array(key[long][found["text"]]), pa.array(found["i"].astype(np.int32)), pa.array(packed), *(pa.array(found[c]) for c in ("rank", "core", "whole"))],
+                ["key", "i", "place", "rank", "core", "whole"])
     return run
 
 
 def _unpacked(df: DataFrame) -> DataFrame:
     at = F.shiftright("place", 24)
     part = lambda shift: F.shiftright("place", shift).bitwiseAND(F.lit(1023))
-    return df.withColumn("low", at - part(14)).withColumn("high", at - part(4)).drop("place")
+    return df.withColumn("at", at).withColumn("low", at - part(14)).withColumn("high", at - part(4)).drop("place")
 
 
-def doubled(found: DataFrame, steps: int) -> DataFrame:
-    """Anchors whose run of bytes stands twice at least, ranked by that run: key, i, place, rank, whole."""
-    run = F.pow(F.lit(2.0), F.col("place").bitwiseAND(F.lit(15))).cast("int")
+def _shared(df: DataFrame) -> DataFrame:
+    """Rows whose rank stands twice at least."""
+    twice = df.groupBy("rank").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("rank")
+    return df.join(twice, "rank")
 
-    def shared(df: DataFrame) -> DataFrame:
-        twice = df.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rank")
-        return df.join(twice, "rank")
 
-    live, step = pinned(shared(found), "suffix-ranks"), 1
-    while step < steps:
+def doubled(found: DataFrame) -> DataFrame:
+    """Anchors whose bytes, as far as all their strings share them, stand twice at least; equal ranks are equal bytes."""
+    run = F.pow(F.lit(2.0), F.col("place").bitwiseAND(F.lit(15))).cast("int")
+    live, step = pinned(_shared(found), "suffix-ranks"), 1
+    discard(found)
+    while step < RUN:
         later = live.select("key", (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
         done = live.filter(run <= step)
         pairs = live.filter(run > step).join(later, ["key", "i"]).withColumn("rank", F.xxhash64("rank", "next", F.lit(step))).drop("next")
-        live = pinned(shared(done.unionByName(pairs)), "suffix-ranks")
+        before, live = live, pinned(_shared(done.unionByName(pairs)), "suffix-ranks")
+        discard(before)
         step *= 2
-    return live
+    # anchors without a start have served as later ranks only
+    full = _unpacked(live).filter("low <= high").withColumn("rank", F.xxhash64("rank", "core")).select("key", "at", "low", "high", "rank", "whole")
+    out = pinned(_shared(full), "suffix-live")
+    discard(live)
+    return out
 
 
 # ---- texts -------------------------------------------------------------------------------------------------------------------
@@ -172,32 +184,49 @@ def _unzip(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def _starts(length: int):
-    """Every start of the given anchors: rank, hash of its string, n, key, start."""
+def _parted(length: int):
+    """The short intervals of the given ones: rank of the bytes that all strings of such an interval share, hash of those they cover,
+    the hashes of the single strings."""
+    names = ["rank", "whole", "n", "key", "low", "high", "strings"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [[], [], [], [], []], 0
+        hashed, out = xxhash.xxh3_64_intdigest, []
 
         def batch():
-            columns = [pa.array(np.concatenate(c)) for c in out]
-            return pa.RecordBatch.from_arrays(columns, ["rank", "string", "n", "key", "start"])
+            rank, whole, *rest, strings = zip(*out, strict=True)
+            signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (rank, whole)]
+            return pa.RecordBatch.from_arrays([*signed, *(pa.array(c, pa.int64()) for c in rest), pa.array(strings, pa.binary())], names)
 
         for b in batches:
             for key, raw, items in zip(b.column("key").to_pylist(), b.column("raw"), b.column("items").to_pylist(), strict=True):
                 view = memoryview(_unzip(raw.as_py()))
                 for x in items:
-                    p = np.arange(x["low"], x["high"] + 1)
-                    h = np.fromiter((xxhash.xxh3_64_intdigest(view[a:a + length]) for a in p.tolist()), np.uint64, len(p))
-                    for c, v in zip(out, (np.full(len(p), x["rank"]), h.view(np.int64), np.full(len(p), x["n"]), np.full(len(p), key), p), strict=True):
-                        c.append(v)
-                    held += len(p)
-                    if held > 200_000:
-                        yield batch()
-                        out, held = [[], [], [], [], []], 0
-        if held:
+                    at, rank = x["at"], x["rank"].to_bytes(8, "little", signed=True)
+                    for g in range((at - x["high"]) // PART, (at - x["low"]) // PART + 1):
+                        # starts from PART * g to PART * g + PART - 1 bytes before the anchor
+                        low, high = max(x["low"], at - PART * g - PART + 1), min(x["high"], at - PART * g)
+                        inner = view[at - PART * g:at - PART * g - PART + 1 + length]
+                        strings = np.array([hashed(view[p:p + length]) for p in range(low, high + 1)], "<u8").tobytes()
+                        edge = (at - low).to_bytes(4, "little") + (at - high).to_bytes(4, "little")
+                        out.append((hashed(rank + g.to_bytes(4, "little") + xxhash.xxh3_64_digest(inner)), hashed(edge + strings), x["n"], key, low, high, strings))
+                if len(out) > 20_000:
+                    yield batch()
+                    out.clear()
+        if out:
             yield batch()
     return run
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short intervals to their starts."""
+    for b in batches:
+        strings = [np.frombuffer(x, "<i8") for x in b.column("strings").to_pylist()]
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        low = np.repeat(b.column("low").to_numpy(), sizes) + np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else np.zeros(0, np.int64)
+        rest = [np.repeat(b.column(c).to_numpy(), sizes) for c in ("n", "key")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(strings) if strings else np.zeros(0, np.int64)), *map(pa.array, rest), pa.array(low)], ["string", "n", "key", "low"])
+
+
 def kept(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
     """What is left without the strings that start in the given intervals; bytes and maximal runs removed."""
     out, at, removed, runs = [], 0, 0, 0
@@ -238,17 +267,29 @@ def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, with_te
     """
     texts = blocks.keyed(docs, id_col, text_col)
     key = F.xxhash64("doc_id", "text")
-    found = pinned(texts.select(key.alias("key"), "text").mapInArrow(_anchored(length, window), "key long, i int, place long, rank long, whole long"), "suffix-anchors")
-    live = _unpacked(doubled(found, max(1, length - 2 * window - GRAM + 2))).filter("low <= high")
-    live = pinned(live.select("key", "low", "high", "rank", "whole"), "suffix-live")
-    classes = pinned(live.groupBy("rank", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "low", "high")).alias("one")), "suffix-classes")
-    repeated = live.join(classes.filter("n > 1").select("rank", "whole"), ["rank", "whole"]).select("key", "low", "high")
-    mixed = classes.groupBy("rank").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("rank")
-    asked = classes.join(mixed, "rank").select("one.*", "rank", "n").groupBy("key").agg(F.collect_list(F.struct("low", "high", "rank", "n")).alias("items"))
     raw = texts.select("doc_id", key.alias("key"), "text").mapInArrow(_compressed, "doc_id long, key long, raw binary")
-    starts = pinned(asked.join(raw, "key").select("key", "raw", "items").mapInArrow(_starts(length), "rank long, string long, n long, key long, start long"), "suffix-starts")
-    twice = starts.groupBy("rank", "string").agg(F.sum("n").alias("all")).filter("all > 1").select("rank", "string")
-    single = starts.filter("n = 1").join(twice, ["rank", "string"]).select("key", F.col("start").alias("low"), F.col("start").alias("high"))
-    spans = repeated.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("items"))  # no more than bytes in a text
+    hashes = "rank long, core long, whole long"
+    live = doubled(pinned(texts.select(key.alias("key"), "text").mapInArrow(_anchored(length, window), f"key long, i int, place long, {hashes}"), "suffix-anchors"))
+
+    def classes(items: DataFrame, one: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Classes that stand twice, and of ranks with several classes the one that stands for each."""
+        found = pinned(items.groupBy("rank", "whole").agg(F.sum("n").alias("n"), F.min(F.struct(*one)).alias("one")), "suffix-classes")
+        mixed = found.groupBy("rank").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).filter("classes > 1 AND least = 1").select("rank")
+        return found.filter("n > 1").select("rank", "whole"), found.join(mixed, "rank").select("one.*", "rank", "n")
+
+    twice, mixed = classes(live.withColumn("n", F.lit(1)), ["key", "at", "low", "high"])
+    repeated = pinned(live.join(twice, ["rank", "whole"]).select("key", "low", "high"), "suffix-repeated")
+    discard(live)
+    asked = mixed.groupBy("key").agg(F.collect_list(F.struct("at", "low", "high", "rank", "n")).alias("items"))
+    schema = "rank long, whole long, n long, key long, low long, high long, strings binary"
+    parts = pinned(asked.join(raw, "key").select("key", "raw", "items").mapInArrow(_parted(length), schema), "suffix-parts")
+    twice, mixed = classes(parts, ["key", "low", "high", "strings"])
+    # classes that stood twice already are repeated as a whole; single ones may be part by part
+    short = parts.filter("n = 1").join(twice, ["rank", "whole"]).select("key", "low", "high")
+    starts = pinned(mixed.select("n", "key", "low", "strings").mapInArrow(_single, "string long, n long, key long, low long"), "suffix-starts")
+    again = starts.groupBy("string").agg(F.sum("n").alias("all")).filter("all > 1").select("string")
+    single = starts.filter("n = 1").join(again, "string").select("key", "low", F.col("low").alias("high"))
+    spans = pinned(repeated.unionByName(short).unionByName(single).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("items")), "suffix-spans")  # no more than bytes in a text
+    discard(parts, starts, repeated)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return raw.join(spans, "key", "left").select("doc_id", "raw", "items").mapInArrow(_cut(length, with_text), schema)
