@@ -28,7 +28,8 @@ THRESHOLD = 0.8
 RECALL = 0.9999     # of links at the threshold; more similar ones are found more surely
 SPLITS = 2
 DEPTH = 4           # levels
-LEAF = 256          # sets in a bucket that is compared at once, and in a block of a larger one
+LEAF = 256          # sets in a bucket that is not split any further
+BLOCK = 1_024       # sets compared at once; larger buckets in blocks of about so many
 DENSE = 2           # a bucket with more than 1 / DENSE of the one above it is not split again
 COORDINATES = 64    # random hash functions
 BLOCK_BYTES = 4 << 20
@@ -204,11 +205,11 @@ def _counted(threshold: float):
 
 
 def _compared(members: DataFrame, sets: DataFrame, run, schema: str) -> DataFrame:
-    """Run `run` over the cells of every node: blocks of about LEAF sets, each with itself and with every later one.
+    """Run `run` over the cells of every node: blocks of about BLOCK sets, each with itself and with every later one.
 
     members: node, sid, size (sets in the node).
     """
-    parts = F.ceil(F.col("size") / LEAF)
+    parts = F.ceil(F.col("size") / BLOCK)
     placed = members.withColumn("part", F.pmod(F.xxhash64("sid", "node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     cells = placed.select(
         "node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "sid")

@@ -132,6 +132,7 @@ def brute_classes(rows, threshold):
 
 @pytest.mark.parametrize("leaf", [256, 6])
 def test_jaccard_join(frame, monkeypatch, leaf):
+    monkeypatch.setattr(jaccard, "BLOCK", leaf)
     monkeypatch.setattr(jaccard, "LEAF", leaf)  # 6: large buckets are split, and compared block by block
     r = random.Random(3)
     rows = [*EDGES, (10, "one two three four"), (11, "ONE two  three four"), (12, "one two three")]
