@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import fixed, num_or, unfixed
 from .cash import cash_rows, trade_impact
-from .instruments import DEFAULT_RATES, map_keys
+from .instruments import DEFAULT_RATES, history_prices, map_keys
 from .prices import held_prices, trade_points
 from .running import running_sums
 
@@ -253,7 +253,8 @@ def until_closed(s: DataFrame, activity: DataFrame) -> DataFrame:
 
 def portfolio_history(tx: DataFrame, ops: DataFrame, instruments: DataFrame, prices: DataFrame, benchmark: str,
                       as_of: date, start: date | None = None) -> DataFrame:
-    """One row per portfolio and day."""
+    """One row per portfolio and day. Prices with a column `source` are those of each ticker's chosen source."""
+    prices = history_prices(instruments, prices)
     state = daily_state(tx, ops, instruments, prices, benchmark, as_of, start)
     s = until_closed(with_returns(with_benchmark(state)), last_activity(tx, ops))
     return s.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clean_paper_name, is_isin, num_or, text_or
@@ -82,13 +83,22 @@ def equity_hits(raw: DataFrame) -> DataFrame:
 
 
 def search_merge(local: DataFrame, polish: DataFrame, world: DataFrame, n: int = 15) -> DataFrame:
-    """first n symbols of three answers, in that order of trust; upper-case duplicates drop out."""
+    """first n symbols of three answers, in that order of trust; upper-case duplicates drop out.
+
+    Within an answer its own order counts (column `pos`, where there is one), then name and symbol. With a column `query`, for
+    each search text.
+    """
     cols = ["symbol", "name", "exchange", "currency"]
-    parts = [d.select(*cols, F.lit(i).alias("rank")) for i, d in enumerate((local, polish, world))]
-    best = reduce(DataFrame.unionByName, parts).groupBy(F.upper("symbol").alias("key")).agg(
-        F.min_by(F.struct(*cols, "rank"), F.struct("rank", "name", "symbol")).alias("hit"))
-    hit = best.select("hit.*")
-    return hit.orderBy("rank", "name", "symbol").limit(n)
+    on = [c for c in ("query",) if c in local.columns]
+    place = lambda d: F.col("pos").cast("long") if "pos" in d.columns else F.lit(0).cast("long")
+    parts = [d.select(*on, *cols, F.lit(i).alias("rank"), place(d).alias("pos")) for i, d in enumerate((local, polish, world))]
+    best = reduce(DataFrame.unionByName, parts).groupBy(*on, F.upper("symbol").alias("key")).agg(
+        F.min_by(F.struct(*cols, "rank", "pos"), F.struct("rank", "pos", "name", "symbol")).alias("hit"))
+    hit = best.select(*on, "hit.*")
+    if not on:
+        return hit.orderBy("rank", "pos", "name", "symbol").limit(n).drop("pos")
+    first = F.row_number().over(W.partitionBy(*on).orderBy("rank", "pos", "name", "symbol"))
+    return hit.withColumn("_n", first).filter(F.col("_n") <= n).drop("_n", "pos")
 
 
 # ---- enrichment (J1, J3-J6) ------------------------------------------------------
@@ -116,7 +126,7 @@ def polish_source(source: Column, ticker: Column) -> Column:
 
 def quotes_selected(instruments: DataFrame, quotes: DataFrame) -> DataFrame:
     """The quote of each instrument from the source it is priced by; `quotes` has (ticker, source)."""
-    source = F.when(polish_source(F.col("price_source"), F.col("ticker")), "stooq").otherwise("yahoo")
+    source = quote_source(F.col("price_source"), F.col("ticker"))
     wanted = instruments.select("ticker", source.alias("source")).distinct()
     return wanted.join(quotes, ["ticker", "source"], "left").select("ticker", "source", "price", "previous_close")
 
@@ -163,10 +173,24 @@ def choose_price_source(instruments: DataFrame, prices: DataFrame) -> DataFrame:
 
 def chosen_prices(instruments: DataFrame, prices: DataFrame) -> DataFrame:
     """The price rows of each ticker's chosen source."""
-    choice = choose_price_source(instruments, prices).select("ticker", "source")
+    choice = choose_price_source(instruments, prices).select("ticker", "source").distinct()
     return prices.join(choice, ["ticker", "source"])
 
 
+def history_prices(instruments: DataFrame, prices: DataFrame) -> DataFrame:
+    """Prices of the history: of each ticker's chosen source if they have one; rates and benchmarks come from the global source."""
+    if "source" not in prices.columns:
+        return prices
+    choice = choose_price_source(instruments, prices).select("ticker", F.col("source").alias("_chosen")).distinct()
+    wanted = F.coalesce("_chosen", F.lit("yahoo"))
+    return prices.join(choice, "ticker", "left").filter(F.col("source") == wanted).select("ticker", "date", "close")
+
+
+def quote_source(source: Column, ticker: Column) -> Column:
+    """The source an instrument is quoted from."""
+    return F.when(polish_source(source, ticker), "stooq").otherwise("yahoo")
+
+
 def unknown_instruments(tx: DataFrame, instruments: DataFrame) -> DataFrame:
     """ISINs that are not mapped, with name and currency of their first trade."""
     on = map_keys(instruments)
@@ -177,35 +201,28 @@ def unknown_instruments(tx: DataFrame, instruments: DataFrame) -> DataFrame:
 
 # ---- name to ISIN (J7) -------------------------------------------------------------
 
-_GRAM = 8
-
-
-def _grams(text: Column) -> Column:
-    """All distinct parts of a text, up to _GRAM characters long."""
+def _parts(text: Column, lengths: Column) -> Column:
+    """All distinct parts of a text that have one of the lengths."""
     n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    parts = F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(_GRAM), n - s + 1)), lambda k: F.substr(text, s, k)))
-    return F.array_distinct(F.flatten(parts))
+    fitting = F.filter(lengths, lambda k: (k > 0) & (k <= n))
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda k: F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda s: F.substr(text, s, k)))))
 
 
-def containing(needles: DataFrame, hay: DataFrame, on: list[str], needle: str, text: str, best: Column) -> DataFrame:
-    """For each needle the best (lowest `best`) row of `hay` whose `text` contains it, as struct `hit`.
+def containing(needles: DataFrame, hay: DataFrame, on: list[str], needle: str, text: str, best: Column | dict[str, Column]) -> DataFrame:
+    """For each needle the best (lowest `best`) row of `hay` whose `text` contains it, as struct `hit`; several orders by name.
 
-    An equi-join on text parts, not a comparison of all pairs: a short needle is a
-    part itself and meets one pre-aggregated row; a longer one meets the texts that
-    share its first characters.
+    An equi-join on whole needles: the texts are cut into parts of the lengths that needles have, and of equal parts only the
+    best row is kept before the join, so names that begin alike do not meet.
     """
-    row = F.struct(best.alias("rank"), *[c for c in hay.columns if c not in on])
-    parts = hay.select(*on, row.alias("hit"), F.explode(_grams(F.col(text))).alias("part"))
-    short = parts.groupBy(*on, "part").agg(F.min("hit").alias("hit"))
+    orders = best if isinstance(best, dict) else {"hit": best}
     asked = needles.filter(F.length(needle) > 0)
-    size, part = F.length(needle), F.left(F.col(needle), F.lit(_GRAM)).alias("part")
-    a = asked.filter(size <= _GRAM).select("*", part).join(short, [*on, "part"])
-    b = asked.filter(size > _GRAM).select("*", part).join(parts, [*on, "part"]).filter(
-        F.contains(F.col(f"hit.{text}"), F.col(needle)))
-    keys = needles.columns
-    return a.select(*keys, "hit").unionByName(b.select(*keys, "hit")).groupBy(*keys).agg(F.min("hit").alias("hit"))
+    lengths = asked.agg(F.collect_set(F.length(needle)).alias("_lengths")).withColumn("_one", F.lit(1))  # one row, no more than the longest needle
+    rows = [F.struct(c.alias("rank"), *[x for x in hay.columns if x not in on]).alias(n) for n, c in orders.items()]
+    cut = hay.withColumn("_one", F.lit(1)).join(F.broadcast(lengths), "_one").select(
+        *on, *rows, F.explode(_parts(F.col(text), F.col("_lengths"))).alias(needle))
+    found = cut.groupBy(*on, needle).agg(*[F.min(n).alias(n) for n in orders])
+    return asked.distinct().join(found, [*on, needle]).select(*needles.columns, *orders)
 
 
 def name_to_isin(names: DataFrame, instruments: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -362,9 +379,8 @@ def resolve_instruments(unknown: DataFrame, catalogue: DataFrame, aliases: dict[
     v = v.withColumn("needle", F.upper("variant"))
     titles = w.select("pos", "symbol", "name", "exchange", "currency", F.upper("name").alias("title"))
     asked = v.select("needle").distinct()
-    plain = containing(asked, titles, [], "needle", "title", F.struct(F.lit(False), "pos"))
-    warsaw = containing(asked, titles, [], "needle", "title", F.struct(~F.endswith("symbol", F.lit(".WA")), "pos"))
-    both = plain.withColumnRenamed("hit", "any_hit").join(warsaw.withColumnRenamed("hit", "wa_hit"), "needle")
+    both = containing(asked, titles, [], "needle", "title", {
+        "any_hit": F.struct(F.lit(False), "pos"), "wa_hit": F.struct(~F.endswith("symbol", F.lit(".WA")), "pos")})
     by_name_ = v.join(both, "needle").withColumn(
         "hit", F.when(F.col("first"), F.struct(*[F.col(f"wa_hit.{c}").alias(c) for c in ("symbol", "name", "exchange", "currency")]))
         .otherwise(F.struct(*[F.col(f"any_hit.{c}").alias(c) for c in ("symbol", "name", "exchange", "currency")])))

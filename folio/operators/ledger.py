@@ -120,18 +120,19 @@ def manual_operations(entries: DataFrame) -> DataFrame:
 
 
 def auto_instruments(symbols: DataFrame, instruments: DataFrame, quotes: DataFrame) -> DataFrame:
-    """K9: placeholder instruments for symbols that are quoted but not mapped."""
+    """K9: placeholder instruments for symbols that are quoted but not mapped; per portfolio, if symbols and instruments have one."""
+    own = [c for c in ("portfolio_id",) if c in symbols.columns and c in instruments.columns]
     symbol = F.upper("symbol")
     warsaw = F.endswith(symbol, F.lit(".WA"))
-    unknown = symbols.select("symbol").distinct().join(
-        instruments.select(F.col("ticker").alias("symbol")), "symbol", "left_anti")
+    unknown = symbols.select(*own, "symbol").distinct().join(
+        instruments.select(*own, F.col("ticker").alias("symbol")), [*own, "symbol"], "left_anti")
     found = unknown.join(quotes.select(F.col("ticker").alias("symbol"), "currency"), "symbol")
     return found.select(
-        F.concat(F.lit("AUTO_"), symbol).alias("isin"), symbol.alias("ticker"), symbol.alias("name"),
+        *own, F.concat(F.lit("AUTO_"), symbol).alias("isin"), symbol.alias("ticker"), symbol.alias("name"),
         F.when(warsaw, "GPW").otherwise("OTHER").alias("exchange"),
         F.when(warsaw, "PLN").otherwise(text_or(F.col("currency"), "USD")).alias("currency"),
         F.when(warsaw, "stooq").otherwise("yahoo").alias("price_source"),
-    ).dropDuplicates(["isin"])
+    ).dropDuplicates([*own, "isin"])
 
 
 # ---- portfolios (K10) ---------------------------------------------------------

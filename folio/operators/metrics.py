@@ -70,7 +70,7 @@ def _solve_spread(terms: DataFrame) -> DataFrame:
     for _ in range(MAX_STEPS):
         up = F.lit(1.0) + F.col("rate")
         open_rates = rates.filter(~F.col("done"))
-        sums = terms.join(F.broadcast(open_rates) if rates.count() <= 100_000 else open_rates, "portfolio_id").groupBy(
+        sums = terms.join(open_rates, "portfolio_id").groupBy(
             "portfolio_id", "rate").agg(
             F.sum(F.col("a") * F.pow(up, -F.col("t"))).alias("f"),
             (-F.sum(F.col("t") * F.col("a") * F.pow(up, -F.col("t") - 1))).alias("df"))
@@ -89,8 +89,9 @@ def xirr(flows: DataFrame, values: DataFrame, as_of: date, mode: str = "compat",
     portfolio without flows keeps the first guess.
     """
     terms = _terms(flows, values, as_of, mode)
-    sizes = terms.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") > max_terms).select("portfolio_id")
+    # from the flows alone, which are a scan; the value adds one term
+    times = flows.groupBy("portfolio_id", "ts").agg(F.count(F.lit(1)).alias("n")).groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n"))
+    large = times.filter(F.col("n") + 1 > max_terms).select("portfolio_id")
     if large.isEmpty():
         small, spread = terms, None
     else:

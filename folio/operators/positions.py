@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import exact_sum, round_half_up, text_or
 from .fifo import KEYS, open_lots
-from .instruments import lookup, map_keys, with_rates
+from .instruments import lookup, map_keys, quote_source, with_rates
 
 # Exchange -> region.
 REGIONS = {"GPW": "Polska", "NC": "Polska", "NYSE": "USA", "NASDAQ": "USA", "TSX": "Kanada", "OTHER": "Inne"}
@@ -22,7 +22,10 @@ def daily_change_pct(price: Column, previous: Column) -> Column:
 
 
 def open_positions(tx: DataFrame, instruments: DataFrame, quotes: DataFrame, rates: DataFrame) -> DataFrame:
-    """Valued holdings per (portfolio, ISIN); lots are converted by their own currency. Unmapped ISINs drop out."""
+    """Valued holdings per (portfolio, ISIN); lots are converted by their own currency. Unmapped ISINs drop out.
+
+    Quotes with a column `source` are taken from the source each instrument is priced by.
+    """
     lots = open_lots(tx)
     native = lots.groupBy(*KEYS, "currency").agg(
         F.sum("quantity").alias("shares"), exact_sum(F.col("quantity").cast("double") * F.col("price")).alias("cost"))
@@ -30,8 +33,12 @@ def open_positions(tx: DataFrame, instruments: DataFrame, quotes: DataFrame, rat
         F.sum("shares").cast("double").alias("shares"), exact_sum(F.col("cost") * F.col("fx")).alias("cost_pln"))
     fees = tx.groupBy(*KEYS).agg(exact_sum(F.col("commission")).alias("total_commission"))
     on = map_keys(instruments)
-    quoted = quotes.select("ticker", F.col("price").alias("quote"), "previous_close")
-    p = held.join(fees, KEYS).join(instruments, on).join(quoted, "ticker", "left")
+    by = [c for c in ("source",) if c in quotes.columns]
+    quoted = quotes.select("ticker", *by, F.col("price").alias("quote"), "previous_close")
+    p = held.join(fees, KEYS).join(instruments, on)
+    if by:
+        p = p.withColumn("source", quote_source(F.coalesce("price_source", F.lit("")), F.col("ticker")))
+    p = p.join(quoted, ["ticker", *by], "left")
     p = with_rates(p, rates)
     price = F.coalesce("quote", F.lit(0.0))
     p = p.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cash, positions
-from ..operators.instruments import latest_rates
+from ..operators.instruments import latest_rates, polish_source
 from .registry import query
 from .views import VIEWS, fixed_sum
 
@@ -63,6 +63,17 @@ def _open(t):
     return positions.open_positions(t.transactions, t.instruments, t.quotes, latest_rates(t.prices))
 
 
+@query("open_positions_by_source", "portfolio_id isin ticker shares:d current_price:d current_value_pln:d profit_loss_pln:d daily_change_pct:d",
+       "SELECT * FROM open_pos")
+def _open_by_source(t):
+    # the other source of each ticker says something else
+    polish = t.instruments.select("ticker", polish_source(F.col("price_source"), F.col("ticker")).alias("polish")).distinct()
+    q = t.quotes.join(polish, "ticker", "left").withColumn("polish", F.coalesce("polish", F.lit(False)))
+    right = q.select("ticker", F.when(F.col("polish"), "stooq").otherwise("yahoo").alias("source"), "price", "previous_close")
+    wrong = q.select("ticker", F.when(F.col("polish"), "yahoo").otherwise("stooq").alias("source"), (F.col("price") + 7).alias("price"), "previous_close")
+    return positions.open_positions(t.transactions, t.instruments, right.unionByName(wrong), latest_rates(t.prices))
+
+
 @query("position_weights", "portfolio_id isin current_value_pln:d weight:d", "SELECT * FROM weighted_pos")
 def _weights(t):
     return weighted(t)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.running import row_numbers
@@ -165,11 +165,10 @@ class Ledger:
     @property
     def quotes(self) -> DataFrame:
         """Last and second-to-last close per ticker."""
-        ranked = F.sort_array(F.collect_list(F.struct("date", "close")), asc=False)
-        return self.prices.groupBy("ticker").agg(
-            F.max_by("close", "date").alias("price"),
-            F.try_element_at(F.transform(ranked, lambda r: r["close"]), F.lit(2)).alias("previous_close"),
-        )
+        last = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
+        two = self.prices.select("ticker", "close", last.alias("n")).filter("n <= 2")
+        return two.groupBy("ticker").agg(
+            F.max(F.when(F.col("n") == 1, F.col("close"))).alias("price"), F.max(F.when(F.col("n") == 2, F.col("close"))).alias("previous_close"))
 
     # ---- derived once, read by the reports on top of them ------------------
     def _open_positions(self) -> DataFrame:
