@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import imports
 from ..sources import brokers, providers, text, xtb
+from ..tables import new_path
 from ..functions.exprs import is_isin, trimmed
 from .registry import query
 from .upkeep import imported
@@ -74,12 +76,16 @@ def bossa_files(t) -> DataFrame:
 
 
 _BOSSA_REASON = "CASE m WHEN 1 THEN 'missing_date' WHEN 2 THEN 'missing_isin' WHEN 3 THEN 'invalid_side' WHEN 4 THEN 'invalid_quantity' END"
+_SQL: dict[str, str] = {}
 _TRADE = "file row:l date paper_name isin quantity:d side price:d value:d commission:d total:d currency source"
 
 
-@query("bossa_tx", _TRADE, f"""
+_SQL["bossa"] = f"""
 SELECT concat('bossa-', portfolio_id, '-', blk) AS file, pos + 2 AS row, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date, paper_name, isin, quantity, side, p2 AS price, v2 AS value, c2 AS commission,
-  t2 AS total, CASE WHEN m = 5 THEN 'PLN' ELSE currency END AS currency, 'bossa' AS source FROM tx_blocks WHERE {_BOSSA_REASON} IS NULL""")
+  t2 AS total, CASE WHEN m = 5 THEN 'PLN' ELSE currency END AS currency, 'bossa' AS source FROM tx_blocks WHERE {_BOSSA_REASON} IS NULL"""
+
+
+@query("bossa_tx", _TRADE, _SQL["bossa"])
 def _bossa(t):
     return text.clean(brokers.bossa_transactions(bossa_files(t)))
 
@@ -141,9 +147,12 @@ def _cent(e: str) -> str:
 _V = _cent("CAST(quantity AS DOUBLE) * p2")
 
 
-@query("mbank_tx", _TRADE, f"""
+_SQL["mbank"] = f"""
 SELECT concat('mbank-', portfolio_id, '-', blk) AS file, pos + 36 AS row, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date, paper_name, paper_name AS isin, quantity, side, p2 AS price, {_V} AS value, c2 AS commission,
-  CASE WHEN side = 'K' THEN {_cent(_V + ' + c2')} ELSE {_cent(_V + ' - c2')} END AS total, CASE WHEN m = 5 THEN 'PLN' ELSE currency END AS currency, 'mbank' AS source FROM tx_blocks WHERE {_MBANK_REASON} IS NULL""")
+  CASE WHEN side = 'K' THEN {_cent(_V + ' + c2')} ELSE {_cent(_V + ' - c2')} END AS total, CASE WHEN m = 5 THEN 'PLN' ELSE currency END AS currency, 'mbank' AS source FROM tx_blocks WHERE {_MBANK_REASON} IS NULL"""
+
+
+@query("mbank_tx", _TRADE, _SQL["mbank"])
 def _mbank(t):
     return text.clean(brokers.mbank_transactions(mbank_files(t)))
 
@@ -174,10 +183,13 @@ _DEGIRO_REASON = """CASE m WHEN 10 THEN 'short_row' WHEN 1 THEN 'missing_date' W
   WHEN 6 THEN CASE WHEN v2 <> 0 THEN 'corporate_action' ELSE 'invalid_price' END WHEN 9 THEN 'invalid_price' END"""
 
 
-@query("degiro_tx", _TRADE, f"""
+_SQL["degiro"] = f"""
 SELECT concat('degiro-', portfolio_id, '-', blk) AS file, pos + 2 AS row, concat(strftime(ts, '%Y-%m-%d'), CASE WHEN m = 8 THEN 'T00:00:00' ELSE 'T09:47:00' END) AS date, CASE WHEN m = 11 THEN concat(paper_name, ', Inc') ELSE paper_name END AS paper_name,
   isin, quantity, side, p2 AS price, {_V} AS value, c2 AS commission, CASE WHEN side = 'K' THEN {_cent(_V + ' + c2')} ELSE {_cent(_V + ' - c2')} END AS total, CASE WHEN m = 5 THEN 'EUR' ELSE currency END AS currency, 'degiro' AS source
-FROM tx_blocks WHERE {_DEGIRO_REASON} IS NULL""")
+FROM tx_blocks WHERE {_DEGIRO_REASON} IS NULL"""
+
+
+@query("degiro_tx", _TRADE, _SQL["degiro"])
 def _degiro(t):
     return text.clean(brokers.degiro_transactions(degiro_files(t)))
 
@@ -303,14 +315,17 @@ def _xtb_ops(t):
 # ---- all brokers --------------------------------------------------------------------
 
 
-@query("rejects", "broker file row:l reason paper_name", f"""
+_REJECTED = f"""
 SELECT 'bossa' AS broker, concat('bossa-', portfolio_id, '-', blk) AS file, pos + 2 AS row, {_BOSSA_REASON} AS reason, paper_name FROM tx_blocks WHERE {_BOSSA_REASON} IS NOT NULL
 UNION ALL SELECT 'bossa_ops', concat('ops-', portfolio_id, '-', blk), pos + 2, {_OPS_REASON}, {_OPS_TITLE} FROM op_blocks WHERE {_OPS_REASON} IS NOT NULL
 UNION ALL SELECT 'mbank', concat('mbank-', portfolio_id, '-', blk), pos + 36, {_MBANK_REASON}, CASE WHEN m = 2 THEN '' ELSE paper_name END FROM tx_blocks WHERE {_MBANK_REASON} IS NOT NULL
 UNION ALL SELECT 'degiro', concat('degiro-', portfolio_id, '-', blk), pos + 2, {_DEGIRO_REASON}, CASE m WHEN 2 THEN '' WHEN 10 THEN 'Short' ELSE paper_name END FROM tx_blocks WHERE {_DEGIRO_REASON} IS NOT NULL
 UNION ALL SELECT 'xtb', file, row, reason, symbol FROM xtb_parsed WHERE reason IS NOT NULL
 UNION ALL SELECT 'xtb', file, row + 2, 'close_trade_entry', symbol FROM xtb_base WHERE side = 'S' AND d = 3
-UNION ALL SELECT 'xtb_ops', concat('xtbops-', portfolio_id, '-', blk), pos + 5, 'invalid_date', CASE WHEN id % 3 = 0 THEN '' ELSE 'note' END FROM op_blocks WHERE operation_type IN ('deposit', 'withdrawal') AND id % 20 = 0""")
+UNION ALL SELECT 'xtb_ops', concat('xtbops-', portfolio_id, '-', blk), pos + 5, 'invalid_date', CASE WHEN id % 3 = 0 THEN '' ELSE 'note' END FROM op_blocks WHERE operation_type IN ('deposit', 'withdrawal') AND id % 20 = 0"""
+
+
+@query("rejects", "broker file row:l reason paper_name", _REJECTED)
 def _rejects(t):
     ops = xtb.xtb_rows(xtb_op_files(t))
     parsed = {
@@ -321,6 +336,37 @@ def _rejects(t):
     return reduce(DataFrame.unionByName, [text.rejects(d).withColumn("broker", F.lit(b)) for b, d in parsed.items()])
 
 
+def written_files(t) -> DataFrame:
+    """The files of three brokers, written as UTF-8 with its mark and read again as bytes."""
+    every = reduce(DataFrame.unionByName, [bossa_files(t), mbank_files(t), degiro_files(t)])
+    path = new_path(t.spark, "broker-files")
+    every.select("file", F.concat(F.lit("\ufeff"), "content").alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return text.read_broker_text(t.spark, f"{path}/*/*.txt").withColumn("file", F.regexp_extract("file", "file=([^/]+)/", 1))
+
+
+def paper_instruments(t) -> DataFrame:
+    """Instruments under the names that the files have."""
+    return t.instruments.withColumn("name", F.concat(F.lit("Paper"), F.substring("isin", 5, 10)))
+
+
+@query("import_trades", f"broker {_TRADE}", f"""
+SELECT 'bossa' AS broker, b.* FROM ({_SQL['bossa']}) b UNION ALL SELECT 'degiro', d.* FROM ({_SQL['degiro']}) d
+UNION ALL SELECT 'mbank', m.* REPLACE (coalesce(i.isin, m.isin) AS isin) FROM ({_SQL['mbank']}) m LEFT JOIN instruments i ON concat('Paper', i.isin[5:]) = m.paper_name""")
+def _import(t):
+    return imports.import_trades(written_files(t), paper_instruments(t))
+
+
+@query("import_rejects", "broker file row:l reason paper_name", f"SELECT * FROM ({_REJECTED}) r WHERE broker IN ('bossa', 'mbank', 'degiro')")
+def _import_rejects(t):
+    refused = imports.import_rejects(written_files(t))
+    return refused.withColumn("broker", F.split_part("file", F.lit("-"), F.lit(1)))
+
+
+@query("import_named_broker", _TRADE, _SQL["mbank"])
+def _import_named(t):
+    return imports.import_trades(mbank_files(t), t.instruments.limit(0), broker="mbank").drop("broker")
+
+
 @query("detect_broker", "file broker", """
 SELECT concat(b, '-', portfolio_id, '-', blk) AS file, CASE WHEN b <> 'ops' THEN b END AS broker FROM (SELECT DISTINCT portfolio_id, blk, unnest(['bossa', 'mbank', 'degiro']) AS b FROM tx_blocks) t
 UNION ALL SELECT DISTINCT concat('ops-', portfolio_id, '-', blk), NULL FROM op_blocks""")
