@@ -148,9 +148,9 @@ def _unpacked(df: DataFrame) -> DataFrame:
 
 
 def _shared(df: DataFrame) -> DataFrame:
-    """Rows whose rank stands twice at least."""
+    """Rows whose rank stands twice at least. The ranks are written first, so that the join can split the rows of a hot one."""
     twice = df.groupBy("rank").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("rank")
-    return df.join(twice, "rank")
+    return df.join(pinned(twice, "suffix-twice"), "rank")
 
 
 def doubled(found: DataFrame) -> DataFrame:
@@ -162,8 +162,10 @@ def doubled(found: DataFrame) -> DataFrame:
         later = live.select("key", (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
         done = live.filter(run <= step)
         pairs = live.filter(run > step).join(later, ["key", "i"]).withColumn("rank", F.xxhash64("rank", "next", F.lit(step))).drop("next")
-        before, live = live, pinned(_shared(done.unionByName(pairs)), "suffix-ranks")
-        discard(before)
+        both = pinned(done.unionByName(pairs), "suffix-pairs")
+        discard(live)
+        live = pinned(_shared(both), "suffix-ranks")
+        discard(both)
         step *= 2
     # anchors without a start have served as later ranks only
     full = _unpacked(live).filter("low <= high").withColumn("rank", F.xxhash64("rank", "core")).select("key", "at", "low", "high", "rank", "whole")
@@ -275,6 +277,7 @@ def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, with_te
         """Classes that stand twice, and of ranks with several classes the one that stands for each."""
         found = pinned(items.groupBy("rank", "whole").agg(F.sum("n").alias("n"), F.min(F.struct(*one)).alias("one")), "suffix-classes")
         mixed = found.groupBy("rank").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).filter("classes > 1 AND least = 1").select("rank")
+        mixed = pinned(mixed, "suffix-mixed")
         return found.filter("n > 1").select("rank", "whole"), found.join(mixed, "rank").select("one.*", "rank", "n")
 
     twice, mixed = classes(live.withColumn("n", F.lit(1)), ["key", "at", "low", "high"])
@@ -287,7 +290,7 @@ def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, with_te
     # classes that stood twice already are repeated as a whole; single ones may be part by part
     short = parts.filter("n = 1").join(twice, ["rank", "whole"]).select("key", "low", "high")
     starts = pinned(mixed.select("n", "key", "low", "strings").mapInArrow(_single, "string long, n long, key long, low long"), "suffix-starts")
-    again = starts.groupBy("string").agg(F.sum("n").alias("all")).filter("all > 1").select("string")
+    again = pinned(starts.groupBy("string").agg(F.sum("n").alias("all")).filter("all > 1").select("string"), "suffix-again")
     single = starts.filter("n = 1").join(again, "string").select("key", "low", F.col("low").alias("high"))
     spans = pinned(repeated.unionByName(short).unionByName(single).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("items")), "suffix-spans")  # no more than bytes in a text
     discard(parts, starts, repeated)
