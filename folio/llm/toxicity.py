@@ -24,7 +24,7 @@ from . import blocks, quality
 
 BLOCK_BYTES = 4 << 20
 ORDER = 5
-SAMPLE = 12_000     # labelled rows that the class counts and the calibration come from, at most half of them of a class
+SAMPLE = 20_000     # labelled rows that the class counts and the calibration come from, at most half of them of a class
 DISCOUNT = 0.75
 WORD_BYTES = 64     # a longer word is no expression and says nothing
 MOST = 20.0         # what one word can say, in nats
@@ -177,7 +177,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn=None, rows: int = SAMPLE) -> Model:
-    """Class counts of whole labelled texts: 85 % of the rarer class in the sample, as many of the other; the rest set the
+    """Class counts of whole labelled texts: 90 % of the rarer class in the sample, as many of the other; the rest set the
     weights. Shared counts of all documents.
 
     Without labels every score is 0.5; with those of one class near 0 or 1.
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn=No
     known = pinned(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")  # at most `rows` small rows
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     least = min(n.get(0, 0), n.get(1, 0))
-    part = lambda y: int(8_500 * least / max(n.get(y, 0), 1))  # noqa: E731  of ten thousand
+    part = lambda y: int(9_000 * least / max(n.get(y, 0), 1))  # noqa: E731  of ten thousand
     check = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(10_000)) >= F.when(F.col("label") == 1, part(1)).otherwise(part(0))
     words = pinned(
         known.filter(~check).mapInArrow(_class_words, "word string, n0 long, n1 long")
