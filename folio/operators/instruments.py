@@ -71,6 +71,19 @@ def instrument_search(instruments: DataFrame, text: str) -> DataFrame:
     ).select(F.col("ticker").alias("symbol"), "name", "exchange", "currency")
 
 
+def instrument_searches(instruments: DataFrame, texts: DataFrame) -> DataFrame:
+    """F8 for a table of search texts (`query`): every instrument whose ticker, name or ISIN contains the text, in any case.
+
+    An equi-join on parts of the lengths that the texts have, as in `containing`.
+    """
+    asked = texts.select("query", F.lower("query").alias("_part")).filter(F.length("query") > 0).distinct()
+    lengths = asked.agg(F.collect_set(F.length("_part")).alias("_lengths")).withColumn("_one", F.lit(1))  # one row
+    fields = F.flatten(F.array(*[_parts(F.lower(F.coalesce(c, F.lit(""))), F.col("_lengths")) for c in ("ticker", "name", "isin")]))
+    cut = instruments.withColumn("_one", F.lit(1)).join(F.broadcast(lengths), "_one").select(
+        F.col("ticker").alias("symbol"), "name", "exchange", "currency", F.explode(F.array_distinct(fields)).alias("_part"))
+    return asked.join(cut, "_part").select("query", "symbol", "name", "exchange", "currency")
+
+
 def equity_hits(raw: DataFrame) -> DataFrame:
     """equity and ETF hits of a search answer, best name and exchange."""
     wanted = F.col("type_disp").isin("Equity", "ETF") | F.col("quote_type").isin("EQUITY", "ETF")

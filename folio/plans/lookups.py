@@ -62,6 +62,37 @@ def _merge(t):
     return ins.search_merge(local, polish, world_answer(t))
 
 
+VIEWS["search_texts"] = """
+SELECT DISTINCT CASE k % 3 WHEN 0 THEN concat('Tk', k % 25) WHEN 1 THEN concat('ANY ', k % 10) ELSE concat('isin', k % 25) END AS query FROM (SELECT p_partkey % 40 AS k FROM part) p"""
+VIEWS["searched"] = """
+SELECT query, ticker AS symbol, name, exchange, currency FROM search_texts JOIN instruments
+  ON contains(lower(ticker), lower(query)) OR contains(lower(name), lower(query)) OR contains(lower(isin), lower(query))"""
+
+
+def searches(t):
+    k = F.col("k")
+    texts = t.source("part").select((F.col("p_partkey") % 40).alias("k")).distinct().select(
+        F.when(k % 3 == 0, F.concat(F.lit("Tk"), k % 25)).when(k % 3 == 1, F.concat(F.lit("ANY "), k % 10)).otherwise(F.concat(F.lit("isin"), k % 25)).alias("query"))
+    return ins.instrument_searches(t.instruments, texts)
+
+
+@query("instrument_searches", "query symbol name exchange currency", "SELECT * FROM searched")
+def _searches(t):
+    return searches(t)
+
+
+# the Polish answer repeats symbols of the first; the world's has an order of its own
+@query("search_merge_many", "query symbol name exchange currency rank:l", """
+SELECT query, symbol, name, exchange, currency, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, pos, name, symbol) AS n FROM (
+  SELECT *, 0 AS rank, 1 AS pos FROM searched
+  UNION ALL SELECT query, concat(symbol, '.X'), name, exchange, currency, 2, 100 - length(name) FROM searched) u) r WHERE n <= 15""")
+def _merge_many(t):
+    local = searches(t)
+    polish = local.select("query", F.lower("symbol").alias("symbol"), F.lit("again").alias("name"), "exchange", "currency")
+    world = local.select("query", F.concat("symbol", F.lit(".X")).alias("symbol"), "name", "exchange", "currency", (100 - F.length("name")).alias("pos"))
+    return ins.search_merge(local.withColumn("pos", F.lit(1)), polish, world)
+
+
 @query("tx_enriched", "portfolio_id id:l isin ticker name exchange quantity:d total:d", """
 SELECT t.portfolio_id, t.id, t.isin, coalesce(i.ticker, t.isin) AS ticker, coalesce(i.name, t.paper_name) AS name, coalesce(i.exchange, '') AS exchange, quantity, total
 FROM transactions t LEFT JOIN instruments i ON i.isin = t.isin""")
