@@ -4,7 +4,8 @@ Per host, paths form a tree of segments. A segment with a number in it is a vari
 too many different ones for its size; variables become the wildcard `*`. Branches of one parent whose subtrees look alike (the same
 shares of kinds of leaves, within what their counts allow) and whose labelled shares do not differ beyond chance are merged. The
 labels are the verdicts of the rules. A template is rejected by its smoothed purity: the share of blocked among its labelled
-urls, drawn to that of its merged branches, which is drawn to its host's, and that to the share overall.
+urls, drawn to that of its merged branches, which is drawn to its host's, and that to the share overall. Only labels reject: a
+template without any of its own takes no verdict from a pool that knows but one side, however many urls that has.
 
 Only DataFrame functions. Urls are counted by host and generalised path before anything else, so a host with a third of all pages
 is as small as its tree.
@@ -53,7 +54,11 @@ def _smoothed(blocked: Column, labelled: Column, prior: Column) -> Column:
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """Purity of every (host, shape): host, shape, template, purity. Input: host, path, blocked (null: no label)."""
+    """Purity of every (host, shape): host, shape, template, purity, known. Input: host, path, blocked (null: no label).
+
+    A purity is `known` if labels of the template bear it, or those of a labelled branch (and of what was tested alike) that are of
+    both kinds. Any other is a guess from its surroundings.
+    """
     counts = pinned(
         urls.groupBy("host", _shape(F.col("path")).alias("shape")).agg(
             F.count(F.lit(1)).alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked")), "url-shapes")
@@ -81,24 +86,27 @@ def templates(urls: DataFrame) -> DataFrame:
     joined = branches.join(alike, ["host", "parent", "ends", "deep"])
     pooled, own = F.try_divide("all_blocked", "all_labelled"), F.try_divide("blocked", "labelled")
     error = F.sqrt(F.try_divide(pooled * (1 - pooled), "labelled") + F.try_divide(F.lit(0.25), F.col("labelled") * F.col("labelled")))
-    merges = F.coalesce(F.abs(own - pooled) <= CHANCE * error, F.lit(True))  # without labels too
-    merged = joined.select("host", "parent", "branch", F.when(merges, F.col("all_labelled")).otherwise(F.col("labelled")).alias("m_labelled"),
+    merges = F.coalesce(F.abs(own - pooled) <= CHANCE * error, F.lit(True))  # without labels a guess only
+    merged = joined.select("host", "parent", "branch", F.col("labelled").alias("b_labelled"), F.when(merges, F.col("all_labelled")).otherwise(F.col("labelled")).alias("m_labelled"),
                            F.when(merges, F.col("all_blocked")).otherwise(F.col("blocked")).alias("m_blocked"))
     hosts = tree.groupBy("host").agg(*(F.sum(c).alias(f"h_{c}") for c in ("labelled", "blocked")))
     overall = tree.agg(F.sum("labelled").alias("o_labelled"), F.sum("blocked").alias("o_blocked")).first()
     share = F.lit((overall["o_blocked"] or 0) / max(overall["o_labelled"] or 0, 1))
     by_template = tree.groupBy("host", "parent", "branch", "template").agg(*(F.sum(c).alias(f"t_{c}") for c in ("labelled", "blocked")))
-    purity = _smoothed(F.col("h_blocked"), F.col("h_labelled"), share)
+    # a host says as much as PRIOR urls at most: with many it would draw all it holds to one side
+    weight = F.least(F.col("h_labelled"), F.lit(PRIOR))
+    purity = _smoothed(F.coalesce(F.try_divide("h_blocked", "h_labelled"), F.lit(0)) * weight, weight, share)
     purity = _smoothed(F.col("m_blocked"), F.col("m_labelled"), purity)
     purity = _smoothed(F.col("t_blocked"), F.col("t_labelled"), purity)
-    rated = by_template.join(merged, ["host", "parent", "branch"]).join(hosts, "host").select("host", "parent", "branch", "template", purity.alias("purity"))
-    return tree.select("host", "shape", "template", "parent", "branch").join(rated, ["host", "parent", "branch", "template"]).select("host", "shape", "template", "purity")
+    known = (F.col("t_labelled") > 0) | (F.col("b_labelled") > 0) & (F.col("m_blocked") > 0) & (F.col("m_blocked") < F.col("m_labelled"))
+    rated = by_template.join(merged, ["host", "parent", "branch"]).join(hosts, "host").select("host", "parent", "branch", "template", purity.alias("purity"), known.alias("known"))
+    return tree.select("host", "shape", "template", "parent", "branch").join(rated, ["host", "parent", "branch", "template"]).select("host", "shape", "template", "purity", "known")
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of every row.
 
-    The verdict is the rule's; without a rule, `block` for templates of purity PURITY and more, else `allow`. Null urls, and those
+    The verdict is the rule's; without a rule, `block` for templates of a known purity of PURITY and more, else `allow`. Null urls, and those
     without `://`, have an empty host and path and count as one template. Repeated rows stay.
     """
     host, path = host_and_path(F.col(url_col))
@@ -108,5 +116,5 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_i
     return (
         rows.withColumn("shape", _shape(F.col("path"))).join(rated, ["host", "shape"])
         .select("page_id", "host", "path", F.col("best.rule").alias("rule"),
-                F.coalesce(F.col("best.verdict"), F.when(F.col("purity") >= PURITY, "block").otherwise("allow")).alias("verdict"), "template", "purity")
+                F.coalesce(F.col("best.verdict"), F.when(F.col("known") & (F.col("purity") >= PURITY), "block").otherwise("allow")).alias("verdict"), "template", "purity")
     )

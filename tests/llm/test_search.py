@@ -95,6 +95,15 @@ def test_templates_learn_from_the_rules(spark):
     assert ("words.net", "/tag/*") in got                                         # many literals are a variable
 
 
+@pytest.mark.parametrize("n", [3, 300])
+def test_verdicts_do_not_turn_with_the_size_of_a_host(spark, n):
+    pages = [f"http://a.net/{s}/{i}" for s in ("es", "fr", "en", "de") for i in range(n)] + [f"http://a.org/{s}/{i}" for s in ("es", "en") for i in range(n)]
+    pages += [f"http://a.net//es/{i}" for i in range(n)]  # the rule does not fit, the template is the blocked one
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    got = collections.Counter((x.host, x.path.rsplit("/", 1)[0], x.verdict) for x in urls.judged(df, queries.RULES).collect())
+    assert {k[:2]: k[2] for k in got} == {("a.net", "/es"): "block", ("a.net", "//es"): "block", ("a.net", "/fr"): "block", ("a.net", "/en"): "allow", ("a.net", "/de"): "allow", ("a.org", "/es"): "allow", ("a.org", "/en"): "allow"} and len(got) == 7
+
+
 def test_native_plan_has_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.net/es/1")], "page_id long, url string")
     plan = urls.judged(pages, queries.RULES)._jdf.queryExecution().executedPlan().toString()
