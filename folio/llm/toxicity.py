@@ -26,7 +26,7 @@ BLOCK_BYTES = 4 << 20
 ORDER = 5
 SAMPLE = 20_000     # labelled rows that the class counts and the calibration come from, at most half of them of a class
 DISCOUNT = 0.75
-WORD_BYTES = 64     # a longer word is no expression and says nothing
+WORD_BYTES = 64     # a longer word counts as several, one for each so many bytes
 MOST = 20.0         # what one word can say, in nats
 POWER = 0.75        # of the length, in its normalisation
 BORDERS = " \t.,;:!?\"'()[]{}<>*#$%&|/\\-_"
@@ -39,6 +39,11 @@ def bare_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return bare.dictionary, bare.indices.to_numpy(zero_copy_only=False)[codes], offsets
 
 
+def word_parts(words: pa.Array) -> np.ndarray:
+    """As how many words each counts."""
+    return np.maximum(-(-pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) // WORD_BYTES), 1)
+
+
 @dataclass
 class Bytes:
     """The bytes of words with their borders marked, end to end: whose they are, and where in the word they stand."""
@@ -49,12 +54,11 @@ class Bytes:
 
     @classmethod
     def of(cls, words: pa.Array) -> Bytes:
-        short = np.flatnonzero(pc.less_equal(pc.binary_length(words), WORD_BYTES).to_numpy(zero_copy_only=False)) if len(words) else np.zeros(0, np.int64)
-        raw = [b"<" + w.encode() + b">" for w in words.take(pa.array(short, pa.int64())).to_pylist()]
+        raw = [b"<" + w.encode() + b">" for w in words.to_pylist()]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         starts = np.cumsum(sizes) - sizes
         flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-        return cls(flat, np.repeat(short, sizes), np.arange(len(flat)) - np.repeat(starts, sizes))
+        return cls(flat, np.repeat(np.arange(len(raw)), sizes), np.arange(len(flat)) - np.repeat(starts, sizes))
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Where a run of k bytes ends, and the run as a number."""
@@ -88,9 +92,9 @@ def _class_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _class_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(order, run, ordinary, toxic) of words that stand once in the input."""
-    for b in batches:
-        data = Bytes.of(b.column("word"))
-        times = [b.column(f"n{y}").to_numpy() for y in (0, 1)]
+    for b in blocks.text_blocks(batches, BLOCK_BYTES, "word"):
+        data = Bytes.of(blocks.column(b, "word"))
+        times = [blocks.column(b, f"n{y}").to_numpy() for y in (0, 1)]
         for k in range(3, ORDER + 1):
             at, run = data.grams(k)
             runs, inverse = np.unique(run, return_inverse=True)
@@ -141,7 +145,7 @@ class Model:
         return model
 
     def words(self, words: pa.Array) -> np.ndarray:
-        """Log-likelihood of each word as toxic minus as ordinary."""
+        """Log-likelihood of each word as toxic minus as ordinary, bounded for each part of WORD_BYTES."""
         data = Bytes.of(words)
         value = np.zeros(len(data.flat))
         for k in sorted(self.runs):
@@ -151,13 +155,17 @@ class Model:
             j, behind = _found(contexts, run >> np.uint64(8))
             if len(keys):
                 value[at] = np.where(known, ratio[i], value[at] + np.where(behind, rest[j], 0.0))
-        return np.clip(np.bincount(data.owner, value, len(words)), -MOST, MOST)
+        parts = word_parts(words)
+        first = np.cumsum(parts) - parts
+        part = first[data.owner] + np.minimum(data.place // WORD_BYTES, parts[data.owner] - 1)
+        bounded = np.clip(np.bincount(part, value, int(parts.sum())), -MOST, MOST)
+        return np.bincount(np.repeat(np.arange(len(words)), parts), bounded, len(words))
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """Per text: the difference of the log-likelihoods and the length, normalised, and 1."""
         words, codes, offsets = bare_words(texts)
-        sums = np.diff(np.concatenate(([0.0], np.cumsum(self.words(words)[codes])))[offsets])
-        n = np.maximum(np.diff(offsets), 1).astype(float)
+        over = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x[codes])))[offsets])
+        sums, n = over(self.words(words)), np.maximum(over(word_parts(words)), 1)
         return np.stack([sums / n**POWER, n ** (1 - POWER), np.ones(len(n))], 1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:

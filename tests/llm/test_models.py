@@ -74,6 +74,23 @@ def test_toxicity_held_out(spark, frame):
     assert a > 2 > abs(b)
 
 
+def test_words_of_any_length_are_counted_and_scored(spark, frame):
+    r = random.Random(6)
+    bad = [i % 3 == 0 for i in range(300)]
+    rude = ["gruxnat", "gruxlob", "gruxit", "gruxene", "vilmok"]
+    glue = ["\u3000", "\u00a0", "-", ""]
+    docs = frame([(i, glue[i % 4].join(prose(r, r.randint(20, 60), r.choices(rude, k=4) if b else ()).split())) for i, b in enumerate(bad)])
+    held = queries.fold(5) == 0
+    model = toxicity.train(docs, labelled(spark, [(i, 1, int(b)) for i, b in enumerate(bad)]), "toxic", ~held)
+    out = [x for x in quality.scored(docs, model, held).collect() if x.held_out]
+    assert len(out) > 40 and np.mean([x.predicted == bad[x.doc_id] for x in out]) > 0.9
+    # one value a byte: a phrase says the same wherever it stands in a long word, and no part says more than a word can
+    long = "riverstonewindow" * 8
+    whole, clean = model.words(pa.array([long + "gruxnat" + long, long + long]))
+    assert whole > clean + 2
+    assert toxicity.word_parts(pa.array(["", "a" * 64, "a" * 65])).tolist() == [1, 1, 2]
+
+
 def test_kneser_ney_probabilities():
     r = random.Random(5)
     words = [prose(r, 1) for _ in range(60)]
