@@ -1,12 +1,14 @@
 """Secret scans: patterns for known forms, and a token-efficiency test for the rest.
 
 A byte-level BPE vocabulary has learned words and common names, so it needs few tokens for them; a random string falls apart into
-tokens of one or two characters. Runs of letters and digits whose characters per token stay under `RATIO` are therefore reported,
-after digests of known length, UUIDs and plain identifiers are taken out.
+tokens of one or two characters. Runs with a letter whose characters per token stay under `RATIO` are therefore reported. Base spans
+and UUIDs that are a value of their own are cut out of a run, and each rest is a run; digests of known length and plain
+identifiers count only where they are the whole run.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -18,6 +20,7 @@ from . import blocks, bpe
 
 BLOCK_BYTES = 8 << 20
 RATIO = 2.0         # characters per token, at most
+SHORT, STRICT = 20, 0.8  # a run of fewer characters has to stay under this part of it: rare words come near it
 KINDS = ("assign", "access", "hex", "random")
 
 # The base patterns and what counts as a match (group and least length), as the contract gives them.
@@ -28,8 +31,11 @@ BASE = (
 )
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+LEAST = 12          # characters of a run
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_LETTER = re.compile(r"[A-Za-z]")
+#: Whole, or between the signs that part values; with anything else around it, it is part of a key.
+_UUID = re.compile(r"(?<![A-Za-z0-9+_-])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![A-Za-z0-9+_-])")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 #: Words, each of letters with a number behind it at most, joined by signs or by case: names and paths.
@@ -48,25 +54,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs for the efficiency test: letters and digits mixed, no digest, UUID or identifier, apart from base spans."""
-    out = []
+    """Runs for the efficiency test, and what base spans and UUIDs leave of them: with a letter, no digest or identifier as a whole."""
+    out, cuts, k = [], sorted((a, b) for a, _, b in taken), 0
     for m in _RUN.finditer(text):
-        run = m.group()
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-            continue
-        if _UUID.search(run) or _IDENTIFIER.fullmatch(run) or _HEX.fullmatch(run) and len(run) in _DIGEST_LENGTHS:
-            continue
-        if not any(a < m.end() and m.start() < b for a, _, b in taken):
-            out.append(m.span())
+        at, end = m.span()
+        while k < len(cuts) and cuts[k][1] <= at:
+            k += 1
+        inside = list(itertools.takewhile(lambda c: c[0] < end, itertools.islice(cuts, k, None)))
+        if "-" in m.group():
+            inside = sorted(inside + [u.span() for u in _UUID.finditer(text, at, end)])
+        for a, b in [*inside, (end, end)]:
+            if a - at >= LEAST and _asked(text[at:a]):
+                out.append((at, a))
+            at = max(at, b)
     return out
 
 
+def _asked(run: str) -> bool:
+    return bool(_LETTER.search(run)) and not _IDENTIFIER.fullmatch(run) and not (len(run) in _DIGEST_LENGTHS and _HEX.fullmatch(run))
+
+
 def _found(texts: list[str], encoder: bpe.Encoder, ratio: float) -> list[list[tuple[int, int, int]]]:
     spans = [base_spans(t) for t in texts]
     asked = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, spans[i])]
     sizes = encoder.block(pa.array([texts[i][a:b] for i, a, b in asked], pa.string())) if asked else []
     for (i, a, b), ids in zip(asked, sizes, strict=True):
-        if (b - a) * 4 <= ratio * len(ids):
+        if (b - a) * 4 <= (ratio if b - a >= SHORT else ratio * STRICT) * len(ids):
             spans[i].append((a, KINDS.index("random"), b))
     return [sorted(s) for s in spans]
 
