@@ -267,11 +267,15 @@ def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, with_te
     Removed is every byte covered by a string of `length` bytes that also starts elsewhere in the table. Null texts count as empty;
     texts shorter than `length` stay whole; a row that stands twice loses all its strings. 2 * window + GRAM is at most `length`.
     """
-    texts = blocks.keyed(docs, id_col, text_col)
-    key = F.xxhash64("doc_id", "text")
-    raw = texts.select("doc_id", key.alias("key"), "text").mapInArrow(_compressed, "doc_id long, key long, raw binary")
+    texts = blocks.keyed(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    compressed = lambda df: df.select("doc_id", "key", "text").mapInArrow(_compressed, "doc_id long, key long, raw binary")
+    # rows alike in both columns lose all their strings whatever others hold; one of them is compared with the others
+    copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.octet_length("text")).alias("bytes"))
+    copies = pinned(copies.filter(f"rows > 1 AND bytes >= {int(length)}").select("key", "bytes"), "suffix-copies")
+    one = texts.join(copies, "key", "left_semi").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    once = texts.join(copies, "key", "left_anti").unionByName(one)
     hashes = "rank long, core long, whole long"
-    live = doubled(pinned(texts.select(key.alias("key"), "text").mapInArrow(_anchored(length, window), f"key long, i int, place long, {hashes}"), "suffix-anchors"))
+    live = doubled(pinned(once.select("key", "text").mapInArrow(_anchored(length, window), f"key long, i int, place long, {hashes}"), "suffix-anchors"))
 
     def classes(items: DataFrame, one: list[str]) -> tuple[DataFrame, DataFrame]:
         """Classes that stand twice, and of ranks with several classes the one that stands for each."""
@@ -285,14 +289,15 @@ def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, with_te
     discard(live)
     asked = mixed.groupBy("key").agg(F.collect_list(F.struct("at", "low", "high", "rank", "n")).alias("items"))
     schema = "rank long, whole long, n long, key long, low long, high long, strings binary"
-    parts = pinned(asked.join(raw, "key").select("key", "raw", "items").mapInArrow(_parted(length), schema), "suffix-parts")
+    parts = pinned(asked.join(compressed(once), "key").select("key", "raw", "items").mapInArrow(_parted(length), schema), "suffix-parts")
     twice, mixed = classes(parts, ["key", "low", "high", "strings"])
     # classes that stood twice already are repeated as a whole; single ones may be part by part
     short = parts.filter("n = 1").join(twice, ["rank", "whole"]).select("key", "low", "high")
     starts = pinned(mixed.select("n", "key", "low", "strings").mapInArrow(_single, "string long, n long, key long, low long"), "suffix-starts")
     again = pinned(starts.groupBy("string").agg(F.sum("n").alias("all")).filter("all > 1").select("string"), "suffix-again")
     single = starts.filter("n = 1").join(again, "string").select("key", "low", F.col("low").alias("high"))
-    spans = pinned(repeated.unionByName(short).unionByName(single).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("items")), "suffix-spans")  # no more than bytes in a text
+    whole = copies.select("key", F.lit(0).cast("long").alias("low"), (F.col("bytes") - length).cast("long").alias("high"))
+    spans = pinned(repeated.unionByName(short).unionByName(single).unionByName(whole).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("items")), "suffix-spans")  # no more than bytes in a text
     discard(parts, starts, repeated)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return raw.join(spans, "key", "left").select("doc_id", "raw", "items").mapInArrow(_cut(length, with_text), schema)
+    return compressed(texts).join(spans, "key", "left").select("doc_id", "raw", "items").mapInArrow(_cut(length, with_text), schema)

@@ -17,6 +17,25 @@ def prose(r, n):
     return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
 
 
+def test_rows_that_stand_many_times(frame):
+    r = random.Random(9)
+    body, other = prose(r, 60), prose(r, 60)
+    rows = [(None, body)] * 40 + [(7, other)] * 30 + [(8, "x " + other[:150] + prose(r, 30)), (9, prose(r, 40))]
+    docs = frame(rows)
+    got = collections.Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in suffixes.removed(docs, 60, 24).collect())
+    text = rows[-2][1]
+    assert got[None, len(body), len(body), 1] == 40 and got[7, len(other), len(other), 1] == 30
+    assert got[8, len(text), next(n for n in range(150, 160) if text[2:2 + n + 1] not in other), 1] == 1 and got[9, len(rows[-1][1]), 0, 0] == 1
+    # no key and anchor stands twice, however often its row does
+    seen, real = [], suffixes.doubled
+    suffixes.doubled = lambda found: seen.append(found.groupBy("key", "i").count().filter("count > 1").count()) or real(found)
+    try:
+        suffixes.removed(docs, 60, 24).count()
+    finally:
+        suffixes.doubled = real
+    assert seen == [0]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_repeated_strings(frame, seed):
     r = random.Random(seed)
