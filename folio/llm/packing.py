@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -47,15 +48,17 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)  # also for texts that hold an added token, which may stand amid a word
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.encode_special_tokens = True
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.held: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4") for e in self.of_words.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> None:
         """Learn words of letters only: each is one run of tokens up to the next that ends a word."""
@@ -99,6 +102,12 @@ class WordTokens:
 
     def block(self, texts: pa.Array, tail: bytes = b"") -> Iterator[bytes]:
         """Ids of each text in turn, `tail` behind them."""
+        own: dict[int, bytes] = {}
+        if self.added and len(texts):
+            found = pc.match_substring_regex(texts, self.added)
+            for i in np.flatnonzero(found.to_numpy(zero_copy_only=False)).tolist():
+                own[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+            texts = pc.if_else(found, "", texts) if own else texts
         plain = pc.invert(pc.match_substring_regex(texts, _OTHER_LETTERS))
         words, codes, offsets = blocks.word_codes(pc.if_else(plain, pc.utf8_lower(texts), texts))
         table = self._table(words)
@@ -109,8 +118,8 @@ class WordTokens:
             part = codes[offsets[a]:offsets[b]]
             raw = blocks.gathered(flat, starts, lengths, part).tobytes()
             ends = np.concatenate(([0], np.cumsum(lengths[part])))[offsets[a:b + 1] - offsets[a]] * 4
-            for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                yield raw[x:y] + tail
+            for i, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), a):
+                yield own.get(i, raw[x:y]) + tail
 
 
 @functools.lru_cache(maxsize=2)

@@ -107,3 +107,12 @@ def test_packing(spark, frame):
 def test_empty_tables(frame):
     assert bpe.round_trip(frame([]), queries.BYTE_BPE, public_tokenizers.PATTERN).count() == 0
     assert packing.packed(frame([]), queries.WORD_BPE).count() == 0
+
+
+def test_added_tokens_in_a_text_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.WORD_BPE)
+    texts = ["a <|endoftext|> b", "no such token", "Amid<|startoftext|>word\n<|endoftext|><|endoftext|>", "", "<|ENDOFTEXT|> <|endoftext"]
+    got = packing.WordTokens(queries.WORD_BPE).block(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
