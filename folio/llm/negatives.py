@@ -32,7 +32,8 @@ WAYS = 16           # split points of a node
 SAMPLE = 4_096      # vectors that the upper levels' split points are chosen from
 BLOCK = 4_096       # vectors in a block, about
 ANCHORS = 1_024     # anchors that a copy of a block is searched for, about
-LEAF = 64           # vectors in a leaf inside a block
+LEAF = 256          # vectors in a leaf inside a block
+HELD = 500_000      # hits that are held before each window is cut to its best
 BEYOND = 2**62      # no upper end
 
 _POINTS = "vec_id long, label int, dim int, v binary, row long"
@@ -79,17 +80,22 @@ class Node:
     norm_high: np.ndarray
     children: list = field(default_factory=list)  # nodes, arrays of places, or None (no vector)
 
-    def left(self, q: np.ndarray, norm: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Which subtrees may hold a vector whose score lies in any of the windows [low, high]."""
-        room = 1e-6 * (norm + np.where(np.isfinite(self.norm_high), self.norm_high, 0)) + 1e-6
-        far = distances(q[None], self.points)[0][:, None]
-        least = np.maximum(self.low - far, far - self.high).max(0, initial=0)       # of |q - x| over subtree j
-        most = (far + self.high).min(0, initial=np.inf)
-        outer = np.sqrt(np.maximum(norm**2 + self.norm_high[:, None] ** 2 - 2.0 * low[None], 0))  # the window's annulus
-        inner = np.sqrt(np.maximum(norm**2 + self.norm_low[:, None] ** 2 - 2.0 * high[None], 0))
-        none = (norm**2 + self.norm_high[:, None] ** 2) * (1 + 1e-9) + 1 < 2.0 * low[None]  # no vector of such a norm scores that much
-        meets = (least[:, None] <= outer + room[:, None]) & (most[:, None] + room[:, None] >= inner) & ~none & (low <= high)[None]
-        return np.isfinite(self.norm_high) & meets.any(1)
+    def left(self, q: np.ndarray, norms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """[anchor, subtree]: which subtrees may hold a vector whose score lies in any of an anchor's windows [low, high]."""
+        far = distances(q, self.points)
+        there = np.isfinite(self.norm_high)
+        out = np.zeros((len(q), len(there)), bool)
+        for j in np.flatnonzero(there):
+            room = 1e-6 * (norms + self.norm_high[j] + 1)
+            least = np.maximum(self.low[None, :, j] - far, far - self.high[None, :, j]).max(1, initial=0)  # of |q - x| over the subtree
+            most = (far + self.high[None, :, j]).min(1)
+            square = (norms**2 + self.norm_high[j] ** 2)[:, None]
+            outer = np.sqrt(np.maximum(square - 2.0 * low, 0))     # the windows' annuli
+            inner = np.sqrt(np.maximum((norms**2 + self.norm_low[j] ** 2)[:, None] - 2.0 * high, 0))
+            none = square * (1 + 1e-9) + 1 < 2.0 * low             # no vector of such a norm scores that much
+            meets = ((least - room)[:, None] <= outer) & ((most + room)[:, None] >= inner) & ~none & (low <= high)
+            out[:, j] = meets.any(1)
+        return out
 
 
 def spans(far: np.ndarray, norms: np.ndarray, of: np.ndarray, ways: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,31 +129,57 @@ def grow(x: np.ndarray, norms: np.ndarray, places: np.ndarray):
     return node
 
 
-def search(tree, x: np.ndarray, fits: np.ndarray, ids: np.ndarray, q: np.ndarray, norm: float, low: np.ndarray, high: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For every window the k best (places, scores) among the vectors that fit; `low` closes in as k are found."""
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """[anchor, vector]: inner products as integers, exact; beyond 64 bits the nearest long."""
+    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(q.shape[1], 1) < 2.0**53:
+        return (q @ x.T).astype(np.int64)
+    return np.stack([_products(row, x) for row in q]) if len(q) else np.zeros((0, len(x)), np.int64)
+
+
+def _best(anchor: np.ndarray, window: np.ndarray, place: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best rows of every (anchor, window), in order."""
+    order = np.lexsort((ids[place], -score, window, anchor))
+    anchor, window, place, score = anchor[order], window[order], place[order], score[order]
+    new = np.ones(len(anchor), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1])
+    at = np.arange(len(anchor))
+    keep = at - np.maximum.accumulate(np.where(new, at, 0)) < k
+    return anchor[keep], window[keep], place[keep], score[keep]
+
+
+def search(tree, x: np.ndarray, ids: np.ndarray, fits, q: np.ndarray, norms: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(anchor, window, place, score): for every anchor's windows (rows of low and high) the k best vectors that fit.
+
+    `fits(anchors, places)` marks pairs that are to be compared. Windows close in as k are found.
+    """
     low = low.copy()
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in low]
-    stack = [tree]
+    none = np.zeros(0, np.int64)
+    found, held = (none, none, none, none), 0
+    stack = [(tree, np.arange(len(q)))]
+    parts: list[tuple[np.ndarray, ...]] = []
     while stack:
-        node = stack.pop()
+        node, active = stack.pop()
         if isinstance(node, Node):
-            keep = np.flatnonzero(node.left(q, norm, low, high))
-            near = distances(q[None], node.points)[0][keep]
-            stack += [node.children[j] for j in keep[np.argsort(-near, kind="stable")] if node.children[j] is not None]  # the nearest is next
-            continue
-        places = node[fits[node]]
-        if not len(places):
+            left = node.left(q[active], norms[active], low[active], high[active])
+            for j in np.argsort(left.sum(0), kind="stable"):
+                if left[:, j].any():
+                    stack.append((node.children[j], active[left[:, j]]))
             continue
-        scores = _products(q, x[places])
-        for w in range(len(low)):
-            inside = (scores >= low[w]) & (scores <= high[w])
-            if inside.any():
-                p, s = np.concatenate((found[w][0], places[inside])), np.concatenate((found[w][1], scores[inside]))
-                top = np.lexsort((ids[p], -s))[:k]
-                found[w] = (p[top], s[top])
-                if len(top) == k:
-                    low[w] = max(low[w], s[top[-1]])
-    return found
+        scores = products(q[active], x[node])
+        hit = (scores >= low[active].min(1)[:, None]) & (scores <= high[active].max(1)[:, None]) & fits(active, node)
+        i, at = np.nonzero(hit)
+        score, anchor, place = scores[i, at], active[i], node[at]
+        for w in range(low.shape[1]):
+            inside = (score >= low[anchor, w]) & (score <= high[anchor, w])
+            parts.append((anchor[inside], np.full(int(inside.sum()), w), place[inside], score[inside]))
+            held += len(parts[-1][0])
+        if held > HELD:
+            found, parts, held = _best(*(np.concatenate(c) for c in zip(found, *parts, strict=True)), ids, k), [], 0
+            last = np.flatnonzero(np.bincount(found[0] * low.shape[1] + found[1], minlength=low.size) == k)  # windows that are full
+            worst = np.full(low.size, np.iinfo(np.int64).max)
+            np.minimum.at(worst, found[0] * low.shape[1] + found[1], found[3])
+            low.reshape(-1)[last] = np.maximum(low.reshape(-1)[last], worst[last])
+    return _best(*(np.concatenate(c) for c in zip(found, *parts, strict=True)), ids, k)
 
 
 # ---- the upper levels ----------------------------------------------------------------------------------------------------
@@ -194,9 +226,15 @@ class Upper:
             at_child.setdefault(cell // self.ways, {}).setdefault(cell % self.ways, []).append((low[self.ways:], high[self.ways:], norm_low, norm_high))
         self.nodes = [node(self.root, at_root), *(node(p, at_child.get(j, {})) for j, p in enumerate(self.below))]
 
-    def visited(self, q: np.ndarray, norm: float, low: np.ndarray, high: np.ndarray) -> list[int]:
-        return [int(j) * self.ways + int(c) for j in np.flatnonzero(self.nodes[0].left(q, norm, low, high))
-                for c in np.flatnonzero(self.nodes[1 + j].left(q, norm, low, high))]
+    def visited(self, q: np.ndarray, norms: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(anchor, cell) of every cell that is left."""
+        at_root, anchor, cell = self.nodes[0].left(q, norms, low, high), [], []
+        for j in range(at_root.shape[1]):
+            own = np.flatnonzero(at_root[:, j])
+            i, c = np.nonzero(self.nodes[1 + j].left(q[own], norms[own], low[own], high[own]))
+            anchor.append(own[i])
+            cell.append(j * self.ways + c)
+        return np.concatenate(anchor), np.concatenate(cell)
 
 
 def _uppers(drawn: pa.Table) -> dict[int, Upper]:
@@ -217,8 +255,20 @@ def _rows(table, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x, np.sqrt((x * x).sum(1))
 
 
-def _lists(column) -> list[np.ndarray]:
-    return [np.array(x, np.int64) for x in column.to_pylist()]
+def _windows(anchors) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as [anchor, window]; where an anchor has fewer than another, the rest are empty."""
+    low, high = anchors.column("low").to_pylist(), anchors.column("high").to_pylist()
+    n = max(map(len, low), default=0)
+    out = np.full((2, len(low), n), 0, np.int64)
+    out[0] = 1
+    for i, pair in enumerate(zip(low, high, strict=True)):
+        out[:, i, :len(pair[0])] = pair
+    return out[0], out[1]
+
+
+def _fitting(asking: np.ndarray, wanted: np.ndarray, ids: np.ndarray, labels: np.ndarray, same: bool):
+    """Pairs that are to be compared: not of one id, and of the same label, or of different ones."""
+    return lambda anchors, places: (asking[anchors][:, None] != ids[places][None]) & ((wanted[anchors][:, None] == labels[places][None]) == same)
 
 
 def _met(asked: DataFrame, blocked: DataFrame, parts: DataFrame, uppers, same: bool, k: int) -> tuple[DataFrame, DataFrame]:
@@ -231,29 +281,30 @@ def _met(asked: DataFrame, blocked: DataFrame, parts: DataFrame, uppers, same: b
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each anchor once for every cell that is left, its windows closed in by what the sample already scores."""
         for b in batches:
-            at, cell, lows = [], [], []
-            for i, (vec_id, label, dim, v, low, high) in enumerate(zip(*(b.column(c).to_pylist() for c in ("vec_id", "label", "dim", "v", "low", "high")), strict=True)):
-                q, low, high = np.frombuffer(v, np.float64), np.array(low, np.int64), np.array(high, np.int64)
-                upper = uppers.value.get(dim)
-                if upper is None:  # no vector of this dimension was drawn: all of them are one cell
-                    at.append(i)
-                    cell.append(0)
-                    lows.append(low)
-                    continue
-                fits = (upper.sample_ids != vec_id) & ((upper.sample_labels == label) == same)
-                scores = np.sort(_products(q, upper.sample[fits]))
-                for w in range(len(low)):
-                    upto = int(np.searchsorted(scores, high[w], "right"))
-                    if upto >= k:
-                        low[w] = max(low[w], scores[upto - k])
-                found = upper.visited(q, float(np.sqrt(q @ q)), low, high)
-                at += [i] * len(found)
-                cell += found
-                lows += [low] * len(found)
-            for s in range(0, len(at), 4_096):
-                part = b.take(pa.array(at[s:s + 4_096], pa.int64()))
-                part = part.set_column(part.schema.get_field_index("low"), "low", pa.array([x.tolist() for x in lows[s:s + 4_096]], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(cell[s:s + 4_096], pa.int32())], [*names, "cell"])
+            for a in range(0, b.num_rows, ANCHORS):
+                part = b.slice(a, ANCHORS)
+                dims = part.column("dim").to_numpy()
+                for dim in np.unique(dims).tolist():
+                    yield from one(pa.Table.from_batches([part.filter(pa.array(dims == dim))]), dim)
+
+    def one(table: pa.Table, dim: int) -> Iterator[pa.RecordBatch]:
+        upper, low, high = uppers.value.get(dim), *_windows(table)
+        if upper is None:  # no vector of this dimension was drawn: all of them are one cell
+            at, cell = np.arange(table.num_rows), np.zeros(table.num_rows, np.int64)
+        else:
+            q, norms = _rows(table, dim)
+            fits = _fitting(table.column("vec_id").to_numpy(), table.column("label").to_numpy(), upper.sample_ids, upper.sample_labels, same)
+            scores = products(q, upper.sample)
+            for i in range(len(q)):
+                own = np.sort(scores[i, fits([i], slice(None))[0]])
+                upto = np.searchsorted(own, high[i], "right")
+                low[i] = np.where(upto >= k, np.maximum(low[i], own[np.maximum(upto - k, 0)] if len(own) else low[i]), low[i])
+            at, cell = upper.visited(q, norms, low, high)
+        table = table.select(names).combine_chunks()
+        table = table.set_column(names.index("low"), "low", pa.array(low.tolist(), pa.list_(pa.int64())))
+        for s in range(0, len(at), 4_096):
+            rows = table.take(pa.array(at[s:s + 4_096]))
+            yield from rows.append_column("cell", pa.array(cell[s:s + 4_096], pa.int32())).combine_chunks().to_batches()
 
     schema = "vec_id long, anchor long, label int, dim int, v binary, low array<long>, high array<long>"
     visits = asked.select(*names).mapInArrow(routed, schema + ", cell int").join(parts, ["dim", "cell"])
@@ -266,19 +317,14 @@ def _met(asked: DataFrame, blocked: DataFrame, parts: DataFrame, uppers, same: b
         *(F.col(c).alias(f"of_{c}") for c in (*block, "vec_id", "label", "v")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("of_copy"))
 
     def meet(anchors: pa.Table, own: pa.Table) -> pa.Table:
-        out = [[] for _ in range(5)]
+        out = [np.zeros(0, np.int64)] * 5
         if anchors.num_rows and own.num_rows:
             dim = anchors.column("dim")[0].as_py()
             x, norms = _rows(own.rename_columns([c.removeprefix("of_") for c in own.column_names]), dim)
-            ids, labels = own.column("of_vec_id").to_numpy(), own.column("of_label").to_numpy()
-            tree = grow(x, norms, np.arange(len(x)))
-            q, q_norms = _rows(anchors, dim)
-            heads = zip(*(anchors.column(c).to_pylist() for c in ("vec_id", "anchor", "label")), strict=True)
-            for i, ((vec_id, anchor, label), low, high) in enumerate(zip(heads, _lists(anchors.column("low")), _lists(anchors.column("high")), strict=True)):
-                fits = (ids != vec_id) & ((labels == label) == same)
-                for w, (places, scores) in enumerate(search(tree, x, fits, ids, q[i], q_norms[i], low, high, k)):
-                    for column, values in zip(out, ([vec_id] * len(places), [anchor] * len(places), [w] * len(places), ids[places].tolist(), scores.tolist()), strict=True):
-                        column += values
+            ids, asking = own.column("of_vec_id").to_numpy(), anchors.column("vec_id").to_numpy()
+            fits = _fitting(asking, anchors.column("label").to_numpy(), ids, own.column("of_label").to_numpy(), same)
+            anchor, window, place, score = search(grow(x, norms, np.arange(len(x))), x, ids, fits, *_rows(anchors, dim), *_windows(anchors), k)
+            out = [asking[anchor], anchors.column("anchor").to_numpy()[anchor], window, ids[place], score]
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["anchor_id", "anchor", "window", "vec_id", "score"])
 
     found = visits.groupBy(*block, "copy").cogroup(offered.groupBy(*(f"of_{c}" for c in (*block, "copy")))).applyInArrow(

@@ -59,28 +59,34 @@ def test_empty_and_label_column(spark):
     assert Counter(tuple(x) for x in negatives.mined(df, F.col("vec_id") % 5 == 0, moved).collect()) == brute(rows, lambda i: i % 5 == 0)
 
 
-def test_tree_eliminates_subtrees_and_loses_nothing():
+def test_tree_eliminates_subtrees_and_loses_nothing(monkeypatch):
     rng = np.random.default_rng(1)
     x = np.floor(np.concatenate([rng.normal(c, 3, (400, 4)) for c in (-500, 0, 500, 1_500)]))
     norms, ids = np.sqrt((x * x).sum(1)), np.arange(len(x))
     tree = negatives.grow(x, norms, ids)
-    visited = []
-
-    class Counted(np.ndarray):
-        def __getitem__(self, at):
-            visited.append(np.size(at))
-            return super().__getitem__(at)
-
-    for i in range(0, len(x), 97):
-        scores = (x @ x[i]).astype(np.int64)
-        top = int(np.sort(scores)[-40])
-        low, high = np.array([top - abs(top) // 10, -(2**62)]), np.array([top, -1])
-        visited.clear()
-        found = negatives.search(tree, x, np.ones(len(x), bool).view(Counted), ids, x[i], norms[i], low[:1], high[:1], 5)
-        inside = np.flatnonzero((scores >= low[0]) & (scores <= high[0]))
-        want = inside[np.lexsort((inside, -scores[inside]))][:5]
-        assert found[0][0].tolist() == want.tolist()
-        assert sum(visited) < len(x)
+    q = x[::97]
+    scores = (q @ x.T).astype(np.int64)
+    top = np.sort(scores, 1)[:, -40]
+    low, high = np.stack([top - np.abs(top) // 10, np.full(len(q), 1)], 1), np.stack([top, np.zeros(len(q), np.int64)], 1)  # the second one is empty
+    compared = np.zeros((len(q), len(x)), bool)
+
+    def fits(anchors, places):
+        compared[np.ix_(anchors, places)] = True
+        return ids[places][None] % 3 != anchors[:, None] % 3
+
+    for held in (10**6, 20):
+        monkeypatch.setattr(negatives, "HELD", held)
+        found = negatives.search(tree, x, ids, fits, q, np.sqrt((q * q).sum(1)), low, high, 5)
+        assert not found[1].any()
+        for i in range(len(q)):
+            inside = np.flatnonzero((scores[i] >= low[i, 0]) & (scores[i] <= high[i, 0]) & (ids % 3 != i % 3))
+            assert found[2][found[0] == i].tolist() == inside[np.lexsort((inside, -scores[i, inside]))][:5].tolist()
+    assert compared.mean() < 0.5
+
+
+def test_products_beyond_exact_floats():
+    q, x = np.array([[2.0**40, 1.0, 3.0]]), np.array([[2.0**20, 1.0, -1.0], [-(2.0**60), 0.0, 0.0]])
+    assert negatives.products(q, x).tolist() == [[2**60 - 2, -(2**63)]]
 
 
 def test_a_block_is_copied_only_for_anchors_that_visit_it(spark, monkeypatch):
