@@ -61,13 +61,22 @@ def _m() -> Column:
     return F.col("id") % 50
 
 
+def _broken(name: Column) -> Column:
+    """A name over two lines, with both separators and quotes in it, as a quoted cell; m = 13 has one in every file."""
+    return F.concat(F.lit('"'), name, F.lit('\nS.A.; ser. ""B"", 2"'))
+
+
+_BROKEN = "concat(paper_name, chr(10), 'S.A.; ser. \"B\", 2')"
+_NAME = f"CASE WHEN m = 13 THEN {_BROKEN} ELSE paper_name END"
+
+
 # ---- Bossa ----------------------------------------------------------------------
 
 
 def bossa_files(t) -> DataFrame:
     m = _m()
     line = F.concat_ws(
-        ";", F.when(m == 1, "").otherwise(F.date_format("ts", "dd.MM.yyyy HH:mm:ss")), "paper_name",
+        ";", F.when(m == 1, "").otherwise(F.date_format("ts", "dd.MM.yyyy HH:mm:ss")), F.when(m == 13, _broken(F.col("paper_name"))).otherwise(F.col("paper_name")),
         F.when(m == 2, "").otherwise(F.col("isin")), F.when(m == 4, "0").otherwise(F.col("quantity").cast("long").cast("string")),
         F.when(m == 3, "X").otherwise(F.col("side")), comma_money(F.col("price")), comma_money(F.col("value")),
         comma_money(F.col("commission")), comma_money(F.col("total")), F.when(m == 5, "").otherwise(F.col("currency")))
@@ -81,7 +90,7 @@ _TRADE = "file row:l date paper_name isin quantity:d side price:d value:d commis
 
 
 _SQL["bossa"] = f"""
-SELECT concat('bossa-', portfolio_id, '-', blk) AS file, pos + 2 AS row, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date, paper_name, isin, quantity, side, p2 AS price, v2 AS value, c2 AS commission,
+SELECT concat('bossa-', portfolio_id, '-', blk) AS file, pos + 2 AS row, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date, {_NAME} AS paper_name, isin, quantity, side, p2 AS price, v2 AS value, c2 AS commission,
   t2 AS total, CASE WHEN m = 5 THEN 'PLN' ELSE currency END AS currency, 'bossa' AS source FROM tx_blocks WHERE {_BOSSA_REASON} IS NULL"""
 
 
@@ -99,7 +108,7 @@ def bossa_op_files(t) -> DataFrame:
         .when(k == "fee", "Opłata za transakcję").when(k == "commission_refund", "Zwrot prowizji").otherwise("Inna operacja"))
     line = F.concat_ws(
         ";", F.when(m == 1, "").when(m == 2, F.date_format("ts", "dd.MM.yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd")), title,
-        F.when(m < 25, "szczegół").otherwise(""), F.when(m == 6, "0,00").otherwise(comma_money(F.col("amount"))),
+        F.when(m == 13, _broken(F.lit("szczegół"))).when(m < 25, "szczegół").otherwise(""), F.when(m == 6, "0,00").otherwise(comma_money(F.col("amount"))),
         F.when(m == 5, "").otherwise(F.col("currency")))
     rows = t.cash_operations.select(_file("ops-").alias("file"), F.col("id").alias("at"), line.alias("line"))
     return files(rows, F.lit("data;tytuł operacji;szczegóły;kwota;waluta"))
@@ -111,7 +120,7 @@ _OPS_TITLE = """CASE WHEN m = 7 THEN 'Rozliczenie transakcji kupna' WHEN operati
 
 
 @query("bossa_ops", "file row:l date operation_type description details amount:d currency ticker fx_rate:d fx_pair source", f"""
-SELECT concat('ops-', portfolio_id, '-', blk) AS file, pos + 2 AS row, strftime(ts, '%Y-%m-%dT00:00:00') AS date, operation_type, {_OPS_TITLE} AS description, CASE WHEN m < 25 THEN 'szczegół' END AS details, a2 AS amount,
+SELECT concat('ops-', portfolio_id, '-', blk) AS file, pos + 2 AS row, strftime(ts, '%Y-%m-%dT00:00:00') AS date, operation_type, {_OPS_TITLE} AS description, CASE WHEN m = 13 THEN {_BROKEN.replace('paper_name', "'szczegół'")} WHEN m < 25 THEN 'szczegół' END AS details, a2 AS amount,
   CASE WHEN m = 5 THEN 'PLN' ELSE currency END AS currency, CASE WHEN operation_type = 'dividend' THEN concat('TK', id % 25) END AS ticker, CASE WHEN operation_type = 'fx_exchange' THEN 3 + (5000 + id % 1000) / 10000e0 END AS fx_rate,
   CASE WHEN operation_type = 'fx_exchange' THEN 'PLN/USD' END AS fx_pair, 'bossa' AS source FROM op_blocks WHERE {_OPS_REASON} IS NULL""")
 def _bossa_ops(t):
@@ -125,7 +134,7 @@ def mbank_files(t) -> DataFrame:
     m = _m()
     whole = F.concat_ws(
         ";", F.when(m == 1, "").when(m == 8, F.date_format("ts", "dd.MM.yyyy")).otherwise(F.date_format("ts", "dd.MM.yyyy HH:mm:ss")),
-        F.when(m == 2, "").otherwise(F.col("paper_name")), F.lit("WWA-GPW"), F.when(m == 3, "").otherwise(F.col("side")),
+        F.when(m == 2, "").when(m == 13, _broken(F.col("paper_name"))).otherwise(F.col("paper_name")), F.lit("WWA-GPW"), F.when(m == 3, "").otherwise(F.col("side")),
         F.when(m == 4, "-1").otherwise(F.col("quantity").cast("long").cast("string")),
         F.when(m == 9, "0,00").otherwise(comma_money(F.col("price"))), F.when(m == 5, "").otherwise(F.col("currency")),
         comma_money(F.col("commission")), F.lit("PLN"), comma_money(F.col("value")), F.lit("PLN"))
@@ -148,7 +157,7 @@ _V = _cent("CAST(quantity AS DOUBLE) * p2")
 
 
 _SQL["mbank"] = f"""
-SELECT concat('mbank-', portfolio_id, '-', blk) AS file, pos + 36 AS row, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date, paper_name, paper_name AS isin, quantity, side, p2 AS price, {_V} AS value, c2 AS commission,
+SELECT concat('mbank-', portfolio_id, '-', blk) AS file, pos + 36 AS row, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date, {_NAME} AS paper_name, {_NAME} AS isin, quantity, side, p2 AS price, {_V} AS value, c2 AS commission,
   CASE WHEN side = 'K' THEN {_cent(_V + ' + c2')} ELSE {_cent(_V + ' - c2')} END AS total, CASE WHEN m = 5 THEN 'PLN' ELSE currency END AS currency, 'mbank' AS source FROM tx_blocks WHERE {_MBANK_REASON} IS NULL"""
 
 
@@ -169,7 +178,7 @@ def degiro_files(t) -> DataFrame:
     q = (F.col("quantity").cast("long") * sign).cast("string")
     whole = F.concat_ws(
         ",", F.when(m == 1, "").otherwise(F.date_format("ts", "dd-MM-yyyy")), F.when(m == 8, "").otherwise("09:47"),
-        F.when(m == 2, "").when(m == 11, F.concat(F.lit('"'), "paper_name", F.lit(', Inc"'))).otherwise(F.col("paper_name")),
+        F.when(m == 2, "").when(m == 11, F.concat(F.lit('"'), "paper_name", F.lit(', Inc"'))).when(m == 13, _broken(F.col("paper_name"))).otherwise(F.col("paper_name")),
         F.when(m == 3, "").otherwise(F.col("isin")), F.lit("WSE"), F.lit("XWAR"), F.when(m == 4, "0").otherwise(q),
         F.when(m.isin(6, 9), "0").otherwise(point_money(F.col("price"))), F.when(m == 5, "").otherwise(F.concat(F.lower("currency"), F.lit(" "))),
         F.when(m == 9, "0").otherwise(point_money(F.col("value"))), F.lit("EUR"), F.lit("1.00"), F.lit("EUR"), F.lit(""),
@@ -184,7 +193,7 @@ _DEGIRO_REASON = """CASE m WHEN 10 THEN 'short_row' WHEN 1 THEN 'missing_date' W
 
 
 _SQL["degiro"] = f"""
-SELECT concat('degiro-', portfolio_id, '-', blk) AS file, pos + 2 AS row, concat(strftime(ts, '%Y-%m-%d'), CASE WHEN m = 8 THEN 'T00:00:00' ELSE 'T09:47:00' END) AS date, CASE WHEN m = 11 THEN concat(paper_name, ', Inc') ELSE paper_name END AS paper_name,
+SELECT concat('degiro-', portfolio_id, '-', blk) AS file, pos + 2 AS row, concat(strftime(ts, '%Y-%m-%d'), CASE WHEN m = 8 THEN 'T00:00:00' ELSE 'T09:47:00' END) AS date, CASE WHEN m = 11 THEN concat(paper_name, ', Inc') ELSE {_NAME} END AS paper_name,
   isin, quantity, side, p2 AS price, {_V} AS value, c2 AS commission, CASE WHEN side = 'K' THEN {_cent(_V + ' + c2')} ELSE {_cent(_V + ' - c2')} END AS total, CASE WHEN m = 5 THEN 'EUR' ELSE currency END AS currency, 'degiro' AS source
 FROM tx_blocks WHERE {_DEGIRO_REASON} IS NULL"""
 

@@ -44,13 +44,57 @@ def filled_lines(content: Column) -> Column:
     return F.filter(raw_lines(trimmed(content)), lambda x: x != "")
 
 
+# What stands for a line break, a carriage return and a separator inside quotes: noncharacters, which no text holds.
+_SEALS = "\ufdd0\ufdd1\ufdd2"
+
+
+def _states(codes: Column) -> Column:
+    """From the codes of all quote runs: for every piece between them '1' inside a quoted cell, else '0'.
+
+    A run opens (1), closes (0), keeps the state (i) or turns it (n); the last 1 or 0 decides, and how many turns follow it.
+    """
+    def resolved(segment: Column) -> Column:
+        opens = F.startswith(segment, F.lit("1"))
+        state = lambda k: F.when(opens != (k % 2 == 1), "1").otherwise("0")
+        parts = F.transform(F.split(segment, "n"), lambda p, k: F.repeat(state(k), F.length(p) + F.when(k > 0, 1).otherwise(0)))
+        return F.array_join(parts, "")
+
+    return F.regexp_extract_all(F.array_join(F.transform(F.regexp_extract_all(F.concat(F.lit("0"), codes), F.lit("[01][in]*"), 0), resolved), ""), F.lit("."), 0)
+
+
+def sealed(content: Column, sep: str) -> Column:
+    """The content with line breaks and separators inside quoted cells masked, so that plain splits give records and cells.
+
+    Split before runs of quotes; what stands on both sides of a run tells what it does (a quote behind a separator opens, one before a
+    separator closes, pairs are quotes of the cell, and one with text on both sides is part of it). Every step is linear in the file.
+    """
+    tokens = F.regexp_extract_all(F.concat(F.lit("\n"), content, F.lit("\n")), F.lit('"*[^"]+'), 0)
+
+    def sides(token: Column) -> Column:
+        """B: a border follows the run; O: the run is odd; A: a border ends the token. Small letters: not so."""
+        rest = F.ltrim(token, F.lit('"'))
+        start = F.substring(F.ltrim(rest, F.lit(" \t")), 1, 1).isin(sep, "\n", "\r")
+        end = F.substring(F.rtrim(rest, F.lit(" \t")), -1, 1).isin(sep, "\n")
+        odd = (F.length(token) - F.length(rest)) % 2 == 1
+        return F.concat(F.when(start, "B").otherwise("b"), F.when(odd, "O").otherwise("o"), F.when(end, "A").otherwise("a"))
+
+    codes = F.substring(F.array_join(F.transform(tokens, sides), ""), 3, 2**31 - 1)  # A of the token before, B and O of a run, and so on
+    for pattern, code in (("Ab[Oo]", "1"), ("aBO", "0"), ("ABO", "n"), ("[Aa][Bb][Oo]", "i"), ("[Aa]$", "")):
+        codes = F.regexp_replace(codes, pattern, code)
+    masked = F.zip_with(tokens, _states(codes), lambda t, s: F.when(s == "1", F.translate(t, "\n\r" + sep, _SEALS)).otherwise(t))
+    whole = F.substring(F.array_join(masked, ""), 2, 2**31 - 1)
+    return F.when(F.contains(content, F.lit('"')), F.regexp_replace(whole, r"\n\z", "")).otherwise(content)
+
+
 def cells(line: Column, sep: str) -> Column:
-    """Cells of one line; a separator inside quotes does not count, '""' is a quote."""
+    """Cells of one record of `sealed` content; quotes around a cell go, '""' in it is a quote."""
     plain = F.split(line, sep)
-    quoted = F.transform(
-        F.split(line, sep + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'),
-        lambda c: F.regexp_replace(F.regexp_replace(c, r'^\s*"([\s\S]*)"\s*$', "$1"), '""', '"'))
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
+
+    def bare(c: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(c, r'^\s*"([\s\S]*)"\s*$', "$1"), '""', '"')
+        return F.translate(inner, _SEALS, "\n\r" + sep)
+
+    return F.when(F.contains(line, F.lit('"')), F.transform(plain, bare)).otherwise(plain)
 
 
 def cell(row: Column, index: Column | int) -> Column:
@@ -116,4 +160,4 @@ def blank(c: Column) -> Column:
 
 
 __all__ = ["TRADE", "blank", "broker_of", "cell", "cells", "clean", "decode_broker_bytes", "detect_broker",
-           "encode_1250", "filled_lines", "raw_lines", "read_broker_text", "rejects", "trimmed"]
+           "encode_1250", "filled_lines", "raw_lines", "read_broker_text", "rejects", "sealed", "trimmed"]
