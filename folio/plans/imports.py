@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import imports
 from ..sources import brokers, providers, text, xtb
-from ..tables import new_path
+from ..tables import new_path, pinned
 from ..functions.exprs import is_isin, trimmed
 from .registry import query
 from .upkeep import imported
@@ -371,6 +371,80 @@ def _import_rejects(t):
     return refused.withColumn("broker", F.split_part("file", F.lit("-"), F.lit(1)))
 
 
+# ---- drops of files into a ledger that counts each file once
+
+
+def dropped_files(t) -> DataFrame:
+    """The files of all brokers as bytes, those of every second portfolio in Windows-1250, with their portfolio."""
+    every = reduce(DataFrame.unionByName, [bossa_files(t), mbank_files(t), degiro_files(t), bossa_op_files(t), xtb_files(t), xtb_op_files(t)])
+    owner = F.regexp_extract("file", r"^[a-z]+-(.*)-[0-9]+$", 1)
+    data = F.when(owner.rlike("[02468]$"), text.encode_1250(F.col("content"))).otherwise(F.encode(F.concat(F.lit("\ufeff"), "content"), "UTF-8"))
+    return every.select(owner.alias("portfolio_id"), "file", data.alias("content"))
+
+
+def ledger_folder(t) -> str:
+    """A ledger after two drops: files of some portfolios, then all files, those again and some under a second name."""
+    def build() -> DataFrame:
+        folder = new_path(t.spark, "import-ledger")
+        every = pinned(dropped_files(t), "dropped-files")
+        again = every.filter(F.col("file").startswith("ops-")).withColumn("file", F.concat(F.lit("second-"), "file"))
+        some = imports.import_drop(every.filter(F.col("portfolio_id").rlike("[37]$")), folder, paper_instruments(t))
+        most = imports.import_drop(every.unionByName(again), folder, paper_instruments(t))
+        reports = [r.withColumn("run", F.lit(n)) for n, r in enumerate((some, most), 1)]
+        return reduce(DataFrame.unionByName, reports).withColumn("folder", F.lit(folder))
+
+    return t.stored("import_reports", build)
+
+
+VIEWS["dropped_trades"] = f"""
+SELECT 'bossa' AS broker, b.* FROM ({_SQL['bossa']}) b UNION ALL SELECT 'degiro', d.* FROM ({_SQL['degiro']}) d
+UNION ALL SELECT 'mbank', m.* REPLACE (coalesce(i.isin, m.isin) AS isin) FROM ({_SQL['mbank']}) m LEFT JOIN instruments i ON concat('Paper', i.isin[5:]) = m.paper_name
+UNION ALL SELECT 'xtb', t.file, t.row, strftime(tm, '%Y-%m-%dT%H:%M:%S'), market, market, q, side, p, val, {_cent('coalesce(fee, 0)')},
+  CASE WHEN fee IS NULL THEN val WHEN side = 'K' THEN {_cent('val + ' + _cent('fee'))} ELSE {_cent('val - ' + _cent('fee'))} END, cur, 'xtb'
+FROM xtb_trades t LEFT JOIN (SELECT file, target AS id, CAST(sum(CAST(round(fee * 100) AS BIGINT)) AS DOUBLE) / 100e0 AS fee FROM xtb_matched WHERE target IS NOT NULL GROUP BY ALL) f ON f.file = t.file AND f.id = t.id"""
+VIEWS["dropped_operations"] = f"""
+SELECT 'bossa_ops' AS broker, concat('ops-', portfolio_id, '-', blk) AS file, pos + 2 AS row, operation_type, a2 AS amount FROM op_blocks WHERE {_OPS_REASON} IS NULL
+UNION ALL SELECT 'xtb', file, row, 'fee', -fee FROM xtb_matched WHERE target IS NULL AND NOT late
+UNION ALL SELECT 'xtb', concat('xtbops-', portfolio_id, '-', blk), pos + 5, operation_type, CASE operation_type WHEN 'deposit' THEN abs(a2) WHEN 'withdrawal' THEN -abs(a2) ELSE a2 END
+FROM op_blocks WHERE operation_type IN ('deposit', 'withdrawal', 'fee', 'other') AND id % 20 <> 0"""
+VIEWS["dropped_counts"] = f"""
+SELECT file, regexp_extract(file, '^[a-z]+-(.*)-[0-9]+$', 1) AS portfolio_id, CASE split_part(file, '-', 1) WHEN 'ops' THEN 'bossa_ops' WHEN 'xtbops' THEN 'xtb' ELSE split_part(file, '-', 1) END AS broker,
+  sum(t) AS transactions, sum(o) AS operations, sum(s) AS skipped, sum(m) AS mapped, sum(u) AS unresolved FROM (
+SELECT file, count(*) AS t, 0 AS o, 0 AS s, count(DISTINCT isin) FILTER (k) AS m, count(DISTINCT isin) FILTER (NOT k) AS u
+  FROM (SELECT file, isin, isin IN (SELECT isin FROM instruments) AS k FROM dropped_trades) d GROUP BY file
+UNION ALL SELECT file, 0, count(*), 0, 0, 0 FROM dropped_operations GROUP BY file
+UNION ALL SELECT file, 0, 0, count(*), 0, 0 FROM ({_REJECTED}) r GROUP BY file) x GROUP BY file"""
+
+
+@query("import_reports", "run:l portfolio_id file broker status transactions:l operations:l skipped:l mapped:l resolved:l unresolved:l total_transactions:l total_operations:l", """
+WITH runs AS (
+  SELECT 1 AS run, file AS name, c.* FROM dropped_counts c WHERE regexp_matches(portfolio_id, '[37]$')
+  UNION ALL SELECT 2, concat(p, file), c.* FROM dropped_counts c, (VALUES (''), ('second-')) v(p) WHERE p = '' OR file LIKE 'ops-%'),
+judged AS (SELECT *, (run = 2 AND (name LIKE 'second-%' OR regexp_matches(portfolio_id, '[37]$'))) AS again FROM runs),
+totals AS (SELECT portfolio_id, sum(transactions) AS tt, sum(operations) AS too FROM dropped_counts GROUP BY portfolio_id)
+SELECT run, portfolio_id, name AS file, broker, CASE WHEN again THEN 'repeated' WHEN transactions + operations > 0 THEN 'imported' ELSE 'empty' END AS status,
+  CASE WHEN again THEN 0 ELSE transactions END AS transactions, CASE WHEN again THEN 0 ELSE operations END AS operations, CASE WHEN again THEN 0 ELSE skipped END AS skipped,
+  CASE WHEN again THEN 0 ELSE mapped END AS mapped, 0 AS resolved, CASE WHEN again THEN 0 ELSE unresolved END AS unresolved, tt AS total_transactions, too AS total_operations
+FROM judged JOIN totals USING (portfolio_id)""")
+def _import_reports(t):
+    return ledger_folder(t)
+
+
+@query("import_ledger", "portfolio_id file row:l ts:t isin side quantity:d total:d currency", """
+SELECT regexp_extract(file, '^[a-z]+-(.*)-[0-9]+$', 1) AS portfolio_id, file, row, CAST(date AS TIMESTAMP) AS ts, isin, side, quantity, total, currency FROM dropped_trades""")
+def _import_ledger(t):
+    folder = ledger_folder(t).select("folder").first()[0]
+    batches = imports.committed(t.spark, folder, "batches").select("import_batch", "file")
+    return imports.committed(t.spark, folder, "trades").join(batches, "import_batch")
+
+
+@query("import_ledger_operations", "file row:l operation_type amount:d", "SELECT file, row, operation_type, amount FROM dropped_operations")
+def _import_ledger_operations(t):
+    folder = ledger_folder(t).select("folder").first()[0]
+    batches = imports.committed(t.spark, folder, "batches").select("import_batch", "file")
+    return imports.committed(t.spark, folder, "operations").join(batches, "import_batch")
+
+
 @query("import_named_broker", _TRADE, _SQL["mbank"])
 def _import_named(t):
     return imports.import_trades(mbank_files(t), t.instruments.limit(0), broker="mbank").drop("broker")
