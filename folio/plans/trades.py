@@ -6,7 +6,7 @@ from ..operators import fifo
 from .registry import query
 from .views import VIEWS, fixed_sum
 
-# interval join of buys and effective sells: an independent formulation of the sweep
+# quantities bought, asked for and really sold so far
 VIEWS["fifo_axis"] = """
 SELECT *, qty_sell - (least(0, coalesce(low_before, 0)) - least(0, low)) AS taken, asked + least(0, low) AS served,
   max(asked + least(0, low)) OVER (PARTITION BY portfolio_id, isin) AS sold
@@ -20,22 +20,26 @@ VIEWS["fifo_lots"] = """
 SELECT portfolio_id, isin, id, ts, price, commission, currency, bought - greatest(bought - quantity, least(bought, sold)) AS quantity
 FROM fifo_axis WHERE side = 'K' AND bought - greatest(bought - quantity, least(bought, sold)) > 0"""
 
+# buys and effective sells tile one quantity axis: every end of one or the other ends a tile, which lies in the next buy and the next sell
+VIEWS["fifo_tiles"] = """
+SELECT portfolio_id, isin, edge, edge - coalesce(lag(edge) OVER (PARTITION BY portfolio_id, isin ORDER BY edge), 0) AS matched FROM (
+  SELECT DISTINCT portfolio_id, isin, CASE WHEN side = 'K' THEN bought ELSE served END AS edge FROM fifo_axis
+  WHERE CASE WHEN side = 'K' THEN quantity > 0 AND bought <= sold ELSE taken > 0 END) e"""
+
 VIEWS["fifo_trades"] = """
 SELECT m.*, q * m.sell_price - q * m.buy_price - buy_commission - sell_commission AS profit_loss,
   CASE WHEN q * buy_price > 0 THEN (q * m.sell_price - q * m.buy_price - buy_commission - sell_commission) / (q * buy_price) * 100 ELSE 0 END AS profit_loss_pct,
   coalesce(i.name, m.sold_name) AS paper_name, coalesce(i.ticker, m.isin) AS ticker
-FROM (SELECT b.portfolio_id, b.isin, CAST(matched AS DOUBLE) AS q, CAST(matched AS DOUBLE) AS quantity,
+FROM (SELECT e.portfolio_id, e.isin, CAST(matched AS DOUBLE) AS q, CAST(matched AS DOUBLE) AS quantity,
     b.ts AS buy_date, b.price AS buy_price, s.ts AS sell_date, s.price AS sell_price,
-    CAST(matched AS DOUBLE) * (b.commission / CAST(CASE WHEN rem = matched THEN rem ELSE rem + matched END AS DOUBLE)) AS buy_commission,
+    CAST(matched AS DOUBLE) * (b.commission / CAST(CASE WHEN b.bought - edge = 0 THEN matched ELSE b.bought - edge + matched + matched END AS DOUBLE)) AS buy_commission,
     CAST(matched AS DOUBLE) * (s.commission / CAST(s.quantity AS DOUBLE)) AS sell_commission,
     b.commission * (CAST(matched AS DOUBLE) / CAST(b.quantity AS DOUBLE)) AS prorata_commission,
     floor((epoch(s.ts) - epoch(b.ts)) / 86400) AS holding_days, s.currency, s.id AS sell_transaction_id, s.source AS sell_source,
     s.paper_name AS sold_name, b.id AS buy_transaction_id
-  FROM (SELECT portfolio_id, isin, id, ts, price, commission, quantity, bought FROM fifo_axis WHERE side = 'K') b
-  JOIN (SELECT portfolio_id, isin, id, ts, price, commission, quantity, currency, source, paper_name, served, taken FROM fifo_axis WHERE side = 'S' AND taken > 0) s
-    ON b.portfolio_id = s.portfolio_id AND b.isin = s.isin AND s.served > b.bought - b.quantity AND s.served - s.taken < b.bought,
-  LATERAL (SELECT least(b.bought, s.served) - greatest(b.bought - b.quantity, s.served - s.taken) AS matched,
-    b.bought - greatest(b.bought - b.quantity, s.served - s.taken) AS rem) l) m
+  FROM fifo_tiles e
+  ASOF JOIN (SELECT * FROM fifo_axis WHERE side = 'K' AND quantity > 0) b ON b.portfolio_id = e.portfolio_id AND b.isin = e.isin AND e.edge <= b.bought
+  ASOF JOIN (SELECT * FROM fifo_axis WHERE side = 'S' AND taken > 0) s ON s.portfolio_id = e.portfolio_id AND s.isin = e.isin AND e.edge <= s.served) m
 LEFT JOIN instruments i ON i.isin = m.isin"""
 
 _TRADE = (

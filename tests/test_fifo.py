@@ -104,3 +104,30 @@ def test_groups_conserve_quantity_and_profit(spark):
     g = groups.selectExpr("sum(total_quantity) q", "sum(total_profit_loss) p").first()
     assert g.q == pytest.approx(t.q) and g.p == pytest.approx(t.p, abs=1e-3)
     assert trades.filter("ticker != isin OR holding_days < 0").count() == 0
+
+
+INTERVAL_JOIN = """
+SELECT b.portfolio_id, b.isin, b.id AS buy, s.id AS sell, CAST(least(b.bought, s.served) - greatest(b.bought - b.quantity, s.served - s.taken) AS DOUBLE) AS quantity
+FROM (SELECT * FROM fifo_axis WHERE side = 'K') b JOIN (SELECT * FROM fifo_axis WHERE side = 'S' AND taken > 0) s
+  ON b.portfolio_id = s.portfolio_id AND b.isin = s.isin AND s.served > b.bought - b.quantity AND s.served - s.taken < b.bought"""
+
+
+def test_tiles_equal_an_interval_join():
+    """The check SQL of closed trades against the join of buys and sells that overlap."""
+    import os
+
+    import pytest
+
+    duckdb = pytest.importorskip("duckdb")
+    from folio.plans import trades  # noqa: F401
+    from folio.plans.views import with_views
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables not there")
+    c = duckdb.connect()
+    for t in os.listdir(sf):
+        c.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{sf}/{t}'")
+    tiles = c.execute(with_views("SELECT portfolio_id, isin, buy_transaction_id, sell_transaction_id, quantity FROM fifo_trades ORDER BY ALL")).fetchall()
+    joined = c.execute(with_views(f"SELECT * FROM ({INTERVAL_JOIN}) j ORDER BY ALL")).fetchall()
+    assert len(tiles) > 1_000 and tiles == joined
