@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import fixed, num_or, unfixed
 from .cash import cash_rows, trade_impact
-from .instruments import DEFAULT_RATES, history_prices, map_keys
-from .prices import held_prices, trade_points
+from .instruments import DEFAULT_RATES, choose_price_source, map_keys
+from .prices import held_prices, trade_points, with_feed
 from .running import running_sums
 
 DEFAULT_START = date(2021, 12, 1)
@@ -29,7 +29,6 @@ BENCHMARKS = {
 }
 DAY = ["portfolio_id", "date"]
 UNIT_DIGITS = 10  # benchmark units are kept in fixed point
-NOTHING = 1e-6  # money below this counts as none
 
 
 def _by_day():
@@ -105,16 +104,45 @@ def first_deposits(ops: DataFrame) -> DataFrame:
         F.to_date(F.min("ts")).alias("first_deposit"))
 
 
+def portfolio_starts(tx: DataFrame, ops: DataFrame, start: date | None = None) -> DataFrame:
+    """H1: the first day of every portfolio's history."""
+    seen = tx.select("portfolio_id", "ts").unionByName(ops.select("portfolio_id", "ts"))
+    first = seen.groupBy("portfolio_id").agg(F.to_date(F.min("ts")).alias("start"))
+    return first if start is None else first.select("portfolio_id", F.lit(start).alias("start"))
+
+
+def source_choice(tx: DataFrame, ops: DataFrame, instruments: DataFrame, prices: DataFrame, start: date | None = None) -> DataFrame | None:
+    """J5 for a history: which source prices a ticker in a portfolio, from the portfolio's first day on; none if prices have no sources."""
+    if "source" not in prices.columns:
+        return None
+    on = map_keys(instruments)
+    traded = tx.select("portfolio_id", "isin").distinct().join(instruments.select(*on, "ticker", "price_source"), on)
+    return choose_price_source(traded, prices, portfolio_starts(tx, ops, start))
+
+
+def market_prices(prices: DataFrame, benchmark: str) -> DataFrame:
+    """Rates from the global source and the benchmark from its own."""
+    rows = prices.filter(F.col("ticker").isin(*RATE_TICKERS.values(), benchmark))
+    if "source" not in prices.columns:
+        return rows
+    own = next((source for _, ticker, source in BENCHMARKS.values() if ticker == benchmark), "yahoo")
+    return rows.filter(F.col("source") == F.when(F.col("ticker") == benchmark, own).otherwise("yahoo"))
+
+
 def valued_holdings(tx: DataFrame, ops: DataFrame, instruments: DataFrame, prices: DataFrame, as_of: date,
-                    points: DataFrame | None = None) -> DataFrame:
-    """H5: mapped holdings with their price on every held day since the first deposit."""
-    points = trade_points(tx, instruments) if points is None else points
+                    points: DataFrame | None = None, choice: DataFrame | None = None) -> DataFrame:
+    """H5: mapped holdings with their price on every held day since the first deposit.
+
+    With prices of several sources each portfolio's tickers are priced from the source they chose (J5).
+    """
+    choice = source_choice(tx, ops, instruments, prices) if choice is None else choice
+    points = trade_points(tx, instruments, choice) if points is None else points
     on = map_keys(instruments)
     spans = holding_spans(tx, as_of).filter(F.col("shares") > 0)
     spans = spans.join(instruments.select(*on, "ticker", F.col("currency")), on).join(first_deposits(ops), "portfolio_id")
     begin = F.greatest("from_date", "first_deposit")
-    held = spans.filter(begin <= F.col("to_date")).select(
-        "portfolio_id", "isin", "ticker", "currency", F.col("shares").cast("double").alias("shares"),
+    held = with_feed(spans, choice).filter(begin <= F.col("to_date")).select(
+        "portfolio_id", "isin", "ticker", "feed", "currency", F.col("shares").cast("double").alias("shares"),
         F.explode(F.sequence(begin, F.col("to_date"))).alias("date"))
     return held_prices(held, points, prices)
 
@@ -137,14 +165,15 @@ def daily_state(tx: DataFrame, ops: DataFrame, instruments: DataFrame, prices: D
 
     With `start`, only what happens from that day on counts; prices are still repaired by all trades.
     """
-    points = trade_points(tx, instruments)
+    choice = source_choice(tx, ops, instruments, prices, start)
+    points = trade_points(tx, instruments, choice)
     if start is not None:
         tx, ops = (d.filter(F.to_date("ts") >= F.lit(start)) for d in (tx, ops))
     day, amount = F.to_date("ts"), F.col("amount")
     tx_in, ops_in = (d.filter(day <= F.lit(as_of)) for d in (tx, ops))
     flows = _flow_terms()
     spans = holding_spans(tx, as_of).filter(F.col("shares") > 0)
-    valued = valued_holdings(tx, ops, instruments, prices, as_of, points)
+    valued = valued_holdings(tx, ops, instruments, prices, as_of, points, choice)
     rows = [
         *[_terms(ops_in.filter(c.isNotNull()), day, n, c) for n, c in flows.items()],
         _terms(ops_in, day, _in_bucket("cash_"), amount),
@@ -157,7 +186,7 @@ def daily_state(tx: DataFrame, ops: DataFrame, instruments: DataFrame, prices: D
     wide = sums.groupBy(*DAY).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in _SUMS])
     zero = F.lit(0).cast("decimal(30,0)")
     frame = calendar(tx, ops, as_of, start).join(wide, DAY, "left").select(*DAY, *[F.coalesce(n, zero).alias(n) for n in _SUMS])
-    market = prices.filter(F.col("ticker").isin(*RATE_TICKERS.values(), benchmark)).groupBy("date").agg(
+    market = market_prices(prices, benchmark).groupBy("date").agg(
         *[F.max(F.when(F.col("ticker") == t, F.col("close"))).alias(f"day_{c.lower()}") for c, t in RATE_TICKERS.items()],
         F.max(F.when(F.col("ticker") == benchmark, F.col("close"))).alias("day_bench"))
     # one row per calendar day: bounded, whatever the size of the ledger
@@ -205,12 +234,11 @@ def _mwr(value: Column, on: Column | None = None) -> Column:
     return F.when(cond, (value - F.col("invested")) / F.col("invested") * 100).otherwise(F.lit(0.0))
 
 
-def _chain(s: DataFrame, value: str, name: str, live: Column | None = None, nothing: Column | None = None) -> DataFrame:
+def _chain(s: DataFrame, value: str, name: str, live: Column | None, least: Column) -> DataFrame:
     """Product of value / (previous value + net flow), begun anew when value returns from nothing.
 
-    A base of no more than `nothing`, as after a withdrawal of all there was, leaves the product as it is.
+    A base of no more than `least`, as after a withdrawal of all there was, leaves the product as it is.
     """
-    least = F.lit(NOTHING) if nothing is None else nothing
     before = F.coalesce(F.lag(value).over(_by_day()), F.lit(0.0))
     s = s.withColumn("_before", before)
     ok = F.col("_before") > 0
@@ -227,11 +255,15 @@ def _chain(s: DataFrame, value: str, name: str, live: Column | None = None, noth
     return s.withColumn(name, (index - 1) * 100).drop("_before", "_f", "_seg")
 
 
-def with_returns(s: DataFrame) -> DataFrame:
-    """Money- and time-weighted return of portfolio and benchmark, in percent."""
+def with_returns(s: DataFrame, nothing: float = 0.0) -> DataFrame:
+    """Money- and time-weighted return of portfolio and benchmark, in percent.
+
+    `nothing`: a base of no more than this much money counts as none. Benchmark units are rounded to UNIT_DIGITS places, so what
+    is left of them by rounding counts as none in any case.
+    """
     s = s.withColumns({"return_pct": _mwr(F.col("value")), "benchmark_return_pct": _mwr(F.col("bench_value"), F.col("bench_on"))})
-    s = _chain(s, "value", "twr_pct")
-    return _chain(s, "bench_value", "benchmark_twr_pct", F.col("bench_price") > 0, F.col("bench_price") * 1e-8 + NOTHING)
+    s = _chain(s, "value", "twr_pct", None, F.lit(nothing))
+    return _chain(s, "bench_value", "benchmark_twr_pct", F.col("bench_price") > 0, F.col("bench_price") * 10.0 ** (2 - UNIT_DIGITS) + F.lit(nothing))
 
 
 def last_activity(tx: DataFrame, ops: DataFrame) -> DataFrame:
@@ -252,11 +284,10 @@ def until_closed(s: DataFrame, activity: DataFrame) -> DataFrame:
 
 
 def portfolio_history(tx: DataFrame, ops: DataFrame, instruments: DataFrame, prices: DataFrame, benchmark: str,
-                      as_of: date, start: date | None = None) -> DataFrame:
-    """One row per portfolio and day. Prices with a column `source` are those of each ticker's chosen source."""
-    prices = history_prices(instruments, prices)
+                      as_of: date, start: date | None = None, nothing: float = 0.0) -> DataFrame:
+    """One row per portfolio and day. Of prices with a column `source`, each portfolio's tickers use the source they chose."""
     state = daily_state(tx, ops, instruments, prices, benchmark, as_of, start)
-    s = until_closed(with_returns(with_benchmark(state)), last_activity(tx, ops))
+    s = until_closed(with_returns(with_benchmark(state), nothing), last_activity(tx, ops))
     return s.select(
         *DAY, F.col("value").alias("portfolio_value"), "return_pct", "twr_pct", F.col("bench_value").alias("benchmark_value"),
         "benchmark_return_pct", "benchmark_twr_pct", F.col("invested").alias("invested_cumulative"),

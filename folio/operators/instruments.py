@@ -172,31 +172,36 @@ def with_rates(df: DataFrame, rates: DataFrame, currency: str = "currency", name
         name, rate_or_default(F.col(currency), F.col("_rate"))).drop("_cur", "_rate")
 
 
-def choose_price_source(instruments: DataFrame, prices: DataFrame) -> DataFrame:
-    """Source whose history prices a ticker. Fewer than 10 Polish points give way to a longer global series."""
-    counts = prices.groupBy("ticker").agg(
-        F.count_if(F.col("source") == "stooq").alias("polish"), F.count_if(F.col("source") == "yahoo").alias("world"))
-    t = instruments.select("ticker", polish_source(F.col("price_source"), F.col("ticker")).alias("is_polish")).distinct()
+def choose_price_source(instruments: DataFrame, prices: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """Source whose history prices a ticker. Fewer than 10 Polish points give way to a longer global series.
+
+    Per portfolio if instruments have one; with `starts` (portfolio_id, start) points count from the portfolio's start on.
+    A ticker of several papers is Polish if one of them says so.
+    """
     zero = F.lit(0).cast("long")
-    j = t.join(counts, "ticker", "left").select(
-        "ticker", "is_polish", F.coalesce("polish", zero).alias("polish"), F.coalesce("world", zero).alias("world"))
+    on = [c for c in ("portfolio_id", "ticker") if c in instruments.columns]
+    polish = polish_source(F.col("price_source"), F.col("ticker"))
+    t = instruments.groupBy(*on).agg(F.coalesce(F.bool_or(polish), F.lit(False)).alias("is_polish"))
+    counts = [F.count_if(F.col("source") == s).alias(n) for s, n in (("stooq", "polish"), ("yahoo", "world"))]
+    if starts is None:
+        j = t.join(prices.groupBy("ticker").agg(*counts), "ticker", "left")
+    else:
+        t = t.join(starts.select("portfolio_id", "start"), "portfolio_id")
+        # counts from a day on, for the distinct days that are asked for: at most one row a calendar day and ticker
+        days = prices.groupBy("ticker", "date").agg(*counts).select("ticker", "date", "polish", "world", F.lit(None).cast("date").alias("start"))
+        asked = t.select("ticker", "start").distinct().select("ticker", F.col("start").alias("date"), zero.alias("polish"), zero.alias("world"), "start")
+        since = W.partitionBy("ticker").orderBy(F.desc("date")).rangeBetween(W.unboundedPreceding, W.currentRow)
+        later = days.unionByName(asked).select("ticker", "start", *(F.sum(c).over(since).alias(c) for c in ("polish", "world"))).filter("start IS NOT NULL")
+        j = t.join(later, ["ticker", "start"], "left")
+    j = j.select(*on, "is_polish", F.coalesce("polish", zero).alias("polish"), F.coalesce("world", zero).alias("world"))
     keep = F.col("is_polish") & ~((F.col("polish") < 10) & (F.col("world") > F.col("polish")))
-    return j.select("ticker", "polish", "world", F.when(keep, "stooq").otherwise("yahoo").alias("source"))
-
-
-def chosen_prices(instruments: DataFrame, prices: DataFrame) -> DataFrame:
-    """The price rows of each ticker's chosen source."""
-    choice = choose_price_source(instruments, prices).select("ticker", "source").distinct()
-    return prices.join(choice, ["ticker", "source"])
+    return j.select(*on, "polish", "world", F.when(keep, "stooq").otherwise("yahoo").alias("source"))
 
 
-def history_prices(instruments: DataFrame, prices: DataFrame) -> DataFrame:
-    """Prices of the history: of each ticker's chosen source if they have one; rates and benchmarks come from the global source."""
-    if "source" not in prices.columns:
-        return prices
-    choice = choose_price_source(instruments, prices).select("ticker", F.col("source").alias("_chosen")).distinct()
-    wanted = F.coalesce("_chosen", F.lit("yahoo"))
-    return prices.join(choice, "ticker", "left").filter(F.col("source") == wanted).select("ticker", "date", "close")
+def chosen_prices(instruments: DataFrame, prices: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """The price rows of each ticker's chosen source; with the portfolio that chose it, if choices are per portfolio."""
+    choice = choose_price_source(instruments, prices, starts).drop("polish", "world")
+    return choice.join(prices, ["ticker", "source"])
 
 
 def quote_source(source: Column, ticker: Column) -> Column:

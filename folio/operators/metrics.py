@@ -11,7 +11,7 @@ from ..functions.exprs import exact_sum
 
 MAX_STEPS, STEP_TOLERANCE, FLAT = 100, 1e-9, 1e-12
 GUESS = 0.1
-MAX_TERMS = 100_000  # distinct flow times of one portfolio that are solved inside one row
+MAX_TERMS = 100_000  # distinct flow times of one portfolio that are solved inside one row; beyond, by aggregations with the same result
 
 
 def pln_flows(ops: DataFrame) -> DataFrame:
@@ -39,46 +39,111 @@ def _newton(rate: Column, f: Column, df: Column) -> tuple[Column, Column]:
     return step, flat | (F.abs(step - rate) < STEP_TOLERANCE)
 
 
+# ---- sums that don't depend on order ----------------------------------------------------------------------------
+# An addend goes, by its size, to one of the bins of BIN_BITS binary digits and is a whole number of the bin's unit there; whole
+# numbers add up exactly in any order, and the bins are joined from the smallest on. So any split of the addends gives the same bits.
+
+BIN_BITS = 32
+_LEAST = 1e-280  # less than that is nothing
+
+
+def _odd(x: Column) -> Column:
+    return F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+
+
+def _bin(x: Column) -> Column:
+    return F.floor(F.log2(F.abs(x)) / BIN_BITS).cast("int")
+
+
+def _unit(b: Column) -> Column:
+    return F.pow(F.lit(2.0), (b * BIN_BITS - 53).cast("double"))
+
+
+def _piece(x: Column, b: Column) -> Column:
+    return (x / _unit(b)).cast("decimal(38,0)")
+
+
+def _joined(bins: Column) -> Column:
+    """Sum over sorted (bin, total)."""
+    return F.aggregate(bins, F.lit(0.0), lambda acc, v: acc + v["total"].cast("double") * _unit(v["bin"]))
+
+
+def _once(c: Column, use) -> Column:
+    """use(c), with c evaluated once."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+def array_total(xs: Column) -> Column:
+    """Sum of an array of doubles; of values that are no finite number, if there are any, their own sum."""
+    none = F.lit(0).cast("decimal(38,0)")
+
+    def binned(tagged: Column) -> Column:
+        bins = F.array_sort(F.array_distinct(F.transform(tagged, lambda t: t["bin"])))
+        return _joined(F.transform(bins, lambda b: F.struct(b.alias("bin"), F.aggregate(
+            F.filter(tagged, lambda t: t["bin"] == b), none, lambda acc, t: (acc + _piece(t["x"], b)).cast("decimal(38,0)")).alias("total"))))
+
+    def total(v: Column) -> Column:
+        odd = F.filter(v, _odd)
+        usable = F.transform(F.filter(v, lambda x: F.abs(x) > _LEAST), lambda x: F.struct(_bin(x).alias("bin"), x.alias("x")))
+        return F.when(F.size(odd) > 0, F.aggregate(odd, F.lit(0.0), lambda acc, x: acc + x)).otherwise(_once(usable, binned))
+
+    return _once(xs, total)
+
+
+def _sums(terms: DataFrame, keys: list[str], addends: dict[str, Column]) -> DataFrame:
+    """The same sums over rows, by key: partial sums of every bin, then the bins of a key (a few dozen at most)."""
+    rows = terms.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), x.alias("x")) for n, x in addends.items()])).alias("a")).select(*keys, "a.*")
+    usable = ~_odd(F.col("x")) & (F.abs("x") > _LEAST)
+    rows = rows.withColumn("bin", F.when(usable, _bin(F.col("x"))))
+    parts = rows.groupBy(*keys, "name", "bin").agg(
+        F.sum(F.when(usable, _piece(F.col("x"), F.col("bin")))).alias("total"), F.sum(F.when(_odd(F.col("x")), F.col("x"))).alias("odd"))
+    own = lambda n, c: F.when(F.col("name") == n, c)
+    return parts.groupBy(*keys).agg(*[
+        F.coalesce(F.sum(own(n, F.col("odd"))), _joined(F.sort_array(F.collect_list(own(n, F.when(F.col("bin").isNotNull(), F.struct("bin", "total"))))))).alias(n)
+        for n in addends])
+
+
+def _addends(rate: Column, t: Column, a: Column) -> dict[str, Column]:
+    up = F.lit(1.0) + rate
+    return {"f": a * F.pow(up, -t), "slope": t * a * F.pow(up, -t - 1)}
+
+
 def _solve(terms: Column) -> Column:
     """Newton steps over an array of (t, a) inside one row."""
     def step(s: Column, _: Column) -> Column:
-        r = s["rate"]
-        both = F.aggregate(
-            terms, F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("df")),
-            lambda acc, x: F.struct(
-                (acc["f"] + x["a"] * F.pow(1 + r, -x["t"])).alias("f"),
-                (acc["df"] - x["t"] * x["a"] * F.pow(1 + r, -x["t"] - 1)).alias("df")))
-        pair = F.transform(F.array(both), lambda v: F.struct(*[
-            c.alias(n) for n, c in zip(("rate", "done"), _newton(r, v["f"], v["df"]), strict=True)]))
-        return F.when(s["done"], s).otherwise(F.element_at(pair, 1))
+        def total(name: str) -> Column:
+            return array_total(F.transform(terms, lambda x: _addends(s["rate"], x["t"], x["a"])[name])).alias(name)
+
+        both = F.struct(total("f"), total("slope"))
+        moved = _once(both, lambda v: F.struct(*[
+            c.alias(n) for n, c in zip(("rate", "done"), _newton(s["rate"], v["f"], -v["slope"]), strict=True)]))
+        return F.when(s["done"], s).otherwise(moved)
 
     start = F.struct(F.lit(GUESS).alias("rate"), F.lit(False).alias("done"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_STEPS)), start, step, lambda s: s["rate"])
 
 
 def _solve_spread(terms: DataFrame) -> DataFrame:
-    """The same steps for portfolios with too many flows for one row: each step is one aggregation.
+    """The same steps, with the same bits, for portfolios with too many flows for one row: each step is one aggregation.
 
     Rates are written out after every step, so neither lineage nor a lost executor matters;
     the driver sees only how many portfolios are still open.
     """
-    from ..tables import pinned
+    from ..tables import discard, pinned
 
     terms = pinned(terms, "xirr-terms")
     rates = terms.select("portfolio_id").distinct().select(
         "portfolio_id", F.lit(GUESS).alias("rate"), F.lit(False).alias("done"))
-    for _ in range(MAX_STEPS):
-        up = F.lit(1.0) + F.col("rate")
+    for n in range(MAX_STEPS):
         open_rates = rates.filter(~F.col("done"))
-        sums = terms.join(open_rates, "portfolio_id").groupBy(
-            "portfolio_id", "rate").agg(
-            F.sum(F.col("a") * F.pow(up, -F.col("t"))).alias("f"),
-            (-F.sum(F.col("t") * F.col("a") * F.pow(up, -F.col("t") - 1))).alias("df"))
-        step, done = _newton(F.col("rate"), F.col("f"), F.col("df"))
+        sums = _sums(terms.join(open_rates, "portfolio_id"), ["portfolio_id", "rate"], _addends(F.col("rate"), F.col("t"), F.col("a")))
+        step, done = _newton(F.col("rate"), F.col("f"), -F.col("slope"))
         moved = sums.select("portfolio_id", step.alias("rate"), done.alias("done"))
-        rates = pinned(rates.filter("done").unionByName(moved), "xirr-rates")
+        before, rates = rates, pinned(rates.filter("done").unionByName(moved), "xirr-rates")
+        discard(*([before] if n else []))
         if rates.filter(~F.col("done")).isEmpty():
             break
+    discard(terms)
     return rates.select("portfolio_id", "rate")
 
 
@@ -99,7 +164,8 @@ def xirr(flows: DataFrame, values: DataFrame, as_of: date, mode: str = "compat",
     rows = small.groupBy("portfolio_id").agg(F.sort_array(F.collect_list(F.struct("t", "a"))).alias("terms"))
     solved = rows.select("portfolio_id", _solve(F.col("terms")).alias("rate"))
     out = solved if spread is None else solved.unionByName(spread)
-    return out.select("portfolio_id", F.col("rate").alias("xirr"))
+    rate = F.when(F.isnan("rate"), F.lit(float("nan"))).otherwise(F.col("rate"))  # one NaN of the many
+    return out.select("portfolio_id", rate.alias("xirr"))
 
 
 def _dividends(ops: DataFrame) -> DataFrame:

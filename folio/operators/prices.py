@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from .instruments import map_keys
 from .running import neighbours, ordered
 
 SERIES = ["portfolio_id", "ticker"]
+_BETWEEN = "\u001f"  # between ticker and source in the name of a feed
 SPLIT_GAP = 0.15
 SPARSE_POINTS = 10
 
@@ -24,91 +23,104 @@ def previous_close(prices: DataFrame) -> DataFrame:
         "ticker", "date", F.col("close").alias("previous_close"))
 
 
-def trade_points(tx: DataFrame, instruments: DataFrame) -> DataFrame:
+def feeds(prices: DataFrame) -> DataFrame:
+    """Provider series as (feed, date, close): one for each ticker and source, or for each ticker if there are no sources."""
+    if "feed" in prices.columns:
+        return prices
+    feed = F.concat_ws(_BETWEEN, "ticker", "source") if "source" in prices.columns else F.col("ticker")
+    return prices.select(feed.alias("feed"), "date", "close")
+
+
+def with_feed(df: DataFrame, choice: DataFrame | None) -> DataFrame:
+    """Rows of (portfolio_id, ticker) with the feed that their portfolio chose; series are neither copied nor mixed."""
+    if choice is None:
+        return df.withColumn("feed", F.col("ticker"))
+    on = [c for c in SERIES if c in choice.columns]
+    chosen = choice.select(*on, F.col("source").alias("_source"))
+    return df.join(chosen, on, "left").withColumn("feed", F.concat_ws(_BETWEEN, "ticker", F.coalesce("_source", F.lit("yahoo")))).drop("_source")
+
+
+def trade_points(tx: DataFrame, instruments: DataFrame, choice: DataFrame | None = None) -> DataFrame:
     """Trades in their instrument's currency, which tell its price on their day."""
     on = map_keys(instruments)
     i = instruments.select(*on, "ticker", F.col("currency").alias("_cur"))
-    return tx.join(i, on).filter(F.col("currency") == F.col("_cur")).select(
+    points = tx.join(i, on).filter(F.col("currency") == F.col("_cur")).select(
         "portfolio_id", "ticker", "isin", F.to_date("ts").alias("date"), "ts", "id", "price")
+    return with_feed(points, choice)
 
 
-def trade_marks(points: DataFrame, prices: DataFrame) -> DataFrame:
-    """Trade points with what H6 and H7 ask of them, from one shuffle of the trades.
+def trade_days(points: DataFrame, prices: DataFrame) -> DataFrame:
+    """The state of each paper's trade day, from one shuffle of the trades; all that H6 and H7 ask of them.
 
-    ratio: trade price to the price known for its day (the previous trade's, else the provider's)
-    if they are more than 15 % apart; `last`: last trade of its ticker's day; `opens`, `closes`:
-    first and last trade of its paper's day; `hit`: the provider has the day. Written out once,
-    because every later step reads it.
+    first, last: (time, id) and price of its first and last trade; trades: how many; off: (time, id) and ratio of the first trade
+    that is over 15 % off the price known for it (that of the trade before in the series' day, else the provider's close); hit: the
+    provider has the day. States of a day's parts merge by least and greatest, so a day may be cut anywhere. Written out once, because
+    every later step reads it.
     """
-    day = [*SERIES, "date"]
-    o = ordered(points, day, ["ts", "id"])
-    p = neighbours(o, {"earlier": "price"}, {"later": "id"})
-    p = neighbours(replace(o, df=p, keys=[*day, "isin"]), {"opened": "id"}, {"closed": "id"})
-    p = p.select(
-        *points.columns, "earlier", F.col("later").isNull().alias("last"),
-        F.col("opened").isNull().alias("opens"), F.col("closed").isNull().alias("closes"))
-    p = p.join(prices.select("ticker", "date", "close"), ["ticker", "date"], "left")
-    known = F.coalesce("earlier", "close")
-    times = F.col("price") / F.when(known > 0, known)
-    return pinned(p.select(
-        *SERIES, "isin", "date", "ts", "id", "price", F.when(F.abs(times - 1) > SPLIT_GAP, times).alias("ratio"),
-        "last", "opens", "closes", F.col("close").isNotNull().cast("int").alias("hit")), "trade-marks")
-
-
-def split_ratios(marks: DataFrame) -> DataFrame:
+    day = [*SERIES, "feed", "date"]
+    p = neighbours(ordered(points, day, ["ts", "id"]), {"earlier": "price"})
+    at, times = F.struct("ts", "id").alias("at"), F.col("price") / F.when(F.col("earlier") > 0, F.col("earlier"))
+    d = p.groupBy(*day, "isin").agg(
+        F.min(F.struct(at, "price")).alias("first"), F.max(F.struct(at, "price")).alias("last"), F.count(F.lit(1)).alias("trades"),
+        F.min(F.when(F.abs(times - 1) > SPLIT_GAP, F.struct(at, times.alias("ratio")))).alias("off"),
+        F.min(F.when(F.col("earlier").isNull(), F.struct(at, "price"))).alias("opening"))
+    d = d.join(feeds(prices), ["feed", "date"], "left")
+    times = F.col("opening.price") / F.when(F.col("close") > 0, F.col("close"))
+    opened = F.when(F.abs(times - 1) > SPLIT_GAP, F.struct(F.col("opening.at").alias("at"), times.alias("ratio")))
+    return pinned(d.select(
+        *day, "isin", "first", "last", "trades", F.least("off", opened).alias("off"), F.col("close").isNotNull().cast("int").alias("hit")), "trade-days")
+
+
+def split_ratios(days: DataFrame) -> DataFrame:
     """H6: ratio and place of the first trade of a series that is off its known price."""
-    off = marks.filter(F.col("ratio").isNotNull())
-    first = off.groupBy(*SERIES).agg(F.min("date").alias("date"))
-    at = F.struct("ts", "id")
-    return off.join(first, [*SERIES, "date"]).groupBy(*SERIES).agg(F.min_by("ratio", at).alias("ratio"), F.min(at).alias("trigger"))
+    first = days.groupBy(*SERIES).agg(F.min("off").alias("off"))
+    return first.filter(F.col("off").isNotNull()).select(*SERIES, F.col("off.ratio").alias("ratio"), F.col("off.at").alias("trigger"))
 
 
-def trade_day_prices(marks: DataFrame, ratios: DataFrame) -> DataFrame:
+def trade_day_prices(days: DataFrame, ratios: DataFrame) -> DataFrame:
     """H6: a trade day is priced by its last trade, scaled if that trade came before the split was seen."""
-    days = marks.filter("last").select(*SERIES, "date", "price", F.struct("ts", "id").alias("at"))
-    scaled = F.when(F.col("at") < F.col("trigger"), F.col("price") * F.col("ratio")).otherwise(F.col("price"))
-    return days.join(ratios, SERIES, "left").select(*SERIES, "date", scaled.alias("price"))
+    last = days.groupBy(*SERIES, "date").agg(F.max("last").alias("last"))
+    scaled = F.when(F.col("last.at") < F.col("trigger"), F.col("last.price") * F.col("ratio")).otherwise(F.col("last.price"))
+    return last.join(ratios, SERIES, "left").select(*SERIES, "date", scaled.alias("price"))
 
 
-def rescaled_prices(marks: DataFrame, prices: DataFrame) -> DataFrame:
+def rescaled_prices(days: DataFrame, prices: DataFrame) -> DataFrame:
     """H6: whole repaired series of every traded (portfolio, ticker)."""
-    ratios = split_ratios(marks)
-    own = trade_day_prices(marks, ratios)
+    ratios = split_ratios(days)
+    own = trade_day_prices(days, ratios)
     provider = (
-        marks.select(*SERIES).distinct().join(ratios, SERIES, "left").join(prices, "ticker")
+        days.select(*SERIES, "feed").distinct().join(ratios, SERIES, "left").join(feeds(prices), "feed")
         .select(*SERIES, "date", (F.col("close") * F.coalesce("ratio", F.lit(1.0))).alias("provided"))
     )
     return own.join(provider, [*SERIES, "date"], "full").select(*SERIES, "date", F.coalesce("price", "provided").alias("price"))
 
 
-def interpolated_prices(marks: DataFrame, prices: DataFrame) -> DataFrame:
+def interpolated_prices(days: DataFrame, prices: DataFrame) -> DataFrame:
     """H7: linear prices between the trade days of an ISIN whose provider series is too sparse there.
 
     Sparse: fewer than 10 provider days strictly between first and last trade day that
-    are not trade days. Their number is a difference of running counts per ticker, so
+    are not trade days. Their number is a difference of running counts per feed, so
     no range join is needed.
     """
     paper = ["portfolio_id", "isin", "ticker"]
-    days = marks.groupBy(*paper, "date").agg(
-        F.max(F.when(F.col("opens"), F.col("price"))).alias("first_price"), F.max(F.when(F.col("closes"), F.col("price"))).alias("last_price"))
-    closing = F.when(F.col("closes"), F.col("hit"))
-    span = marks.groupBy(*paper).agg(
-        F.min("date").alias("d1"), F.max("date").alias("d2"), F.count(F.lit(1)).alias("trades"), F.sum(closing).alias("hits"),
+    span = days.groupBy(*paper, "feed").agg(
+        F.min("date").alias("d1"), F.max("date").alias("d2"), F.sum("trades").alias("trades"), F.sum("hit").alias("hits"),
         F.max_by("hit", "date").alias("hit2"), F.min_by("hit", "date").alias("hit1"))
-    provided = prices.select("ticker", "date", F.lit(1).alias("hit"))
+    provided = feeds(prices).select("feed", "date", F.lit(1).alias("hit"))
     span = span.filter((F.col("trades") >= 2) & (F.col("d2") > F.col("d1")))
-    dense = span.groupBy("ticker").agg(F.min("d1").alias("a"), F.max("d2").alias("b")).select(
-        "ticker", F.explode(F.sequence("a", "b")).alias("date"))
-    upto = W.partitionBy("ticker").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    counts = dense.join(provided, ["ticker", "date"], "left").select("ticker", "date", F.count("hit").over(upto).alias("c"))
-    first = counts.select("ticker", F.col("date").alias("d1"), F.col("c").alias("c1"))
-    last = counts.select("ticker", F.col("date").alias("d2"), F.col("c").alias("c2"))
+    dense = span.groupBy("feed").agg(F.min("d1").alias("a"), F.max("d2").alias("b")).select(
+        "feed", F.explode(F.sequence("a", "b")).alias("date"))
+    upto = W.partitionBy("feed").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    counts = dense.join(provided, ["feed", "date"], "left").select("feed", "date", F.count("hit").over(upto).alias("c"))
+    first = counts.select("feed", F.col("date").alias("d1"), F.col("c").alias("c1"))
+    last = counts.select("feed", F.col("date").alias("d2"), F.col("c").alias("c2"))
     inside = F.col("c2") - F.col("hit2") - F.col("c1")
     on_trade_days = F.col("hits") - F.col("hit1") - F.col("hit2")
-    sparse = span.join(first, ["ticker", "d1"]).join(last, ["ticker", "d2"]).filter(
+    sparse = span.join(first, ["feed", "d1"]).join(last, ["feed", "d2"]).filter(
         inside - on_trade_days < SPARSE_POINTS).select(*paper)
     w = W.partitionBy(*paper).orderBy("date")
-    gaps = days.select(*paper, "date", "first_price", F.lead("date").over(w).alias("next_date"), F.lead("last_price").over(w).alias("next_price"))
+    gaps = days.select(*paper, "date", F.col("first.price").alias("first_price"), F.lead("date").over(w).alias("next_date"),
+                       F.lead("last.price").over(w).alias("next_price"))
     total = F.date_diff("next_date", "date")
     gaps = gaps.filter(total > 1).join(sparse, paper).select(
         *paper, "first_price", "next_price", total.alias("total"), F.col("date").alias("from_date"),
@@ -120,16 +132,16 @@ def interpolated_prices(marks: DataFrame, prices: DataFrame) -> DataFrame:
 def held_prices(held: DataFrame, points: DataFrame, prices: DataFrame) -> DataFrame:
     """H5-H7: price of every held paper on every held day.
 
-    held: portfolio_id, isin, ticker, date, ... A day without a price takes the last one seen
+    held: portfolio_id, isin, ticker, feed, date, ... A day without a price takes the last one seen
     on a held day of the ticker, 0 before the first. Ratios, own prices and held days of a series
     meet in one sorted window (calendar-bounded), so nothing is joined per day but the provider's close.
     """
-    marks = trade_marks(points, prices)
-    ratios = split_ratios(marks)
-    own = trade_day_prices(marks, ratios).select(*SERIES, "date", "price", F.lit(1).alias("kind")).unionByName(
-        interpolated_prices(marks, prices).select(*SERIES, "date", "price", F.lit(2).alias("kind")))
+    traded = trade_days(points, prices)
+    ratios = split_ratios(traded)
+    own = trade_day_prices(traded, ratios).select(*SERIES, "date", "price", F.lit(1).alias("kind")).unionByName(
+        interpolated_prices(traded, prices).select(*SERIES, "date", "price", F.lit(2).alias("kind")))
     first = ratios.select(*SERIES, F.lit("0001-01-01").cast("date").alias("date"), F.col("ratio").alias("price"), F.lit(0).alias("kind"))
-    days = held.join(prices.select("ticker", "date", "close"), ["ticker", "date"], "left").withColumn("kind", F.lit(3))
+    days = held.join(feeds(prices), ["feed", "date"], "left").drop("feed").withColumn("kind", F.lit(3))
     rows = days.unionByName(own.unionByName(first), allowMissingColumns=True)
     w = W.partitionBy(*SERIES).orderBy("date", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     kind = F.col("kind")

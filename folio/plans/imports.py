@@ -270,11 +270,18 @@ LEFT JOIN xtb_trades a ON f.kind = 'commission' AND NOT f.loose AND a.file = f.f
 LEFT JOIN (SELECT file, symbol, CAST(tm AS DATE) AS day, max(id) AS id FROM xtb_trades WHERE side = 'S' GROUP BY ALL) b ON f.kind = 'Sec Fee' AND b.file = f.file AND b.symbol = f.symbol AND b.day = f.sale_day"""
 
 
-@query("xtb_rows", "file row:l id type symbol amount:d account_currency ts:t", """
-SELECT file, row, CAST(id AS VARCHAR) AS id, CASE side WHEN 'K' THEN 'Stock purchase' ELSE 'Stock sale' END AS type, symbol, CASE side WHEN 'K' THEN -v2 ELSE v2 END AS amount,
-  CASE WHEN CAST(portfolio_id[3:] AS INT) % 2 = 0 THEN 'USD' ELSE 'PLN' END AS account_currency, CASE WHEN NOT late THEN tm END AS ts FROM xtb_base""")
+_XTB_ROW = """SELECT file, row + {n} AS row, CAST(id AS VARCHAR) AS id, {type} AS type, {symbol} AS symbol, {amount} AS amount,
+  CASE WHEN CAST(portfolio_id[3:] AS INT) % 2 = 0 THEN 'USD' ELSE 'PLN' END AS account_currency, CASE WHEN NOT late THEN tm END AS ts FROM xtb_base"""
+_FEE = "CASE WHEN side = 'K' AND d = 2 THEN 'other' WHEN side = 'S' AND d = 5 THEN 'Sec Fee' ELSE 'commission' END"
+
+
+@query("xtb_rows", "file row:l id type symbol amount:d account_currency ts:t", " UNION ALL ".join([
+    _XTB_ROW.format(n=0, type="CASE side WHEN 'K' THEN 'Stock purchase' ELSE 'Stock sale' END", symbol="symbol", amount="CASE side WHEN 'K' THEN -v2 ELSE v2 END"),
+    _XTB_ROW.format(n=1, type=_FEE, symbol="CASE WHEN d = 6 THEN '' ELSE symbol END",
+                    amount="CASE WHEN side = 'K' AND d = 2 THEN 0 WHEN side = 'S' AND d = 5 THEN -0.5 WHEN d = 6 THEN -1.25 ELSE -c2 END"),
+    _XTB_ROW.format(n=2, type="CASE WHEN side = 'S' AND d = 3 THEN 'close trade' ELSE 'other' END", symbol="symbol", amount="CASE WHEN side = 'S' AND d = 3 THEN 10 ELSE 0 END")]))
 def _xtb_rows(t):
-    return xtb.xtb_rows(xtb_files(t)).filter(F.col("type").startswith("Stock"))
+    return xtb.xtb_rows(xtb_files(t))
 
 
 @query("xtb_tx", "file row:l paper_name isin ts:t quantity:d side price:d value:d currency", """

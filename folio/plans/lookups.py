@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import history
 from ..operators import instruments as ins
+from .ledger import BENCHMARK
 from .registry import query
 from .views import VIEWS
 
@@ -165,7 +167,9 @@ def _history_prices(t):
     p = t.prices.join(polish, "ticker", "left").withColumn("polish", F.coalesce("polish", F.lit(False)))
     right = p.select("ticker", "date", "close", F.when(F.col("polish"), "stooq").otherwise("yahoo").alias("source"))
     wrong = p.select("ticker", "date", (F.col("close") + 7).alias("close"), F.when(F.col("polish"), "yahoo").otherwise("stooq").alias("source"))
-    return ins.history_prices(t.instruments, right.unionByName(wrong))
+    both = right.unionByName(wrong)
+    market = history.market_prices(both, BENCHMARK).select("ticker", "date", "close")
+    return ins.chosen_prices(t.instruments, both).select("ticker", "date", "close").unionByName(market)
 
 
 @query("unknown_instruments", "isin paper_name currency", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -124,7 +125,7 @@ def _previous(t):
 
 
 def marks(t, provider=None):
-    return prices.trade_marks(prices.trade_points(t.transactions, t.instruments), t.prices if provider is None else provider)
+    return prices.trade_days(prices.trade_points(t.transactions, t.instruments), t.prices if provider is None else provider)
 
 
 def monthly(df, keys, value, digits=6):
@@ -154,6 +155,11 @@ def _interpolated(t):
     return monthly(prices.interpolated_prices(marks(t, yearly), yearly), ["portfolio_id", "isin", "ticker"], "price")
 
 
+@query("prices_interpolated_full", "portfolio_id isin ticker date:D price:d", "SELECT * FROM interp")
+def _interpolated_full(t):
+    return prices.interpolated_prices(marks(t), t.prices)
+
+
 @query("prices_filled", "portfolio_id ticker month:D days:l total:d2 low:d high:d", monthly_sql("priced", "portfolio_id, ticker", "price"))
 def _filled(t):
     v = history.valued_holdings(t.transactions, t.cash_operations, t.instruments, t.prices, AS_OF)
@@ -196,6 +202,36 @@ def _history(t):
     return history.portfolio_history(t.transactions, t.cash_operations, t.instruments, t.prices, BENCHMARK, AS_OF)
 
 
+# portfolios that price the same tickers from different sources: the whole chain of views once more, over prices of each portfolio
+VIEWS["sourced"] = """
+SELECT ticker, 'yahoo' AS source, date, close FROM prices
+UNION ALL SELECT ticker, 'stooq', date, close * 1.5e0 FROM prices WHERE ticker LIKE 'TK%' AND (ticker NOT LIKE '%7%' OR (day(date) = 15 AND month(date) = 6))"""
+VIEWS["s_prices"] = """
+SELECT portfolio_id, ticker, date, close FROM (
+  SELECT portfolio_id, c.ticker, CASE WHEN (polish_here OR c.ticker LIKE '%.WA') AND NOT (count(*) FILTER (s.source = 'stooq') < 10 AND count(*) FILTER (s.source = 'yahoo') > count(*) FILTER (s.source = 'stooq'))
+    THEN 'stooq' ELSE 'yahoo' END AS source
+  FROM (SELECT DISTINCT t.portfolio_id, i.ticker, CAST(portfolio_id[3:] AS INT) % 2 = 0 AS polish_here, d0 FROM transactions t JOIN instruments i USING (isin)
+    JOIN (SELECT portfolio_id, min(date) AS d0 FROM cal GROUP BY portfolio_id) f USING (portfolio_id)) c
+  LEFT JOIN sourced s ON s.ticker = c.ticker AND s.date >= c.d0 GROUP BY portfolio_id, c.ticker, polish_here) x JOIN sourced USING (ticker, source)"""
+_CHAIN = ("ratios", "own_days", "interp", "priced", "state", "bench", "hist")
+for _name in _CHAIN:
+    _text = VIEWS[_name]
+    for _view in _CHAIN:
+        _text = re.sub(rf"\b{_view}\b", f"s_{_view}", _text)
+    VIEWS[f"s_{_name}"] = re.sub(
+        r"\bprices q ON q\.ticker = (\w)\.ticker", lambda m: f"s_prices q ON q.portfolio_id = {'h' if m[1] == 'i' else m[1]}.portfolio_id AND q.ticker = {m[1]}.ticker", _text)
+
+
+@query("portfolio_history_sources", HISTORY_SHAPE, "SELECT * FROM s_hist")
+def _history_sources(t):
+    few = ~F.col("ticker").contains("7") | ((F.dayofmonth("date") == 15) & (F.month("date") == 6))
+    polish = t.prices.filter(F.col("ticker").startswith("TK") & few).withColumn("close", F.col("close") * 1.5)
+    both = t.prices.withColumn("source", F.lit("yahoo")).unionByName(polish.withColumn("source", F.lit("stooq")))
+    here = F.when(F.substring("portfolio_id", 3, 9).cast("int") % 2 == 0, "stooq").otherwise("yahoo")
+    own = t.transactions.select("portfolio_id", "isin").distinct().join(t.instruments, "isin").withColumn("price_source", here)
+    return history.portfolio_history(t.transactions, t.cash_operations, own, both, BENCHMARK, AS_OF)
+
+
 @query("benchmark_value", "portfolio_id date:D bench_price:d benchmark_value:d2 benchmark_return_pct:d", "SELECT * FROM hist")
 def _bench(t):
     return hist(t)

@@ -182,3 +182,39 @@ def test_cash_flow_chunked(spark, small_chunks):
         r = got[o[1]]
         assert (r.cumulative_deposits, r.cumulative_withdrawals) == (d, w)
         assert r.portfolio_value == (7.0 if o[2].date() == D0 else d - w)
+
+
+def test_each_portfolio_prices_from_its_own_source(spark):
+    """Two portfolios, one ticker: one asks the Polish source, the other the world's; a third starts too late for the Polish one."""
+    from pyspark.sql import functions as F
+
+    from folio.operators import instruments
+
+    day = lambda n: D0 + timedelta(days=n)
+    prices = spark.createDataFrame(
+        [("X", "stooq", day(n), 100.0 + n) for n in range(15)] + [("X", "yahoo", day(n), 110.0 + n) for n in range(40)] + [("USDPLN=X", "yahoo", D0, 4.0), ("USDPLN=X", "stooq", D0, 9.0)],
+        "ticker string, source string, date date, close double")
+    inst = spark.createDataFrame([(p, "I", "X", "n", "e", "PLN", s, None) for p, s in (("A", "stooq"), ("B", "yahoo"), ("C", "stooq"))], "portfolio_id string, " + INST)
+    tx = spark.createDataFrame([(p, 1, at(day(k)), "n", "I", Decimal(1), "K", 105.0, 105.0, 0.0, 105.0, "PLN", "s") for p, k in (("A", 0), ("B", 0), ("C", 10))], TX)
+    ops = spark.createDataFrame([(p, 1, at(day(k)), "deposit", "d", 200.0, "PLN", None, None, None, "s") for p, k in (("A", 0), ("B", 0), ("C", 10))], OPS)
+    choice = history.source_choice(tx, ops, inst, prices)
+    assert {(r.portfolio_id, r.polish, r.world, r.source) for r in choice.collect()} == {("A", 15, 40, "stooq"), ("B", 15, 40, "yahoo"), ("C", 5, 30, "yahoo")}
+    got = history.portfolio_history(tx, ops, inst, prices, "^GSPC", day(20)).collect()
+    assert len(got) == 21 + 21 + 11
+    stock = {(r.portfolio_id, (r.date - D0).days): r.stock_value for r in got}
+    assert stock["A", 5] == 105.0 and stock["A", 20] == 114.0     # the last close there is, carried on
+    assert stock["B", 5] == 115.0 and stock["B", 20] == 130.0
+    assert stock["C", 10] == 105.0 and stock["C", 20] == 130.0
+    assert {r.fx_usd for r in got} == {4.0}
+    one = instruments.chosen_prices(inst, prices)                 # without starts all points count
+    assert {(r.portfolio_id, r.source) for r in one.select("portfolio_id", "source").distinct().collect()} == {("A", "stooq"), ("B", "yahoo"), ("C", "stooq")}
+    assert one.filter(F.col("portfolio_id") == "A").count() == 15
+
+
+def test_a_base_above_nothing_counts(spark):
+    """After all but a billionth was taken out, the return goes on from that billionth; with a threshold it doesn't."""
+    rows = [("P", D0, 100.0, 100.0, 0.0), ("P", D0 + timedelta(days=1), 100.0, 0.0, 0.0), ("P", D0 + timedelta(days=2), 2e-9, 0.0, 100.0 - 1e-9)]
+    s = spark.createDataFrame(rows, "portfolio_id string, date date, value double, deposit double, withdrawal double").selectExpr(
+        "*", "1.0D AS invested", "0.0D AS bench_value", "false AS bench_on", "0.0D AS bench_price")
+    last = lambda nothing: history.with_returns(s, nothing).orderBy("date").collect()[-1].twr_pct
+    assert last(0.0) == pytest.approx(100.0, rel=1e-4) and last(1e-6) == 0.0

@@ -1,6 +1,8 @@
+import struct
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.operators import cash, metrics
 
@@ -44,6 +46,41 @@ def test_xirr(spark, mode, limit):
         assert got[p] == pytest.approx(newton(f, v, as_of, mode == "signed"), abs=1e-8), p
 
 
+def test_row_and_spread_way_give_the_same_bits(spark):
+    import random
+    from datetime import timedelta
+
+    r = random.Random(7)
+    flows = [(p, datetime(2015, 1, 1) + timedelta(seconds=r.randrange(280_000_000)), r.choice([1, 1, -1]) * 10 ** r.uniform(-3, 7)) for p in ("A", "B") for _ in range(200)]
+    df, values = spark.createDataFrame(flows, FLOWS), spark.createDataFrame([("A", 1e8), ("B", 3e8)], "portfolio_id string, value double")
+    seen = set()
+    for parts, limit in ((1, 100_000), (8, 100_000), (1, 1), (5, 1)):
+        rows = metrics.xirr(df.repartition(parts), values, date(2024, 1, 1), "signed", max_terms=limit).collect()
+        seen.add(tuple(sorted((x.portfolio_id, struct.pack(">d", x.xirr)) for x in rows)))
+    assert len(seen) == 1
+
+
+@pytest.mark.parametrize("extra", [[], [float("inf")], [float("nan")], [float("inf"), float("-inf")]])
+def test_totals_do_not_depend_on_order(spark, extra):
+    import math
+    import random
+
+    r = random.Random(3)
+    xs = [r.choice([1, -1]) * 10 ** r.uniform(-30, 30) for _ in range(300)] + [0.0, -0.0, 1e300, -1e300, 5e-324] + extra
+    got = set()
+    for _ in range(4):
+        r.shuffle(xs)
+        df = spark.createDataFrame([("k", x) for x in xs], "k string, x double").repartition(r.randrange(1, 6))
+        got.add(struct.pack(">d", metrics._sums(df, ["k"], {"s": F.col("x")}).first().s))
+        got.add(struct.pack(">d", spark.createDataFrame([(xs,)], "x array<double>").select(metrics.array_total(F.col("x"))).first()[0]))
+    assert len(got) == 1
+    value = struct.unpack(">d", got.pop())[0]
+    if not extra:
+        assert value == pytest.approx(math.fsum(xs), rel=1e-12)
+    else:
+        assert math.isnan(value) if extra != [float("inf")] else value == float("inf")
+
+
 def test_one_conversion_per_time_stamp(spark):
     t = datetime(2024, 5, 1)
     row = lambda i, a, c, rate=None, pair=None: ("P", i, t, "fx_exchange", "x", a, c, None, rate, pair, "bossa")
