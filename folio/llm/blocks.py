@@ -16,6 +16,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def whole_row(docs: DataFrame):
+    """All columns as one struct `row`: no name of theirs can clash with another; `row.*` brings them back."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], max_bytes: int, text: str = "text") -> Iterator[pa.Table]:
     """The same rows re-cut into tables of about `max_bytes` of text; a longer text is a table of its own."""
     held: list[pa.RecordBatch] = []

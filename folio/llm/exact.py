@@ -49,7 +49,7 @@ def groups(stream: DataFrame) -> DataFrame:
 
     Input: key, doc_id, n_chars, locator. There is no watermark, so state never expires.
     """
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("negated"), "locator"))
+    best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("inverse"), "locator"))
     return stream.groupBy("key").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
 
 
@@ -73,7 +73,7 @@ def run_stream(keys: DataFrame, name: str = "exact") -> DataFrame:
         found = spark.read.schema(schema).parquet(*[f"{out}/{b}" for b in range(last["batchId"] + 1)])
     if last is not None and last["batchId"]:
         found = found.groupBy("key").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("s")).select("key", "s.*")
-    return found.select("key", (-F.col("best.negated")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), F.col("best.locator").alias("locator"), "group_size")
+    return found.select("key", F.bitwise_not(F.col("best.inverse")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), F.col("best.locator").alias("locator"), "group_size")
 
 
 def _keyed(texts: DataFrame, digest) -> DataFrame:
@@ -88,8 +88,9 @@ def _differing(keyed: DataFrame, state: DataFrame) -> DataFrame:
     hits = state.filter("group_size > 1").select("key", "keep_id")
     stays = keyed.select("doc_id", F.col("key").alias("own"), F.col("bare").alias("kept")).join(
         hits, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own") == F.col("key"))).select("key", "kept").dropDuplicates(["key"])
-    stays = pinned(stays, "exact-stays")  # so that the join below can split the rows of a hot key
-    return keyed.select("key", "bare").join(stays, "key").filter(F.col("bare") != F.col("kept")).select("key").distinct()
+    stays = pinned(stays, "exact-stays")
+    # written before it is grouped by the same key, so that Spark may split the rows of a hot key in the join
+    return pinned(keyed.select("key", "bare").join(stays, "key").filter(F.col("bare") != F.col("kept")).select("key"), "exact-unlike").distinct()
 
 
 def dedup(docs: DataFrame, digest=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +107,7 @@ def dedup(docs: DataFrame, digest=None, id_col: str = "doc_id", text_col: str =
     if not differing.isEmpty():
         again = keyed.join(differing, "key").withColumn("key", F.concat_ws(":", "key", F.sha2(F.col("bare").cast("binary"), 512), "bare"))
         redone = groups(again.select("key", "doc_id", "n_chars", F.lit("").alias("locator"))).select(
-            "key", (-F.col("best.negated")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), F.col("best.locator").alias("locator"), "group_size")
+            "key", F.bitwise_not(F.col("best.inverse")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), F.col("best.locator").alias("locator"), "group_size")
         state = pinned(state.join(differing, "key", "left_anti").unionByName(redone), "exact-state")
         rows = pinned(rows.join(differing, "key", "left_anti").unionByName(
             again.select("doc_id", "n_chars", "text_sha256", "key", F.lit("").alias("locator"))), "exact-rows")
@@ -120,10 +121,11 @@ def dedup(docs: DataFrame, digest=None, id_col: str = "doc_id", text_col: str =
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    kept = dedup(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    own = docs.withColumn("_sha", F.sha2(normalised(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    n = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
-    first = Window.partitionBy(id_col, "_sha").orderBy(n.desc())  # one row, but for repeated ids
-    return own.join(kept, same, "left_semi").withColumn("_first", F.row_number().over(first)).filter("_first = 1").select(*docs.columns)
+    """The rows of `docs` that stay, with all their columns, whatever their names. Nulls and repeated rows as in `dedup`."""
+    kept = dedup(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(
+        blocks.whole_row(docs), F.col(id_col).cast("long").alias("id"), F.sha2(normalised(text).cast("binary"), 256).alias("sha"), F.char_length(text).alias("n"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
+    first = Window.partitionBy("id", "sha").orderBy(F.desc("n"))  # one row, but for repeated ids
+    return own.join(kept, same, "left_semi").withColumn("first", F.row_number().over(first)).filter("first = 1").select("row.*")

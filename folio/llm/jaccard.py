@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import pinned
@@ -46,6 +46,10 @@ def runs_for(recall: float = RECALL, threshold: float = THRESHOLD) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
+def _text_id(text):
+    return F.unhex(F.md5(text))
+
+
 # ---- sets ------------------------------------------------------------------------------------------------------------------
 def shingles(texts: pa.Array) -> list[np.ndarray]:
     """Per text, the sorted set of its hashed shingles of WORDS words in lower case; of fewer words, one of them all; of none, none."""
@@ -88,7 +92,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, i in enumerate(full):
             signature[i] = least[row].view(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [doc, pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(signature, pa.list_(pa.int32()))], ["doc_id", "sid", "signature"])
+            [doc, blocks.column(table, "tid"), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(signature, pa.list_(pa.int32()))],
+            ["doc_id", "tid", "sid", "signature"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,19 +271,21 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id (the smallest doc_id of its class), n_links, sid.
+    """One row per input row: doc_id, class_id (the smallest doc_id of its class), n_links, sid, class_sid, tid.
 
     A class is what links of similarity `threshold` and more connect; rows with the same shingle set are in one. n_links counts the
     different other sets that a row's set is linked with. Texts without a word have no set: each is a class of its own, without
-    links. Rows without doc_id take part; a class of such rows alone has a null class_id.
+    links. Rows without doc_id take part; a class of such rows alone has a null class_id. Ids may repeat: digests of set (sid), class
+    (class_sid) and text (tid) tell rows apart.
     """
-    texts = blocks.keyed(docs, id_col, text_col)
-    keys = pinned(texts.mapInArrow(_signed, "doc_id long, sid binary, signature array<int>"), "jaccard-keys")
-    by_set = pinned(keys.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "jaccard-by-set")
+    texts = blocks.keyed(docs, id_col, text_col).withColumn("tid", _text_id(F.col("text")))
+    keys = pinned(texts.mapInArrow(_signed, "doc_id long, tid binary, sid binary, signature array<int>"), "jaccard-keys")
+    by_set = pinned(keys.filter("sid IS NOT NULL").groupBy("sid").agg(
+        F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.min(F.struct("doc_id", "tid")).alias("at")), "jaccard-by-set")
     leaves = buckets(by_set.select("sid", "signature"), runs_for(recall, threshold))
-    asked = by_set.select("sid", "rep").join(leaves.select("sid").distinct(), "sid")
-    drawn = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text")
-    # a repeated doc_id brings other texts: only the set's own counts, once
+    asked = by_set.select("sid", F.col("at.doc_id").alias("at_id"), F.col("at.tid").alias("at_tid")).join(leaves.select("sid").distinct(), "sid")
+    # one text for each set: by its digest too, so rows of one id, or of none, don't meet each other's sets
+    drawn = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("tid") == F.col("at_tid"))).select("sid", "text")
     sets = pinned(drawn.mapInArrow(_sets, "sid binary, own binary, tokens binary").filter(F.col("sid") == F.col("own"))
                   .groupBy("sid").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
     label = components(pinned(_compared(leaves, sets, _linked(threshold), "a binary, b binary"), "jaccard-forest"))
@@ -286,15 +293,26 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     members = label.join(sizes, "label").select(F.xxhash64("label").alias("node"), "sid", "size")
     counts = _compared(members, sets, _counted(threshold), "sid binary, n_links long").groupBy("sid").agg(F.sum("n_links").alias("n_links"))
     least = label.join(by_set.select("sid", "rep"), "sid").groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = label.join(least, "label").join(counts, "sid", "left").select("sid", "class_id", "n_links")
+    classes = label.join(least, "label").join(counts, "sid", "left").select("sid", "label", "class_id", "n_links")
     of_set = pinned(by_set.select("sid", "rep").join(classes, "sid", "left")
-                    .select("sid", F.when(F.col("n_links").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "jaccard-classes")
-    return keys.select("doc_id", "sid").join(of_set, "sid", "left").select(
-        "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "sid")
+                    .select("sid", F.when(F.col("n_links").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                            F.coalesce("label", "sid").alias("class_sid")), "jaccard-classes")
+    return keys.select("doc_id", "tid", "sid").join(of_set, "sid", "left").select(
+        "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "sid", "class_sid", "tid")
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all columns, that are their class's first; all texts without a word stay."""
-    kept = join(docs, threshold, id_col=id_col, text_col=text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of `docs`, with all columns, whatever their names, that are their class's first; all texts without a word stay.
+
+    The first row of a class has its smallest doc_id (null after all others); of rows of that id, one stays.
+    """
+    found = join(docs, threshold, id_col=id_col, text_col=text_col)
+    first = found.filter("sid IS NOT NULL").groupBy("class_sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("at"))
+    kept = first.select(F.col("at.doc_id").alias("kept_id"), F.col("at.tid").alias("kept_tid"), F.lit(True).alias("one"))
+    kept = kept.unionByName(found.filter("sid IS NULL").select(F.col("doc_id").alias("kept_id"), F.col("tid").alias("kept_tid"), F.lit(False).alias("one")).distinct())
+    own = docs.select(blocks.whole_row(docs), F.col(id_col).cast("long").alias("id"), _text_id(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tid"))
+    own = own.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("tid") == F.col("kept_tid")))
+    alike = Window.partitionBy("id", "tid").orderBy(F.lit(1))  # rows alike in id and text
+    firsts = own.filter("one").withColumn("n", F.row_number().over(alike)).filter("n = 1")
+    return firsts.select("row.*").unionByName(own.filter("NOT one").select("row.*"))

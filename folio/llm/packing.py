@@ -241,7 +241,8 @@ def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
     spark = cut.sparkSession
     total = cut.count()
     buckets = max(64, total // BUCKET_ROWS)
-    keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    # more than the id: rows of one id, or of none, are spread too
+    keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64(*[c for c in cut.columns if c != "ids"]), F.lit(buckets)))
     counts = keyed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(
         "length", "_bucket",
@@ -272,8 +273,11 @@ def packed(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, id_col
 
 
 def sequences(placed: DataFrame, size: int = 2048, pad_id: int = 0) -> DataFrame:
-    """Token sequences of placed pieces with `ids`: sequence_id, length, tokens (array<int>), padded to `size` unless the length is a power of two."""
-    def joined(key, table: pa.Table) -> pa.Table:
+    """Token sequences of placed pieces with `ids`: sequence_id, length, tokens (array<int>), padded to `size` unless the length is a power of two.
+
+    Null and empty texts are pieces of their end id; repeated rows are pieces of their own. An empty table gives an empty one.
+    """
+    def joined(key, table):
         table = table.sort_by("offset")
         raw = np.frombuffer(b"".join(table.column("ids").to_pylist()), "<u4").astype(np.int32)
         n = len(raw)

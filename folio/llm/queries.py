@@ -80,7 +80,7 @@ def _op9(spark, sf_dir):
 
 @query("op7_jaccard_join")
 def _op7(spark, sf_dir):
-    return jaccard.join(table(spark, sf_dir, "documents")).drop("sid")
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("sid", "class_sid", "tid")
 
 
 @query("op8_topk", """
@@ -142,7 +142,10 @@ def _op12(spark, sf_dir):
 
 @query("op13_fill_in_middle", r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
-    regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS units FROM documents),
+    regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS units FROM documents),
 c AS (SELECT *, len(units) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS r FROM d),
 p AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain'

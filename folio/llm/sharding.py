@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import pinned
+from . import blocks
 
 LAW = "key"
 DIGITS, BITS = 13, 52   # of a digest that a draw is made from
@@ -83,7 +84,7 @@ def shard_of(key: Column, tree: Tree) -> Column:
 
 def sharded(docs: DataFrame, tree: Tree, id_col: str = "doc_id") -> DataFrame:
     """shard and the whole input row as `row`, so that no column name can clash. Nothing is shuffled."""
-    return docs.select(shard_of(F.col(id_col), tree).alias("shard"), F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"))
+    return docs.select(shard_of(F.col(id_col), tree).alias("shard"), blocks.whole_row(docs))
 
 
 def placed(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -106,6 +106,42 @@ def test_exact_dedup(frame, digest):
     assert sorted(bare(x.text) for x in left.collect()) == sorted(groups)
 
 
+def test_exact_dedup_at_the_ends_of_ids_and_with_any_columns(spark):
+    rows = [(-(2**63), "a b"), (2**63 - 1, "ab"), (-(2**63), "c"), (0, "c"), (None, "c"), (5, None)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in rows], "doc_id long, text string, _kept_id int, _kept_sha int, _sha int, first int, `a``b` int")
+    assert {(r.doc_id, r.text_sha256[:4], r.keep_id, r.kept) for r in exact.dedup(df).collect()} == {
+        (i, hashlib.sha256((t or "").replace(" ", "").encode()).hexdigest()[:4], k, s) for i, t, k, s in
+        [(-(2**63), "ab", -(2**63), True), (2**63 - 1, "ab", -(2**63), False), (-(2**63), "c", -(2**63), True), (0, "c", -(2**63), False), (None, "c", -(2**63), False), (5, "", 5, True)]}
+    left = exact.without_copies(df)
+    assert left.columns == df.columns and {tuple(r)[:3] for r in left.collect()} == {(-(2**63), "a b", 1), (-(2**63), "c", 1), (5, None, 1)}
+
+
+@pytest.mark.parametrize("same", [None, 7])
+def test_near_copies_of_one_id_or_none(spark, frame, monkeypatch, same):
+    """Rows that share an id, or have none, are told apart by their texts; each set is drawn once."""
+    r = random.Random(4)
+    words = prose(r, 60).split()
+    rows = [(same, " ".join([*words[:k % 60], "w" + "abcdefghij"[k // 60] + "x", *words[k % 60 + 1:]])) for k in range(120)]
+    rows += [(same, prose(r, 40)), (same, prose(r, 40)), rows[0], (1, rows[0][1]), (same, None), (same, "")]
+    drawn, real = [], jaccard.pinned
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "jaccard-sets":
+            drawn.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "pinned", counted)
+    got = jaccard.join(frame(rows)).collect()
+    assert collections.Counter((x.doc_id, x.class_id, x.n_links) for x in got) == brute_classes(rows, 0.8)
+    assert max(drawn) <= 122
+    df = frame(rows).withColumn("_kept_id", F.lit(1)).withColumn("tid", F.lit(2)).withColumn("a`b", F.lit(3))
+    left = jaccard.representatives(df)
+    assert left.columns == df.columns
+    texts = [x.text for x in left.collect()]
+    assert len(texts) == 5 and set(texts) >= {None, "", rows[120][1], rows[121][1]} and texts.count(rows[0][1]) == 1
+
+
 def test_state_over_many_batches(spark, monkeypatch):
     monkeypatch.setattr(exact, "FILES", 1)
     keys = spark.range(40).repartition(4).select(F.concat(F.lit("k"), F.col("id") % 7).alias("key"), F.col("id").alias("doc_id"),

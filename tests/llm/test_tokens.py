@@ -102,6 +102,14 @@ def test_packing(spark, frame):
     made = packing.sequences(cut, size).collect()
     assert sum(r.length for r in made) == sum(len(x) for i in {i for i, _ in rows[:6]} for x in ids[i])
     assert all(len(r.tokens) == size or r.length & (r.length - 1) == 0 for r in made)
+    placed = {}
+    for row in cut.drop("ids").collect():
+        placed.setdefault(row.doc_id, []).append((row.start, row.sequence_id, row.offset, row.length))
+    tokens = {r.sequence_id: r.tokens for r in made}
+    for i in {i for i, _ in rows[:6]} - {None}:
+        if sum(x == i for x, _ in rows[:6]) == 1:  # the pieces of a document, in order, are its ids
+            assert [x for _, s, at, n in sorted(placed[i]) for x in tokens[s][at:at + n]] == ids[i][0]
+    assert all(set(r.tokens[r.length:]) <= {0} for r in made)
 
 
 def test_empty_tables(frame):
