@@ -61,15 +61,15 @@ def _axis(tx: DataFrame, carried: list[str]) -> tuple[DataFrame, Ordered]:
     return with_state(df.drop("served"), ends, o.part), o
 
 
-def open_lots(tx: DataFrame) -> DataFrame:
-    """What is left of every buy. Sells beyond the holdings are lost."""
-    df, _ = _axis(tx, ["price", "commission", "currency"])
+def open_lots(tx: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """What is left of every buy, with `extra` columns of its trade. Sells beyond the holdings are lost."""
+    df, _ = _axis(tx, ["price", "commission", "currency", *extra])
     start = F.col("hi") - F.col("qty")
     left = (F.col("hi") - F.greatest(start, F.least(F.col("hi"), F.col("sold")))).cast(QUANTITY)
     return (
         df.filter(F.col("side") == "K")
         .select(*KEYS, F.col("trade.id").alias("id"), left.alias("quantity"), "trade.price", "trade.commission",
-                F.col("trade.ts").alias("ts"), "trade.currency")
+                F.col("trade.ts").alias("ts"), "trade.currency", *[f"trade.{c}" for c in extra])
         .filter(F.col("quantity") > 0)
     )
 
@@ -167,13 +167,14 @@ def closed_trades(tx: DataFrame, instruments: DataFrame, commission: str = "comp
 
     commission: 'compat' charges a lot's whole commission to the match that uses it
     up and otherwise commission * matched / (rem + matched); 'prorata' splits it by
-    quantity.
+    quantity. Lots of a snapshot say in `whole_quantity` how much was bought.
     """
-    m = matches(tx, ["currency", "source", "paper_name"])
+    whole = "whole_quantity" if "whole_quantity" in tx.columns else "quantity"
+    m = matches(tx, ["currency", "source", "paper_name", *([whole] if whole != "quantity" else [])])
     q, rem = F.col("matched").cast("double"), F.col("rem").cast("double")
     buy_price, sell_price = F.col("buy.price"), F.col("sell.price")
     if commission == "prorata":
-        share = q / F.col("buy.quantity").cast("double")
+        share = q / F.col(f"buy.{whole}").cast("double")
         buy_comm = F.col("buy.commission") * share
     else:
         buy_comm = q * (F.col("buy.commission") / (rem + F.when(rem == q, F.lit(0.0)).otherwise(q)))

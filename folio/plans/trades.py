@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import fifo
+from pyspark.sql import functions as F
+
+from .. import tables
+from ..operators import fifo, snapshots
 from .registry import query
 from .views import VIEWS, fixed_sum
 
@@ -90,3 +93,28 @@ FROM (SELECT portfolio_id, ticker, CAST(sell_date AS DATE) AS sell_day, first(pa
   FROM fifo_trades GROUP BY portfolio_id, ticker, CAST(sell_date AS DATE)) g""")
 def _groups(t):
     return fifo.closed_trade_groups(fifo.closed_trades(t.transactions, t.instruments, newest_first=False))
+
+
+def _halves(t):
+    """Trades before a day, and the others: all later ones and, in some portfolios, late ones among the earlier."""
+    late = F.col("portfolio_id").isin("PF3", "PF7") & (F.col("id") % 97 == 0)
+    early = (F.col("ts") < F.lit("1996-01-01")) & ~late
+    return t.transactions.filter(early), t.transactions.filter(~early)
+
+
+def _snapshot(old):
+    s = snapshots.snapshot(old)
+    return snapshots.Snapshot(tables.pinned(s.lots, "lots"), tables.pinned(s.marks, "lot-marks"))
+
+
+@query("lots_continued", "portfolio_id isin id:l ts:t quantity:d price:d commission:d currency", "SELECT * FROM fifo_lots")
+def _lots_continued(t):
+    old, new = _halves(t)
+    return snapshots.continued(_snapshot(old), new, t.transactions).lots
+
+
+@query("closed_trades_continued", _TRADE, "SELECT * FROM fifo_trades")
+def _closed_continued(t):
+    old, new = _halves(t)
+    closed = tables.pinned(fifo.closed_trades(old, t.instruments, newest_first=False), "closed")
+    return snapshots.continued_trades(closed, _snapshot(old), new, t.transactions, t.instruments)

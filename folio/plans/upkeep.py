@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import keyed, ledger
 from .registry import query
 from .views import VIEWS, fixed_sum
 from ..tables import new_path
@@ -67,11 +67,30 @@ FROM lineitem WHERE l_linenumber = 7"""
 SELECT ticker, date, close FROM prices p WHERE NOT EXISTS (SELECT 1 FROM ({_PRICE_CHANGES}) c WHERE c.ticker = p.ticker AND c.date = p.date)
 UNION ALL SELECT ticker, date, close FROM ({_PRICE_CHANGES}) c WHERE rn = 1""")
 def _price_upsert(t):
-    changes = t.source("lineitem").filter(F.col("l_linenumber") == 7).select(
+    return ledger.upsert(t.prices, _new_prices(t), ["ticker", "date"])
+
+
+def _new_prices(t):
+    return t.source("lineitem").filter(F.col("l_linenumber") == 7).select(
         F.concat(F.lit("TK"), F.col("l_partkey") % 25).alias("ticker"), F.to_date("l_shipdate").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("close"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
-    return ledger.upsert(t.prices, changes, ["ticker", "date"])
+
+
+@query("price_changes", "ticker date:D close:d", f"""
+SELECT ticker, date, CASE WHEN dayofmonth(date) = 15 THEN close + 1 ELSE close END AS close FROM (
+  SELECT ticker, date, close FROM prices p WHERE NOT EXISTS (SELECT 1 FROM ({_PRICE_CHANGES}) c WHERE c.ticker = p.ticker AND c.date = p.date)
+  UNION ALL SELECT ticker, date, close FROM ({_PRICE_CHANGES}) c WHERE rn = 1) u
+WHERE dayofmonth(date) <> 7 AND ticker <> 'TK11'""")
+def _price_changes(t):
+    """A stored table through four change sets: new prices, corrected days, deleted days, a ticker deleted whole."""
+    table = keyed.create(t.prices, new_path(t.spark, "prices-by-key"), ["ticker", "date"], buckets=8)
+    table.upsert(_new_prices(t))
+    days = lambda n: table.read().filter(F.dayofmonth("date") == n)
+    table.update(days(15).select("ticker", "date", (F.col("close") + 1).alias("close")))
+    table.delete(days(7))
+    table.delete(t.prices.filter(F.col("ticker") == "TK11"), ["ticker"])
+    return keyed.opened(t.spark, table.path).read()
 
 
 @query("apply_updates", _TX, """

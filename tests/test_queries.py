@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 FEW = ["closed_trades", "open_positions", "cash_balances", "contribution_limits", "name_to_isin", "resolve_instruments", "rejects",
        "xtb_fees", "portfolio_history", "returns_twr", "xirr", "search_merge", "open_positions_by_source", "history_prices", "import_trades",
-       "import_rejects", "import_named_broker", "portfolio_totals", "auto_instrument", "apply_updates"]
+       "import_rejects", "import_named_broker", "portfolio_totals", "auto_instrument", "apply_updates",
+       "price_changes", "lots_continued", "closed_trades_continued"]
 NAMES = list(QUERIES) if os.environ.get("FOLIO_ALL_QUERIES") else FEW
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not there")
