@@ -8,7 +8,8 @@ urls, drawn to that of its merged branches, which is drawn to its host's, and th
 template without any of its own takes no verdict from a pool that knows but one side, however many urls that has.
 
 Only DataFrame functions. Urls are counted by host and generalised path before anything else, so a host with a third of all pages
-is as small as its tree.
+is as small as its tree. The tree is as deep as its paths: a round takes every node over all segments that its paths share and
+one more, so there are as many rounds as a path meets branchings, and a long path of its own takes one.
 """
 
 from __future__ import annotations
@@ -16,9 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import pinned
+from ..tables import discard, pinned
 
-DEPTH = 4           # levels of the tree; what lies deeper is one wildcard
 WIDE, SHARE = 20, 3  # a node with over 20 literals, more than a third of its urls, has a variable below it
 PRIOR = 4.0         # labelled urls that each smoothing step is worth
 PURITY = 0.9        # a template is rejected from this purity on
@@ -44,9 +44,65 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
 
 
 def _shape(path: Column) -> Column:
-    """The segments of a path, numbers as `*`, at most DEPTH and one wildcard for the rest."""
-    segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, r"[0-9a-f-]*[0-9][0-9a-f-]*", "*"))
-    return F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit("**")))).otherwise(segments)
+    """The segments of a path, numbers as `*`."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, r"[0-9a-f-]*[0-9][0-9a-f-]*", "*"))
+
+
+def _joined(segments: Column) -> Column:
+    return F.when(F.size(segments) > 0, F.concat(F.lit("/"), F.array_join(segments, "/"))).otherwise(F.lit(""))
+
+
+def _along(rows: DataFrame) -> DataFrame:
+    """Take every row over the segments that all unfinished paths of its node share."""
+    at, size = F.col("at"), F.size("shape")
+    tail = F.slice("shape", at + 1, size - at)
+    ends = rows.groupBy("host", "template").agg(F.min(tail).alias("low"), F.max(tail).alias("high"))
+    differ = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    shared = F.when(differ > 0, differ - 1).otherwise(F.size("low")).cast("int")
+    rows = rows.join(ends.select("host", "template", shared.alias("shared")), ["host", "template"])
+    inner = F.filter(F.sequence(at + 1, at + F.col("shared")), lambda i: (i < size) & ~F.element_at("shape", i).contains("*"))
+    rows = rows.withColumn("last", F.when(F.col("shared") > 0, F.array_max(inner)))
+    parent = F.concat("template", _joined(F.slice("shape", at + 1, F.col("last") - at - 1)))
+    branch = F.concat("template", _joined(F.slice("shape", at + 1, F.col("last") - at)))
+    return rows.select(
+        "host", "shape", "n", "labelled", "blocked", F.concat("template", _joined(F.slice("shape", at + 1, F.col("shared")))).alias("template"),
+        *(F.when(F.col("last").isNotNull(), new).otherwise(F.col(old)).alias(old) for old, new in (("parent", parent), ("branch", branch))),
+        (at + F.col("shared")).alias("at"))
+
+
+def _down(rows: DataFrame) -> DataFrame:
+    """Take every row over one segment, which is a wildcard below a wide node; rows at their end stay."""
+    here = rows.withColumn("segment", F.try_element_at("shape", F.col("at") + 1))
+    children = here.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
+    wide = children.groupBy("host", "template").agg(
+        ((F.count(F.lit(1)) > WIDE) & (F.count(F.lit(1)) * SHARE > F.sum("n"))).alias("wide"))
+    here = here.join(wide, ["host", "template"], "left")
+    name = F.when(F.col("wide") & ~F.col("segment").contains("*"), "*").otherwise(F.col("segment"))
+    full = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat(F.col("template"), F.lit("/"), name))
+    return here.select(
+        "host", "shape", "n", "labelled", "blocked", full.alias("template"),
+        # the deepest literal with something below it is the branch that may be merged with its siblings
+        *(F.when((F.size("shape") > F.col("at") + 1) & ~name.contains("*"), new).otherwise(F.col(old)).alias(old)
+          for old, new in (("parent", F.col("template")), ("branch", full))),
+        F.least(F.col("at") + 1, F.size("shape")).alias("at"))
+
+
+def _tree(counts: DataFrame) -> DataFrame:
+    """The template, branch and parent of every counted shape."""
+    none = F.lit("")
+    rows = counts.select("*", none.alias("template"), none.alias("parent"), none.alias("branch"), F.lit(0).alias("at"))
+    ended, rounds = [rows.filter(F.size("shape") == 0)], []
+    rows = rows.filter(F.size("shape") > 0)
+    while not rows.isEmpty():
+        rounds.append(pinned(_down(_along(rows)), "url-round"))
+        ended.append(rounds[-1].filter("at = size(shape)"))
+        rows = rounds[-1].filter("at < size(shape)")
+    tree = ended[0]
+    for more in ended[1:]:
+        tree = tree.unionByName(more)
+    tree = pinned(tree.drop("at"), "url-tree")
+    discard(*rounds)
+    return tree
 
 
 def _smoothed(blocked: Column, labelled: Column, prior: Column) -> Column:
@@ -62,20 +118,7 @@ def templates(urls: DataFrame) -> DataFrame:
     counts = pinned(
         urls.groupBy("host", _shape(F.col("path")).alias("shape")).agg(
             F.count(F.lit(1)).alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked")), "url-shapes")
-    tree = counts.withColumn("template", F.lit("")).withColumn("parent", F.lit("")).withColumn("branch", F.lit(""))
-    for level in range(1, DEPTH + 1):
-        here = tree.withColumn("segment", F.try_element_at("shape", F.lit(level)))
-        children = here.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
-        wide = children.groupBy("host", "template").agg(
-            ((F.count(F.lit(1)) > WIDE) & (F.count(F.lit(1)) * SHARE > F.sum("n"))).alias("wide"))
-        here = here.join(wide, ["host", "template"], "left")
-        name = F.when(F.col("wide") & ~F.col("segment").contains("*"), "*").otherwise(F.col("segment"))
-        full = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat(F.col("template"), F.lit("/"), name))
-        tree = here.select("host", "shape", "n", "labelled", "blocked", full.alias("template"),
-                           # the deepest literal with something below it is the branch that may be merged with its siblings
-                           *(F.when((F.size("shape") > level) & ~name.contains("*"), new).otherwise(F.col(old)).alias(old)
-                             for old, new in (("parent", F.col("template")), ("branch", full))))
-    tree = pinned(tree, "url-tree")
+    tree = _tree(counts)
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
 
     # how a branch's subtree looks: the share of urls that end in a wildcard, and of those that end deeper, in quarters

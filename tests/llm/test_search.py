@@ -95,6 +95,53 @@ def test_templates_learn_from_the_rules(spark):
     assert ("words.net", "/tag/*") in got                                         # many literals are a variable
 
 
+def tree_by_hand(pages):
+    """(host, shape) -> template, parent, branch: segment by segment, as the rule reads."""
+    import re
+
+    shapes = collections.defaultdict(int)
+    for url in pages:
+        host, rest = url.split("://", 1)[1].split("/", 1)
+        shapes[host, tuple(re.sub("[0-9a-f-]*[0-9][0-9a-f-]*", "*", s) for s in rest.split("/") if s)] += 1
+    got = {k: ("", "", "") for k in shapes}
+    for level in range(max(len(s) for _, s in shapes)):
+        children = collections.defaultdict(collections.Counter)
+        for (host, shape), n in shapes.items():
+            if len(shape) > level:
+                children[host, got[host, shape][0]][shape[level]] += n
+        wide = {node for node, c in children.items() if len(c) > urls.WIDE and len(c) * urls.SHARE > sum(c.values())}
+        for (host, shape), (template, parent, branch) in list(got.items()):
+            if len(shape) > level:
+                name = shape[level] if (host, template) not in wide or "*" in shape[level] else "*"
+                full = f"{template}/{name}"
+                got[host, shape] = (full, template, full) if len(shape) > level + 1 and "*" not in name else (full, parent, branch)
+    return got
+
+
+def test_tree_is_that_of_a_plain_loop(spark):
+    r = random.Random(3)
+    letters = "ghijklmnopqrstuvwxyz"
+    word = lambda: "".join(r.choice(letters) for _ in range(5))
+    pages = ["http://one.net/" + "s/" * 3_000, "http://root.net/", "http://root.net/a"]
+    pages += [f"http://deep.net/a/b/c/d/{s}/{i}/end" for s in ("bad", "good") for i in range(9)]
+    pages += [f"http://wide.net/x/tag/{word()}/{s}/{word()}/page{i}.html" for i in range(60) for s in ("u", "v")]
+    pages += ["http://loop.net/" + "/".join(["in"] * k) for k in range(1, 12)]
+    pages += ["http://any.net/" + "/".join(r.choice(["a", "b", "7", "c*"]) for _ in range(r.randint(0, 7))) for _ in range(300)]
+    df = spark.createDataFrame([(u,) for u in pages], "url string")
+    host, path = urls.host_and_path(F.col("url"))
+    counts = df.groupBy(host.alias("host"), urls._shape(path).alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("blocked"))
+    got = {(x.host, tuple(x["shape"])): (x.template, x.parent, x.branch) for x in urls._tree(counts).collect()}
+    assert got == tree_by_hand(pages)
+
+
+def test_deep_templates_are_told_apart(spark):
+    pages = [(f"http://x.org/a/b/c/d/{s}/{i}/q", b) for s, b in (("bad", 1), ("good", 0)) for i in range(60)]
+    df = spark.createDataFrame(pages, "url string, blocked int")
+    host, path = urls.host_and_path(F.col("url"))
+    got = {x.template: x.purity for x in urls.templates(df.select(host.alias("host"), path.alias("path"), "blocked")).collect()}
+    assert got["/a/b/c/d/bad/*/q"] >= urls.PURITY and got["/a/b/c/d/good/*/q"] < 0.1
+
+
 @pytest.mark.parametrize("n", [3, 300])
 def test_verdicts_do_not_turn_with_the_size_of_a_host(spark, n):
     pages = [f"http://a.net/{s}/{i}" for s in ("es", "fr", "en", "de") for i in range(n)] + [f"http://a.org/{s}/{i}" for s in ("es", "en") for i in range(n)]
