@@ -6,8 +6,9 @@ Vectors lie in blocks by nearest pivot (large cells in several); a query skips b
 vectors of the table, already score for it. Within a block, candidates are evaluated in the order of their bounds until the next
 bound is below the k-th score.
 
-Queries and vectors meet in blocks of bounded size: a query goes to every block that may hold a result, a vector to every block of
-queries.
+Queries and vectors meet in blocks of bounded size. Queries are grouped by nearest pivot too, so that a group's least and greatest
+distances tell which blocks none of it can need; a query goes to every block left that may hold a result of its own, a vector to the
+groups of which some query visits its block.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import pinned
+from ..tables import discard, pinned
 
 PIVOTS = 32
 SAMPLE = 512            # vectors that pivots are chosen from
@@ -89,6 +90,44 @@ def best(q: np.ndarray, own, ids: np.ndarray, vectors: np.ndarray, bound: np.nda
     return found, scores
 
 
+def _envelopes(rows: DataFrame, key: str) -> DataFrame:
+    """Per `key`: least and greatest distance to each pivot, greatest norm, least floor."""
+    by_pivot = rows.select(key, "norm", "floor", F.posexplode_outer("far").alias("pivot", "d")).groupBy(key, "pivot").agg(
+        F.min("d").alias("low"), F.max("d").alias("high"), F.max("norm").alias("norm"), F.min("floor").alias("floor"))
+    return by_pivot.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("pivot", "low", "high"))).alias("ranges"), F.max("norm").alias("norm"), F.min("floor").alias("floor"))  # one row a pivot
+
+
+def _reach(gap: Column) -> Column:
+    """No less than any score of vectors that far apart; a little room covers the rounding of distances."""
+    far_off = F.greatest(F.coalesce(gap, F.lit(0.0)) - 1e-6 * (F.col("norm") + F.col("block_norm")), F.lit(0.0))
+    return (F.col("norm") * F.col("norm") + F.col("block_norm") * F.col("block_norm") - far_off * far_off) / 2
+
+
+def _visits(blocked: DataFrame, asked: DataFrame) -> DataFrame:
+    """block, group, vec_id, v, far, norm: every query with every block that may hold a result of it."""
+    cells = asked.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("size"))
+    cells = cells.withColumn("before", F.sum("size").over(Window.partitionBy("dim").orderBy("cell")) - F.col("size"))  # a row a pivot at most
+    place = F.floor((F.col("before") + F.pmod(F.xxhash64("vec_id", "v"), "size")) / QUERIES)
+    grouped = asked.join(cells, ["dim", "cell"]).select("vec_id", "v", "far", "norm", "floor", F.struct("dim", place.alias("part")).alias("group"))
+    blocks = _envelopes(blocked, "block").select("block", F.col("ranges").alias("block_ranges"), F.col("norm").alias("block_norm"))
+    blocks = pinned(blocks.withColumn("number", F.row_number().over(Window.orderBy("block")) - 1), "topk-blocks")  # a few bytes for BLOCK vectors
+    numbers = F.sequence(F.lit(0), F.lit(max(blocks.count() - 1, 0)))
+    apart = F.array_max(F.zip_with("ranges", "block_ranges", lambda a, b: F.greatest(a["low"] - b["high"], b["low"] - a["high"], F.lit(0.0))))
+    pairs = pinned(
+        _envelopes(grouped, "group").withColumn("number", F.explode(numbers)).join(blocks, "number")
+        .filter(F.col("group.dim") == F.col("block.dim")).filter(_reach(apart) >= F.col("floor") - 1)
+        .select("group", "block", "block_ranges", "block_norm"), "topk-pairs")
+    off = F.array_max(F.zip_with("block_ranges", "far", lambda r, d: F.greatest(r["low"] - d, d - r["high"], F.lit(0.0))))
+    return grouped.join(pairs, "group").filter(_reach(off) >= F.col("floor") - 1).select("block", "group", "vec_id", "v", "far", "norm")
+
+
+def _offered(blocked: DataFrame, visits: DataFrame) -> DataFrame:
+    """Every vector once for each group that visits its block."""
+    met = visits.select("block", "group").distinct()
+    return blocked.join(met, "block").select(*(F.col(c).alias(f"of_{c}") for c in ("block", "group", "vec_id", "v", "far", "norm")))
+
+
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row that `is_query` (a Column over vec_id) marks.
 
@@ -125,28 +164,12 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
 
     points = pinned(whole.mapInArrow(placed, _SCHEMA + ", cell int, far array<double>, norm double, floor double"), "topk-points")
     parts = points.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    block = F.struct("dim", "cell", F.pmod(F.xxhash64("vec_id"), "parts").alias("part"))
+    block = F.struct("dim", "cell", F.pmod(F.xxhash64("vec_id", "v"), "parts").alias("part"))
     blocked = pinned(points.join(parts, ["dim", "cell"]).select("vec_id", "dim", "v", "far", "norm", "floor", block.alias("block")), "topk-blocked")
-    pivot = F.posexplode_outer("far").alias("pivot", "d")
-    ranges = (
-        blocked.select("block", "norm", pivot).groupBy("block", "pivot").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.max("norm").alias("norm"))
-        .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pivot", "low", "high"))).alias("ranges"), F.max("norm").alias("norm")))  # one row a pivot
-    blocks = pinned(ranges.withColumn("number", F.row_number().over(Window.orderBy("block")) - 1), "topk-blocks")  # a few bytes for BLOCK vectors
-    n_blocks = blocks.count()
-    asked = blocked.filter(is_query).drop("block").dropDuplicates(["vec_id", "v"])
-    groups = max(1, -(-asked.count() // QUERIES))
-
-    # every query to the blocks that may hold a result; a little room covers the rounding of distances
-    gap = F.coalesce(F.array_max(F.zip_with("ranges", "far", lambda r, d: F.greatest(r["low"] - d, d - r["high"], F.lit(0.0)))), F.lit(0.0))
-    far_off = F.greatest(gap - 1e-6 * (F.col("norm") + F.col("block_norm")), F.lit(0.0))
-    reach = (F.col("norm") * F.col("norm") + F.col("block_norm") * F.col("block_norm") - far_off * far_off) / 2
-    visits = (
-        asked.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0)))))
-        .join(blocks.withColumnRenamed("norm", "block_norm"), "number").filter(F.col("block.dim") == F.col("dim")).filter(reach >= F.col("floor") - 1)
-        .select("block", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("group"), "vec_id", "v", "far", "norm"))
-    offered = blocked.select(
-        F.col("block").alias("of_block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("of_group"),
-        *(F.col(c).alias(f"of_{c}") for c in ("vec_id", "v", "far", "norm")))
+    discard(whole, points)
+    asked = blocked.filter(is_query).dropDuplicates(["vec_id", "v"]).select("vec_id", "dim", "v", "far", "norm", "floor", F.col("block.cell").alias("cell"))
+    visits = _visits(blocked, pinned(asked, "topk-asked"))
+    offered = _offered(blocked, visits)
 
     def meet(queries: pa.Table, own: pa.Table) -> pa.Table:
         out = [[], [], []]

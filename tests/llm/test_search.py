@@ -42,6 +42,29 @@ def test_topk(spark, monkeypatch, block, dim):
     assert topk.search(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_vectors_go_only_where_a_query_visits(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    r, seen = random.Random(2), {}
+    rows = [(i, [(9.0 if j == i % 4 else 0.0) + r.gauss(0, 0.05) for j in range(8)]) for i in range(800)]
+    offered = topk._offered
+
+    def spied(blocked, visits):
+        seen.update(blocked=blocked, visits=visits, offered=offered(blocked, visits))
+        return seen["offered"]
+
+    monkeypatch.setattr(topk, "_offered", spied)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for x in topk.search(df, F.col("vec_id") % 5 == 0).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.rank, x.vec_id, x.score))
+    assert dict(got) == {q: v[0] for q, v in brute(rows, 5, lambda q: q % 5 == 0).items()}
+    groups = seen["visits"].select("group").distinct().count()
+    assert groups > 10 and seen["offered"].count() < 800 * groups / 2  # four clusters: a group sees those of its queries
+    plan = seen["offered"]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_products_beyond_exact_floats():
     import numpy as np
 
