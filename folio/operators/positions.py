@@ -21,8 +21,9 @@ def daily_change_pct(price: Column, previous: Column) -> Column:
     return F.when(price.isNotNull() & (previous > 0), (price - previous) / previous * 100)
 
 
-def open_positions(tx: DataFrame, instruments: DataFrame, quotes: DataFrame, rates: DataFrame) -> DataFrame:
-    """Valued holdings per (portfolio, ISIN); lots are converted by their own currency. Unmapped ISINs drop out.
+def open_positions(tx: DataFrame, instruments: DataFrame, quotes: DataFrame, rates: DataFrame, largest_first: bool = True) -> DataFrame:
+    """Valued holdings per (portfolio, ISIN), largest first unless the order does not matter; lots are converted by their own
+    currency. Unmapped ISINs drop out.
 
     Quotes with a column `source` are taken from the source each instrument is priced by.
     """
@@ -54,7 +55,8 @@ def open_positions(tx: DataFrame, instruments: DataFrame, quotes: DataFrame, rat
         "profit_loss_pln": pl,
         "profit_loss_pct": F.when(F.col("cost_pln") > 0, pl / F.col("cost_pln") * 100).otherwise(F.lit(0.0)),
     })
-    return _weighted(p).drop("fx", "_total").orderBy(F.desc("current_value_pln"))
+    out = _weighted(p).drop("fx", "_total")
+    return out.orderBy(F.desc("current_value_pln")) if largest_first else out
 
 
 def _weighted(p: DataFrame, cash: DataFrame | None = None) -> DataFrame:

@@ -175,7 +175,7 @@ class Ledger:
         from ..operators.instruments import latest_rates
         from ..operators.positions import open_positions
 
-        return open_positions(self.transactions, self.instruments, self.quotes, latest_rates(self.prices))
+        return open_positions(self.transactions, self.instruments, self.quotes, latest_rates(self.prices), largest_first=False)
 
     @property
     def open_positions(self) -> DataFrame:
