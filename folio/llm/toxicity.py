@@ -1,11 +1,14 @@
 """Toxicity: class-conditional Kneser-Ney models.
 
-Two models of the bytes in a word, one of toxic and one of ordinary documents, with interpolated absolute discounting up to
-`ORDER` bytes. The highest order counts occurrences, the lower ones in how many different words a run of bytes stands. Both back
-off to the same counts of byte pairs, taken from all documents, so that a rare word is judged by what the classes know of its
-parts, and by nothing where they know none. A document's score is a logistic function of the length-normalised difference of its
-log-likelihoods. The class counts come from a bounded sample of labelled rows (the models are no larger than its n-grams); the
-shared counts come from the whole corpus.
+Two models of the bytes in a word, one of toxic and one of ordinary documents, with interpolated absolute discounting from
+`ORDER` bytes down to `SHARED`. The highest order counts occurrences, the lower ones behind how many different bytes a run stands
+(at the start of a word, where nothing is before it, occurrences). Behind `SHARED` bytes both back off to one Kneser-Ney model of
+all documents: a table of the distinct runs of SHARED + 1 bytes in the corpus, from which the lower orders are counted. So a rare
+word is judged by what the classes know of its parts, weighed against how common these are everywhere, and by nothing where the
+classes know none: there the shared probability is the same in both. For that reason scoring asks the shared table only for runs
+that a class knows; these are joined to it, and the models are no larger than the n-grams of the bounded sample of labelled rows
+that the class counts come from. A document's score is a logistic function of the length-normalised difference of its
+log-likelihoods.
 """
 
 from __future__ import annotations
@@ -19,11 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import pinned
+from ..tables import discard, pinned
 from . import blocks, quality
 
 BLOCK_BYTES = 4 << 20
 ORDER = 5
+SHARED = 3          # orders up to this one are counted in all documents
+HELD_RUNS = 1 << 22  # distinct runs that a task holds before it gives them on
+START, END = b"\xfe", b"\xff"  # never a byte of UTF-8
 SAMPLE = 20_000     # labelled rows that the class counts and the calibration come from, at most half of them of a class
 DISCOUNT = 0.75
 WORD_BYTES = 64     # a longer word counts as several, one for each so many bytes
@@ -54,7 +60,7 @@ class Bytes:
 
     @classmethod
     def of(cls, words: pa.Array) -> Bytes:
-        raw = [b"<" + w.encode() + b">" for w in words.to_pylist()]
+        raw = [START + w.encode() + END for w in words.to_pylist()]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         starts = np.cumsum(sizes) - sizes
         flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
@@ -69,16 +75,78 @@ class Bytes:
         return at, run
 
 
+def tails(runs: np.ndarray, counts: np.ndarray, starts: np.ndarray, start_counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of k bytes, sorted, by models (rows of `counts`): behind how many different bytes each stands, from the
+    distinct runs of one byte more; those at the start of a word keep their occurrences."""
+    keys, of = np.unique(np.concatenate([runs & np.uint64((1 << 8 * k) - 1), starts]), return_inverse=True)
+    return keys, np.stack([np.bincount(of, n, len(keys)) for n in np.concatenate([counts > 0, start_counts], 1)])
+
+
+def at_start(data: Bytes, k: int, times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of k bytes at the start of words, and their occurrences by `times` of the words."""
+    at, run = data.grams(k)
+    first = data.place[at] == k - 1
+    runs, of = np.unique(run[first], return_inverse=True)
+    return runs, np.stack([np.bincount(of, t[data.owner[at[first]]], len(runs)).astype(np.int64) for t in times])
+
+
 def _corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(byte pair, times), summed over the task."""
-    total = np.zeros(1 << 16)
+    """(run, times) of SHARED + 1 bytes, distinct in the task but where it holds too many (times null), and of SHARED bytes at
+    the start of words."""
+    def given(runs, times):
+        return pa.RecordBatch.from_arrays([pa.array(runs.astype(np.int64)), times], ["run", "n"])
+
+    held = np.zeros(0, np.uint64)
     for table in blocks.text_blocks(batches, BLOCK_BYTES):
         words, codes, _ = bare_words(blocks.column(table, "text"))
-        b = Bytes.of(words)
-        at, run = b.grams(2)
-        total += np.bincount(run.astype(np.int64), np.bincount(codes, minlength=len(words))[b.owner[at]], 1 << 16)
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found].astype(np.int64))], ["pair", "n"])
+        data = Bytes.of(words)
+        runs, n = at_start(data, SHARED, [np.bincount(codes, minlength=len(words))])
+        yield given(runs, pa.array(n[0]))
+        held = np.union1d(held, data.grams(SHARED + 1)[1])
+        if len(held) > HELD_RUNS:
+            yield given(held, pa.nulls(len(held), pa.int64()))
+            held = held[:0]
+    yield given(held, pa.nulls(len(held), pa.int64()))
+
+
+def shared_counts(texts: DataFrame) -> DataFrame:
+    """(run, n): Kneser-Ney counts of all runs of SHARED bytes in the words of all documents.
+
+    The table behind it, the distinct runs of one byte more, grows with the corpus and is only ever grouped.
+    """
+    found = texts.mapInArrow(_corpus, "run long, n long").groupBy(F.col("n").isNotNull().alias("first"), "run").agg(F.sum("n").alias("n"))
+    # a run at the start begins with START, which stands nowhere else: the two kinds never meet in one run
+    return found.groupBy(F.when(F.col("first"), F.col("run")).otherwise(F.col("run").bitwiseAND((1 << 8 * SHARED) - 1)).alias("run")).agg(
+        F.sum(F.coalesce("n", F.lit(1))).alias("n"))
+
+
+def shared_model(counts: DataFrame, asked: np.ndarray) -> np.ndarray:
+    """Probability of the last byte of each of the `asked` runs of SHARED = 3 bytes behind the others, in all documents.
+
+    `asked` and what is gathered for it are bounded: by the sample that it comes from, and by 256 x 256 contexts.
+    """
+    spark = counts.sparkSession
+    gather = lambda df: [c.to_numpy(zero_copy_only=False) for c in df.toArrow().combine_chunks().columns]
+    context = F.shiftrightunsigned("run", 8)
+    ask = spark.createDataFrame(pa.table({"run": asked.astype(np.int64)}))
+    own = dict(zip(*gather(counts.join(F.broadcast(ask), "run").select("run", "n")), strict=True))
+    behind, total, kinds = gather(counts.groupBy(context.alias("context")).agg(F.sum("n"), F.count("*")))
+    into, n = gather(
+        counts.select(F.col("run").bitwiseAND(0xFFFF).alias("pair"), F.lit(1).alias("n"))
+        .unionAll(counts.filter(F.shiftrightunsigned("run", 16) == START[0]).select(context.alias("pair"), "n"))
+        .groupBy("pair").agg(F.sum("n")))
+    pairs = np.zeros(1 << 16)
+    pairs[into] = n
+    pairs = pairs.reshape(256, 256)
+    one = ((pairs > 0).sum(0) + 0.5) / ((pairs > 0).sum() + 128)
+    rows = pairs.sum(1, keepdims=True)
+    left = np.minimum(pairs, DISCOUNT).sum(1, keepdims=True)
+    two = np.where(rows > 0, (np.maximum(pairs - DISCOUNT, 0) + left * one) / np.maximum(rows, 1), one).ravel()
+    totals, rest = np.zeros(1 << 16), np.zeros(1 << 16)
+    totals[behind], rest[behind] = total, kinds * DISCOUNT  # every count is 1 at least
+    c = np.array([own[r] for r in asked.astype(np.int64).tolist()], float)
+    h = (asked >> np.uint64(8)).astype(np.int64)
+    return (np.maximum(c - DISCOUNT, 0) + rest[h] * two[(asked & np.uint64(0xFFFF)).astype(np.int64)]) / totals[h]
 
 
 def _class_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,15 +159,18 @@ def _class_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _class_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(order, run, ordinary, toxic) of words that stand once in the input."""
+    """(order, run, ordinary, toxic) of words that stand once in the input: occurrences of the longest runs, and of the shorter
+    ones at the start of words."""
     for b in blocks.text_blocks(batches, BLOCK_BYTES, "word"):
         data = Bytes.of(blocks.column(b, "word"))
         times = [blocks.column(b, f"n{y}").to_numpy() for y in (0, 1)]
-        for k in range(3, ORDER + 1):
-            at, run = data.grams(k)
-            runs, inverse = np.unique(run, return_inverse=True)
-            owner = data.owner[at]
-            n = [np.bincount(inverse, (t if k == ORDER else t > 0)[owner], len(runs)).astype(np.int64) for t in times]
+        for k in range(SHARED, ORDER + 1):
+            if k < ORDER:
+                runs, n = at_start(data, k, times)
+            else:
+                at, run = data.grams(k)
+                runs, of = np.unique(run, return_inverse=True)
+                n = [np.bincount(of, t[data.owner[at]], len(runs)).astype(np.int64) for t in times]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), k, np.int32)), pa.array(runs.astype(np.int64)), *map(pa.array, n)], ["k", "run", "n0", "n1"])
 
 
@@ -119,18 +190,14 @@ class Model:
     weights: tuple[float, ...] = (0.0, 0.0, 0.0)
 
     @classmethod
-    def of(cls, pairs: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> Model:
-        """From the shared counts of byte pairs (256 x 256) and, by order, sorted runs with their counts (2 x runs)."""
-        one = (pairs.sum(0) + 0.5) / (pairs.sum() + 128)
-        kept = np.maximum(pairs - DISCOUNT, 0)
-        n = pairs.sum(1, keepdims=True)
-        two = np.where(n > 0, (kept + (n - kept.sum(1, keepdims=True)) * one) / np.maximum(n, 1), one).ravel()
-        keys, known = np.arange(1 << 16, dtype=np.uint64), np.stack([two, two])
+    def of(cls, base: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> Model:
+        """From sorted runs with their counts (2 x runs) by order, and the shared probabilities of those of the lowest."""
+        keys, known = grams[min(grams)][0], np.stack([base, base])
         model = cls()
         for k in sorted(grams):
             runs, counts = grams[k]
             contexts, of = np.unique(runs >> np.uint64(8), return_inverse=True)
-            below = known[:, np.searchsorted(keys, runs & np.uint64((1 << 8 * (k - 1)) - 1))]
+            below = known if keys is runs else known[:, np.searchsorted(keys, runs & np.uint64((1 << 8 * (k - 1)) - 1))]
             p, rest = [], []
             for y in (0, 1):
                 kept = np.maximum(counts[y] - DISCOUNT, 0)
@@ -164,7 +231,8 @@ class Model:
     def features(self, texts: pa.Array) -> np.ndarray:
         """Per text: the difference of the log-likelihoods and the length, normalised, and 1."""
         words, codes, offsets = bare_words(texts)
-        over = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x[codes])))[offsets])
+        whose = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        over = lambda x: np.bincount(whose, x[codes], len(offsets) - 1)  # noqa: E731  in a text's own order: the same in any block
         sums, n = over(self.words(words)), np.maximum(over(word_parts(words)), 1)
         return np.stack([sums / n**POWER, n ** (1 - POWER), np.ones(len(n))], 1)
 
@@ -172,27 +240,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ np.array(self.weights), -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Weights by Newton's method with a light penalty; with one class, or none, only the bias."""
+def _logistic(x: np.ndarray, y: np.ndarray, toxic: float) -> tuple[float, ...]:
+    """Weights by Newton's method with a light penalty, rows weighted so that a share of `toxic` is toxic; with one class, or
+    none, only the bias."""
     if not 0 < y.sum() < len(y):
         return 0.0, 0.0, 0.0 if not len(y) else 40.0 if y.sum() else -40.0
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     a, w = x / scale, np.zeros(3)
+    times = len(y) * np.where(y == 1, toxic / y.sum(), (1 - toxic) / (len(y) - y.sum()))
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        w += np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + 1e-3 * np.eye(3), a.T @ (y - p) - 1e-3 * w)
+        w += np.linalg.solve(a.T @ (a * (times * p * (1 - p))[:, None]) + 1e-3 * np.eye(3), a.T @ (times * (y - p)) - 1e-3 * w)
     return tuple((w / scale).tolist())
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn=None, rows: int = SAMPLE) -> Model:
     """Class counts of whole labelled texts: 90 % of the rarer class in the sample, as many of the other; the rest set the
-    weights. Shared counts of all documents.
+    weights, each class with its share in all labels. Shared counts of all documents.
 
-    Without labels every score is 0.5; with those of one class near 0 or 1.
+    Null texts count as empty. Rows of one id all count, under its label; labels that are null or of no document count for
+    nothing. Without labels every score is 0.5; with those of one class near 0 or 1.
     """
     spark = docs.sparkSession
     learn = F.lit(True) if learn is None else learn
     texts = blocks.keyed(docs)
+    toxic = labels.filter(learn & F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()[0]
     both = [quality.sample(labels, label_col, learn & (F.col(label_col) == y), rows // 2) for y in (0, 1)]
     chosen = both[0].unionByName(both[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = pinned(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")  # at most `rows` small rows
@@ -204,18 +276,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn=No
         known.filter(~check).mapInArrow(_class_words, "word string, n0 long, n1 long")
         .groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-words")
     counted = words.mapInArrow(_class_grams, "k int, run long, n0 long, n1 long").groupBy("k", "run").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    corpus = texts.mapInArrow(_corpus, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-
-    pairs = np.zeros(1 << 16)
-    pairs[corpus.column("pair").to_numpy()] = corpus.column("n").to_numpy()
     k, run = counted.column("k").to_numpy(), counted.column("run").to_numpy().astype(np.uint64)
     n = np.stack([counted.column(c).to_numpy().astype(float) for c in ("n0", "n1")])
-    grams = {}
-    for order in range(3, ORDER + 1):
-        own = np.flatnonzero(k == order)
-        own = own[np.argsort(run[own])]
-        grams[order] = (run[own], n[:, own])
-    model = Model.of(pairs.reshape(256, 256), grams)
+    longest = np.flatnonzero(k == ORDER)
+    longest = longest[np.argsort(run[longest])]
+    grams = {ORDER: (run[longest], n[:, longest])}
+    for order in range(ORDER - 1, SHARED - 1, -1):
+        grams[order] = tails(*grams[order + 1], run[k == order], n[:, k == order], order)
+    corpus = pinned(shared_counts(texts), "toxicity-shared")
+    model = Model.of(shared_model(corpus, grams[SHARED][0]), grams)
+    discard(corpus, words)
     sent = spark.sparkContext.broadcast(model)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,5 +295,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn=No
 
     held = known.filter(check).mapInArrow(rated, "ratio double, length double, label int").orderBy("ratio", "length", "label").toArrow()
     x = np.stack([held.column("ratio").to_numpy(), held.column("length").to_numpy(), np.ones(held.num_rows)], 1)
-    model.weights = _logistic(x, held.column("label").to_numpy())
+    model.weights = _logistic(x, held.column("label").to_numpy(), toxic)
+    discard(known)
     return model

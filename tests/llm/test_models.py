@@ -91,40 +91,93 @@ def test_words_of_any_length_are_counted_and_scored(spark, frame):
     assert toxicity.word_parts(pa.array(["", "a" * 64, "a" * 65])).tolist() == [1, 1, 2]
 
 
-def test_kneser_ney_probabilities():
+def kneser_ney(counts, order):
+    """Counts by order, by the definition: occurrences for the longest runs and at the start of words, else distinct bytes before."""
+    marked = [(toxicity.START + w.encode() + toxicity.END, n) for w, n in counts.items() if n]
+    table = {}
+    for k in range(1, order + 1):
+        before, times = collections.defaultdict(set), collections.Counter()
+        for raw, n in marked:
+            for i in range(len(raw) - k + 1):
+                run = raw[i:i + k]
+                if k == order or i == 0:
+                    times[run] += n
+                else:
+                    before[run].add(raw[i - 1])
+        table[k] = {**{run: len(x) for run, x in before.items()}, **times}
+    del table[1][toxicity.START]
+    return table
+
+
+def rest_and_own(table, run):
+    own = {g: n for g, n in table[len(run)].items() if g[:-1] == run[:-1]}
+    return sum(min(toxicity.DISCOUNT, n) for n in own.values()), max(own.get(run, 0) - toxicity.DISCOUNT, 0), sum(own.values())
+
+
+def test_kneser_ney_probabilities(frame):
     r = random.Random(5)
-    words = [prose(r, 1) for _ in range(60)]
-    pairs = np.zeros(1 << 16)
-    data = toxicity.Bytes.of(pa.array(words))
-    at, run = data.grams(2)
-    np.add.at(pairs, run.astype(int), 1)
-    counts = {}
-    for k in range(3, 6):
-        at, run = data.grams(k)
-        runs, inverse = np.unique(run, return_inverse=True)
-        counts[k] = (runs, np.stack([np.bincount(inverse, (data.owner[at] % 2 == y), len(runs)).astype(float) for y in (0, 1)]))
-    model = toxicity.Model.of(pairs.reshape(256, 256), counts)
+    classes = [collections.Counter(prose(r, 1) for _ in range(60)) for _ in range(2)]
+    classes[1]["a"] += 2
+    corpus = classes[0] + classes[1] + collections.Counter(prose(r, 300).split() + ["stop", "zz", "b", "stonx", "caf\u00e9"])
+    words = list(corpus.elements())
+    r.shuffle(words)
+    texts = [" ".join(words[i::7]) for i in range(7)]
+    counts = toxicity.shared_counts(frame(list(enumerate(texts)) + [(8, None), (9, ""), (10, "... !")]).selectExpr("doc_id", "coalesce(text, '') AS text").repartition(3))
+    everywhere = kneser_ney(corpus, toxicity.SHARED + 1)  # its lower orders are continuation counts
+    assert {x.run.to_bytes(3): x.n for x in counts.withColumn("run", F.col("run").cast("long")).collect()} == everywhere[3]
+
+    def shared(run):
+        if len(run) == 1:
+            return (everywhere[1].get(run, 0) + 0.5) / (sum(everywhere[1].values()) + 128)
+        left, own, total = rest_and_own(everywhere, run)
+        return (own + left * shared(run[1:])) / total if total else shared(run[1:])
+
+    tables = [kneser_ney(c, toxicity.ORDER) for c in classes]
+    number = lambda g: int.from_bytes(g)
+    grams = {}
+    for k in range(toxicity.SHARED, toxicity.ORDER + 1):
+        runs = sorted({*tables[0][k], *tables[1][k]})
+        grams[k] = (np.array([number(g) for g in runs], np.uint64), np.array([[t[k].get(g, 0) for g in runs] for t in tables], float))
+    for k in range(toxicity.SHARED, toxicity.ORDER):  # the same from the longest runs and the starts of words
+        data, times = toxicity.Bytes.of(pa.array(list(corpus))), [np.array([c[w] for w in corpus]) for c in classes]
+        starts, n = toxicity.at_start(data, k, times)
+        runs, found = toxicity.tails(*grams[k + 1], starts, n, k)
+        some = found.sum(0) > 0
+        assert runs[some].tolist() == grams[k][0].tolist() and found[:, some].tolist() == grams[k][1].tolist()
+    asked = grams[toxicity.SHARED][0]
+    base = toxicity.shared_model(counts, asked)
+    assert base == pytest.approx([shared(int(g).to_bytes(3)) for g in asked], abs=1e-12)
+    model = toxicity.Model.of(base, grams)
 
     def probability(y, run):  # one word at a time, by the definition
-        k = len(run)
-        if k == 1:
-            return (pairs.reshape(256, 256)[:, run[0]].sum() + 0.5) / (pairs.sum() + 128)
-        table = {bytes(int(x) >> 8 * (k - 1 - j) & 255 for j in range(k)): n for x, n in zip(counts[k][0], counts[k][1][y], strict=True)} if k > 2 else {
-            bytes(divmod(i, 256)): n for i, n in enumerate(pairs) if n}
-        own = {g: n for g, n in table.items() if g[:-1] == run[:-1] and n}
-        total = sum(own.values())
-        if not total:
-            return probability(y, run[1:])
-        d = toxicity.DISCOUNT
-        taken = sum(min(d, n) for n in own.values())
-        return (max(own.get(run, 0) - d, 0) + taken * probability(y, run[1:])) / total
-
-    for word in ["river", "garden", "stonx", "zzz", "summering"]:
-        raw = b"<" + word.encode() + b">"
-        expected = sum(np.log(probability(1, raw[max(0, i - 4):i + 1]) / probability(0, raw[max(0, i - 4):i + 1])) for i in range(2, len(raw)))
+        if len(run) < toxicity.SHARED:
+            return shared(run)
+        left, own, total = rest_and_own(tables[y], run)
+        below = shared(run) if len(run) == toxicity.SHARED else probability(y, run[1:])
+        return (own + left * below) / total if total else below
+
+    for word in ["river", "garden", "stonx", "zzz", "summering", "a", "caf\u00e9", "rive"]:
+        raw = toxicity.START + word.encode() + toxicity.END
+        expected = sum(np.log(probability(1, raw[max(0, i - 4):i + 1]) / probability(0, raw[max(0, i - 4):i + 1])) for i in range(1, len(raw)))
         assert model.words(pa.array([word]))[0] == pytest.approx(np.clip(expected, -20, 20), abs=1e-9)
 
 
+def test_shared_counts_grow_with_the_corpus_and_weigh_what_classes_know(frame):
+    few = toxicity.shared_counts(frame([(1, "gruxit river")]))
+    more = toxicity.shared_counts(frame([(1, "gruxit river"), (2, "crux flux stone")]))
+    asked = np.array([int.from_bytes(b"rux")], np.uint64)
+    assert more.count() > few.count()
+    assert more.filter(F.col("run") == int(asked[0])).first().n == 2 and toxicity.shared_model(more, asked)[0] != toxicity.shared_model(few, asked)[0]
+
+
+def test_scores_do_not_depend_on_partitions(spark, frame):
+    r = random.Random(7)
+    docs = frame([(i, prose(r, 30, ["gruxnat"] * (i % 2))) for i in range(120)])
+    model = toxicity.train(docs, labelled(spark, [(i, 1, i % 2) for i in range(120)]))
+    a, b = ({x.doc_id: x.score for x in quality.scored(docs.repartition(n), model, F.lit(False)).collect()} for n in (1, 5))
+    assert a == b
+
+
 @pytest.mark.parametrize("train", [quality.train, toxicity.train])
 def test_without_labels(spark, frame, train):
     docs = frame([(1, "a b c"), (2, None)])
