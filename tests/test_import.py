@@ -108,3 +108,18 @@ def test_provider_payloads(spark):
     assert [tuple(r) for r in providers.flatten_quote_json(p).collect()] == [("T", 5.5, "USD", 5.0)]
     c = spark.createDataFrame([("A", "Data,Otwarcie,Zamknięcie\n2024-01-02,1,2.5\n2024-01-03,1,N/D"), ("B", "Przekroczony dzienny limit")], "ticker string, payload string")
     assert [(r.ticker, str(r.date), r.close) for r in providers.normalize_price_csv(c).collect()] == [("A", "2024-01-02", 2.5)]
+
+
+def test_head_and_cells_once(spark):
+    """What a file's head says is worked out once a file, a record's cells once a record: not above the step that gives the records."""
+    for parse in (xtb.xtb_rows, brokers.bossa_transactions, brokers.mbank_transactions, brokers.degiro_transactions, brokers.bossa_operations):
+        plan = parse(files(spark, "a"))._jdf.queryExecution().optimizedPlan().toString()
+        above = plan.split("Generate posexplode", 1)[0]
+        assert not any(step in above for step in ("flatten", "array_position", "split(")), parse.__name__
+
+
+def test_number_forms(spark):
+    for text_, want in [("-1 234,50", -1234.5), ("1 234,50", 1234.5), (".5", 0.5), ("5.", 5.0), ("-", 0.0), ("1.234,5", 1.234), ("1e2", 100.0), ("007", 7.0), ("12345678901234567890,5", 12345678901234567890.5)]:
+        assert one(spark, x.polish_number, text_) == want
+    assert one(spark, x.dotted_date, "x 25.02.2026 09:47:27") == "2026-02-25T09:47:27"
+    assert one(spark, x.serial_or_slashed_ts, "31/02/2019 12:00:01") is None
