@@ -120,3 +120,14 @@ def test_lots_are_alike_on_both_ways(spark):
     lots = both_ways(spark, lambda: fifo.open_lots(tx).select("portfolio_id", "isin", "id", "quantity"))
     assert any(p is None for p, *_ in lots)
     both_ways(spark, lambda: fifo.matches(tx, []).select("portfolio_id", "isin", F.col("buy.id").alias("b"), F.col("sell.id").alias("s"), "matched", "rem"))
+
+
+def test_sums_by_day_are_alike_and_no_window_holds_a_key(spark, monkeypatch):
+    df = spark.createDataFrame(odd_rows(), "k string, ts timestamp, i long, v long")
+    sums = lambda: running.running_sums(df, ["k"], ["ts", "i"], {"s": F.col("v"), "n": F.lit(1).cast("long")})
+    by_day = sums()
+    windows = [line for line in by_day._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line and "ts#" in line]
+    assert windows and all("_day#" in line.split("windowspecdefinition(")[1] for line in windows)
+    got = sorted(map(tuple, by_day.select("i", "s", "n").collect()))
+    monkeypatch.setattr(running, "_MAX_DAYS", 0)
+    assert got == sorted(map(tuple, sums().select("i", "s", "n").collect()))
