@@ -172,3 +172,10 @@ def test_snapshot_sweeps_only_groups_with_new_trades(spark):
     swept = snapshots._swept(old, df, all_rows, snapshots._groups(old, df)).collect()
     # Its ten lots and one sell; I4: its whole history, as a sell of its came late
     assert sorted((r.isin, r.side) for r in swept) == [("I3", "K")] * 10 + [("I3", "S")] + [("I4", "K")] * 10 + [("I4", "S")]
+
+
+def test_lots_of_many_groups_stay_in_many_partitions(spark):
+    rows = [("P", i, datetime(2024, 1, 1), "n", f"X{i % 40}", Decimal(1), "K", 1.0, 1.0, 0.5, 1.0, "PLN", "s") for i in range(400)]
+    lots = fifo.open_lots(spark.createDataFrame(rows, TX))
+    assert lots.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert lots.count() == 400
