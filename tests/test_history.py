@@ -7,7 +7,7 @@ from decimal import Decimal
 
 import pytest
 
-from folio.operators import history, stats
+from folio.operators import history, prices, stats
 
 from .conftest import INST, OPS, TX
 
@@ -218,3 +218,11 @@ def test_a_base_above_nothing_counts(spark):
         "*", "1.0D AS invested", "0.0D AS bench_value", "false AS bench_on", "0.0D AS bench_price")
     last = lambda nothing: history.with_returns(s, nothing).orderBy("date").collect()[-1].twr_pct
     assert last(0.0) == pytest.approx(100.0, rel=1e-4) and last(1e-6) == 0.0
+
+
+def test_trade_days_stay_in_many_partitions(spark):
+    rows = [("P", "T", "I", "T", D0 + timedelta(days=i % 40), at(D0) + timedelta(days=i % 40, seconds=i), i, 1.0 + i) for i in range(400)]
+    points = spark.createDataFrame(rows, "portfolio_id string, ticker string, isin string, feed string, date date, ts timestamp, id long, price double")
+    days = prices.trade_days(points, spark.createDataFrame([("T", D0, 5.0)], PRICES))
+    assert len(days.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert days.count() == 40 and {r.trades for r in days.collect()} == {10}
