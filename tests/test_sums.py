@@ -51,3 +51,19 @@ def test_several_changes_of_one_row(spark):
     base = spark.createDataFrame([(1, "a", "x")], "id long, name string, note string")
     changes = spark.createDataFrame([(1, 1, "b", "y"), (1, 2, "c", None)], "id long, seq long, name string, note string")
     assert [tuple(r) for r in ledger.apply_updates(base, changes, ["id"], "seq").collect()] == [(1, "c", "y")]
+
+
+def test_open_positions_sweep_the_trades_once(spark, tmp_path):
+    from datetime import datetime
+    from decimal import Decimal
+
+    from .conftest import INST, TX
+
+    rows = [("P", i, datetime(2024, 1, i + 1), "n", f"X{i % 2}", Decimal(1 + i % 2), "K", 2.0, 2.0, 0.5, 2.5, "PLN", "s") for i in range(6)]
+    spark.createDataFrame(rows, TX).write.parquet(str(tmp_path / "tx"))
+    inst = spark.createDataFrame([(f"X{i}", f"T{i}", f"N{i}", "GPW", "PLN", "stooq", None) for i in range(2)], INST)
+    quotes = spark.createDataFrame([("T0", 4.0, 2.0), ("T1", 3.0, None)], "ticker string, price double, previous_close double")
+    rates = spark.createDataFrame([("USD", 4.0)], "currency string, rate double")
+    held = positions.open_positions(spark.read.parquet(str(tmp_path / "tx")), inst, quotes, rates)
+    assert not [f for f in held.inputFiles() if "/tx/" in f]  # weights read what is valued, not the trades again
+    assert [(r.ticker, r.shares, r.current_value, r.weight, r.total_commission) for r in held.collect()] == [("T1", 6.0, 18.0, 60.0, 1.5), ("T0", 3.0, 12.0, 40.0, 1.5)]
