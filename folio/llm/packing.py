@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ..tables import pinned
 from . import blocks
 
-BLOCK_BYTES = 32 << 20
-HELD_WORDS = 800_000
+BLOCK_BYTES = 8 << 20
+HELD_WORDS = 400_000        # texts whose ids a worker remembers; with more, the next block starts anew
 SLICE_WORDS = 500_000       # words whose ids are gathered at once
 JOINED = 2_000              # words that the tokenizer gets at once
 BUCKET_ROWS = 4_096         # pieces of one length that a task numbers together, on average
@@ -42,63 +42,83 @@ class WordTokens:
     """Ids of texts by a word-level tokenizer that drops white space and case: each word between white space is encoded once.
 
     Letters and the signs behind them are encoded apart; words of letters many at a time, parted at the tokens that end a word.
+    Texts encoded so far and their ids are held end to end in arrays, not as objects.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)  # also for texts that hold an added token, which may stand amid a word
+        self.path = path
         self.of_words = Tokenizer.from_file(path)
         self.of_words.encode_special_tokens = True
-        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
+        self.added = "|".join(re.escape(t.content) for t in self.of_words.get_added_tokens_decoder().values())
+        self.ends = np.zeros(self.of_words.get_vocab_size(), bool)
+        for token, i in self.of_words.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.held: dict[str, bytes] = {}
+        self._forget()
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.of_words.encode_batch_fast(texts, add_special_tokens=False)]
+    @functools.cached_property
+    def tokenizer(self):
+        """For texts that hold an added token, which may stand amid a word."""
+        from tokenizers import Tokenizer
 
-    def _letters(self, words: list[str]) -> None:
-        """Learn words of letters only: each is one run of tokens up to the next that ends a word."""
-        for k in range(0, len(words), JOINED):
-            part = words[k:k + JOINED]
-            ids = self._ids(["\n".join(part)])[0]
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) != len(part):  # a word changed shape in normalisation
-                self._others(part)
-                continue
-            raw, start = ids.tobytes(), 0
-            for w, stop in zip(part, stops, strict=True):
-                self.held[w] = raw[4 * start:4 * stop]
-                start = stop
+        return Tokenizer.from_file(self.path)
 
-    def _others(self, words: list[str]) -> None:
-        for k in range(0, len(words), JOINED):
-            self.held.update(zip(words[k:k + JOINED], (x.tobytes() for x in self._ids(words[k:k + JOINED])), strict=True))
+    def _forget(self) -> None:
+        self.texts, self.flat, self.stops, self.plain = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.of_words.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _table(self, words: pa.Array) -> list[bytes]:
+    def _letters(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of letters only, end to end, and how many each has: each is one run of tokens up to the next that ends a word."""
+        ids = self._ids(["\n".join(words)])[0]
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):  # a word changed shape in normalisation
+            return self._others(words)
+        return [ids, np.diff(stops, prepend=0)]
+
+    def _others(self, words: list[str]) -> list[np.ndarray]:
+        ids = self._ids(words)
+        return [np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))]
+
+    def _held(self, texts: pa.Array) -> np.ndarray:
+        """The place of each of the distinct texts among those held; new ones are encoded and added."""
+        at = pc.index_in(texts, value_set=self.texts)
+        new = texts.filter(pc.is_null(at))
+        if not len(new):
+            return at.to_numpy().astype(np.int64)
+        words = new.to_pylist()
+        letters = np.array([s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha()) for s in words])
+        order = np.argsort(~letters, kind="stable")
+        border, parts = int(letters.sum()), [[self.flat, np.diff(self.stops)]]
+        for a, b, encode in ((0, border, self._letters), (border, len(words), self._others)):
+            parts += [encode([words[i] for i in order[k:min(k + JOINED, b)].tolist()]) for k in range(a, b, JOINED)]
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))[order]] = len(self.texts) + np.arange(len(words))
+        self.texts = pa.concat_arrays([self.texts, new.take(pa.array(order))])
+        self.plain = np.concatenate((self.plain, letters[order]))
+        self.flat = np.concatenate([ids for ids, _ in parts])
+        self.stops = np.concatenate(([0], np.cumsum(np.concatenate([sizes for _, sizes in parts]))))
+        return place
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, end to end, and how many each has."""
+        if len(self.texts) > HELD_WORDS:
+            self._forget()
         coded = pc.utf8_rtrim(words, _TAIL).dictionary_encode()
-        stems, of_word = coded.dictionary.to_pylist(), coded.indices.to_pylist()
-        size = pc.binary_length(words).to_numpy() - pc.binary_length(coded.dictionary).to_numpy()[coded.indices.to_numpy()]
-        text = words.to_pylist()
-        tails = {i: text[i][len(stems[of_word[i]]):] for i in np.flatnonzero(size).tolist()}
-        letters = [s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha()) for s in stems]
-        odd = {i: text[i] for i, c in enumerate(of_word) if not letters[c]}
-        if len(self.held) + len(stems) > HELD_WORDS:
-            self.held.clear()
-        held = self.held
-        held[""] = b""
-        self._letters([s for s, ok in zip(stems, letters, strict=True) if ok and s not in held])
-        self._others([x for x in dict.fromkeys([*tails.values(), *odd.values()]) if x not in held])
-        by_stem = [held.get(s, b"") for s in stems]
-        table = [by_stem[c] for c in of_word]
-        for i, tail in tails.items():
-            table[i] += held[tail]
-        for i, w in odd.items():
-            table[i] = held[w]
-        return table
+        stem = self._held(coded.dictionary)[coded.indices.to_numpy()]
+        letters = self.plain[stem]
+        tailed = np.flatnonzero(letters & (pc.binary_length(words).to_numpy() > pc.binary_length(coded.dictionary).to_numpy()[coded.indices.to_numpy()]))
+        tails = pa.array([w[len(w.rstrip(_TAIL)):] for w in words.take(pa.array(tailed)).to_pylist()], pa.string()).dictionary_encode()
+        parts = np.zeros((len(words), 2), np.int64)  # words of letters, then the signs behind; others as a whole
+        parts[:, 1] = self._held(pa.array([""]))[0]
+        parts[tailed, 1] = self._held(tails.dictionary)[tails.indices.to_numpy()]
+        parts[:, 0] = stem
+        parts[~letters, 0] = self._held(words.filter(pa.array(~letters)))
+        sizes = np.diff(self.stops)
+        return blocks.gathered(self.flat, self.stops, sizes, parts.ravel()), sizes[parts].sum(axis=1)
 
     def block(self, texts: pa.Array, tail: bytes = b"") -> Iterator[bytes]:
         """Ids of each text in turn, `tail` behind them."""
@@ -110,10 +130,9 @@ class WordTokens:
             texts = pc.if_else(found, "", texts) if own else texts
         plain = pc.invert(pc.match_substring_regex(texts, _OTHER_LETTERS))
         words, codes, offsets = blocks.word_codes(pc.if_else(plain, pc.utf8_lower(texts), texts))
-        table = self._table(words)
-        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(table), "<u4")
-        del table
+        flat, lengths = self._table(words)
+        starts = np.cumsum(lengths) - lengths
+        del words
         for a, b in blocks.sliced(len(texts), np.diff(offsets), SLICE_WORDS):
             part = codes[offsets[a]:offsets[b]]
             raw = blocks.gathered(flat, starts, lengths, part).tobytes()

@@ -3,7 +3,10 @@
 import base64
 import collections
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -124,3 +127,25 @@ def test_added_tokens_in_a_text_keep_their_ids():
     texts = ["a <|endoftext|> b", "no such token", "Amid<|startoftext|>word\n<|endoftext|><|endoftext|>", "", "<|ENDOFTEXT|> <|endoftext"]
     got = packing.WordTokens(queries.WORD_BPE).block(pa.array(texts))
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_of_many_words_stays_small():
+    """A worker that meets 900,000 distinct words in 40 MB of text; in a process of its own, as its highest memory counts."""
+    code = """
+import random, resource, sys
+import pyarrow as pa
+from folio.llm import packing, queries
+top = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+packing._tokens(queries.WORD_BPE)
+before = top()
+def batches():
+    r = random.Random(1)
+    for i in range(0, 20_000, 1_000):
+        words = ["".join(r.choices("abcdeilmnorstu", k=4 + j % 6)) for j in range(45_000)]
+        yield pa.record_batch([pa.array(range(i, i + 1_000), pa.int64()), pa.array([" ".join(r.choices(words, k=290)) for _ in range(1_000)])], ["doc_id", "text"])
+rows = sum(b.num_rows for b in packing._cut(queries.WORD_BPE, 1, 2048, False)(batches()))
+print(rows, top() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))}, check=True)
+    rows, more = map(int, done.stdout.split())
+    assert rows == 20_000 and more < 220
