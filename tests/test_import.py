@@ -123,3 +123,13 @@ def test_number_forms(spark):
         assert one(spark, x.polish_number, text_) == want
     assert one(spark, x.dotted_date, "x 25.02.2026 09:47:27") == "2026-02-25T09:47:27"
     assert one(spark, x.serial_or_slashed_ts, "31/02/2019 12:00:01") is None
+
+
+def test_rendered_files_are_dealt_out_by_number(spark):
+    from folio.plans.imports import files
+
+    rows = spark.createDataFrame([(f"f{i % 40}", 400 - i, f"line {i}") for i in range(400)], "file string, at long, line string")
+    made = files(rows, F.lit("head"))
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # none put together
+    assert {r.file: r.content for r in made.collect()} == {
+        f"f{k}": "\n".join(["head", *[f"line {i}" for i in range(360 + k, -1, -40)], ""]) for k in range(40)}
