@@ -30,8 +30,8 @@ def files(rows: DataFrame, head: Column) -> DataFrame:
     """rows: file, at (order), line; head: header lines as one text."""
     # dealt out first and by number: else the lines are also sorted by file before the shuffle, and few tasks read large parts; both spill
     rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
-    g = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
-    body = F.array_join(F.transform("lines", lambda r: r["line"]), "\n")
+    g = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("lines"))
+    body = F.array_join(F.col("lines")["line"], "\n")
     return g.select("file", F.concat(head, F.lit("\n"), body, F.lit("\n")).alias("content"))
 
 
@@ -240,9 +240,11 @@ def xtb_files(t) -> DataFrame:
         d == 6, row("commission", F.lit("Commission"), F.lit("-1.25"), F.lit(""))).otherwise(
         row("commission", F.when(k, F.concat(F.lit("BUY "), q, F.lit(" @ "), price)).otherwise("Commission"), F.concat(F.lit("-"), point_money(F.col("commission")))))
     closing = F.when(~k & (d == 3), row("close trade", F.lit("Profit of position"), F.lit("10.00"))).otherwise(row("other", F.lit("nothing"), F.lit("0")))
-    base = t.transactions.select(_file("xtb-").alias("file"), "id", time.alias("time"), F.posexplode(F.array(trade, fee, closing)).alias("n", "r"))
-    line = _layout(F.col("file"), F.col("r.kind"), F.col("r.symbol"), F.col("time"), F.col("r.amount"), F.col("id").cast("string"), F.col("r.comment"))
-    return files(base.select("file", (F.col("id") * 3 + F.col("n")).alias("at"), line.alias("line")), _xtb_head())
+    rows = [trade.alias("r0"), fee.alias("r1"), closing.alias("r2")]
+    base = t.transactions.select(_file("xtb-").alias("file"), "id", F.col("id").cast("string").alias("text"), time.alias("time"), *rows)
+    line = lambda r: _layout(F.col("file"), F.col(f"{r}.kind"), F.col(f"{r}.symbol"), F.col("time"), F.col(f"{r}.amount"), F.col("text"), F.col(f"{r}.comment"))
+    # the lines of a trade lie together, so they are dealt out and sorted as one text
+    return files(base.select("file", F.col("id").alias("at"), F.concat_ws("\n", line("r0"), line("r1"), line("r2")).alias("line")), _xtb_head())
 
 
 def xtb_raw(t) -> DataFrame:
